@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from amity.plans.fixtures import all_industry_codes, with_fixtures
 from amity.plans.registry import (AFFINITY_AREA, AFFINITY_MY_INDUSTRY, AFFINITY_PAGE, CALLER,
-                                  CALLER_ID, MANY_PAGE, PRESTIGE_PAGE, PRESTIGE_THRESHOLD)
+                                  CALLER_ID, COGROUP_DEFAULT, KEEP_SNAPSHOTS, MANY_PAGE,
+                                  PRESTIGE_PAGE, PRESTIGE_THRESHOLD, SNAPSHOT_KEYS)
 
 ME = f"'{CALLER}'"
 CODES = ", ".join(str(c) for c in all_industry_codes())
@@ -65,6 +66,100 @@ ALL_TWO = ("select distinct l.caller, r.loginAccount as u, r.userID as uid from
            "and not exists (select 1 from one z where z.caller = l.caller and z.u = r.loginAccount)")
 
 
+# decimal text of a double, as Spark and the reference see it
+def _dec(x: str) -> str:
+    return f"cast(cast({x} as varchar) as decimal(38,18))"
+
+
+def _half_up(x: str, bits: int = 2) -> str:
+    return f"cast(round({_dec(x)}, {bits}) as double)"
+
+
+def _jtrim(x: str) -> str:
+    return f"regexp_replace({x}, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g')"
+
+
+DT = "'%Y-%m-%d %H:%M:%S'"
+
+COGROUP_SIDES = (
+    "select c_custkey as key, 0 as side, c_acctbal as value, c_custkey as ord from customer "
+    "union all select o_custkey, 1, o_totalprice, o_orderkey from orders "
+    "union all select user_id, 2, value, event_id from events "
+    "union all select user_id, 3, cast(amount as double), user_id from fx_prestige "
+    "union all select userID, 4, rosterID / 1000.0, rosterID from ofroster "
+    "union all select s_suppkey, 5, s_acctbal, s_suppkey from supplier")
+
+
+def _functions_sql() -> dict[str, str]:
+    o = "from orders"
+    return {
+        "round_half_up": f"select l_orderkey, l_linenumber, {_half_up('l_extendedprice * l_discount')} as value "
+                         f"from lineitem",
+        "truncate_decimal": (
+            "select l_orderkey, l_linenumber, cast(trunc("
+            + _dec("l_extendedprice * (l_discount - 0.05::double)") + ", 2) as double) as value from lineitem"),
+        "trim_array": (
+            "select doc_id, cast(unnest(range(len(arr))) as int) as line_no, unnest(arr) as value from "
+            f"(select doc_id, list_transform(string_split(text, chr(10)), lambda x: {_jtrim('x')}) as arr "
+            "from documents)"),
+        "trim_all_columns": (
+            f"select {_jtrim('cast(c_custkey as varchar)')} as c_custkey, {_jtrim('c_name')} as c_name, "
+            f"{_jtrim('cast(c_nationkey as varchar)')} as c_nationkey, "
+            f"{_jtrim('cast(c_acctbal as varchar)')} as c_acctbal, {_jtrim('c_mktsegment')} as c_mktsegment "
+            "from customer"),
+        "array_to_struct": (
+            "select o_orderkey, string_split(o_orderpriority, '-')[1] as _1, "
+            "case when strpos(o_orderpriority, '-') > 0 then "
+            "substr(o_orderpriority, strpos(o_orderpriority, '-') + 1) end as _2 from orders"),
+        "date_format_col": f"select o_orderkey, strftime(o_orderdate, '%Y/%m/%d') as value {o}",
+        "days_ago": f"select event_id, strftime(ts - interval 30 day, {DT}) as value from events",
+        "months_ago": f"select o_orderkey, strftime(o_orderdate - interval 1 month, '%Y-%m-%d') as value {o}",
+        "month_end_ago": f"select o_orderkey, strftime(last_day(o_orderdate - interval 2 month), '%Y-%m-%d') "
+                         f"as value {o}",
+        "week_bounds_ago": ("select event_id, strftime(date_trunc('week', ts) - interval 7 day, '%Y-%m-%d') "
+                            "as week_begin, strftime(date_trunc('week', ts) - interval 1 day, '%Y-%m-%d') "
+                            "as week_end from events"),
+        "years_ago": f"select o_orderkey, strftime(o_orderdate - interval 1 year, '%Y-%m-%d') as value {o}",
+        "time_ago": f"select event_id, strftime(ts - interval 36 hour, {DT}) as value from events",
+        "epoch_ms_format": ("select event_id, strftime(epoch_ms(epoch_us(ts) // 1000), '%Y-%m-%d %H:%M:%S.%g') "
+                            "as value from events"),
+        "extract_ymd": ("select doc_id, regexp_extract(text, '\\d{4}(/|-)\\d{1,2}(/|-)\\d{1,2}', 0) "
+                        "as value from documents"),
+        "extract_ym": "select doc_id, regexp_extract(text, '\\d{4}(/|-)\\d{1,2}', 0) as value from documents",
+        "date_parts": (f"select o_orderkey, cast(year(o_orderdate) as int) as year, "
+                       f"cast(month(o_orderdate) as int) as month, cast(day(o_orderdate) as int) as day {o}"),
+        "parse_date": (f"select o_orderkey, try_strptime(strftime(o_orderdate, '%Y-%-m-%-d'), '%Y-%m-%d') "
+                       f"as value {o}"),
+        "reformat_date": f"select o_orderkey, strftime(o_orderdate, '%d.%m.%Y') as value {o}",
+        "days_in_month": f"select o_orderkey, cast(day(last_day(o_orderdate)) as int) as value {o}",
+        "quarter_start": (f"select event_id, strftime(date_trunc('quarter', ts) + (ts - date_trunc('day', ts)), "
+                          f"{DT}) as value from events"),
+        "cogroup_n": with_fixtures(
+            "select key, " + ", ".join(f"count(*) filter (where side = {i}) as n{i}" for i in range(6))
+            + " from g group by key", "ofroster", "fx_prestige", extra=(("g", COGROUP_SIDES),)),
+        "first_or_default": with_fixtures(
+            "select key, " + ", ".join(
+                f"coalesce({_half_up(f'arg_min(value, ord) filter (where side = {i})')}, "
+                f"{COGROUP_DEFAULT}::double) as v{i}" for i in range(6))
+            + " from g group by key", "ofroster", "fx_prestige", extra=(("g", COGROUP_SIDES),)),
+        "csv_scan": ("select cast(c_custkey as varchar) as c_custkey, c_name, "
+                     "cast(c_nationkey as varchar) as c_nationkey, cast(c_acctbal as varchar) as c_acctbal, "
+                     "c_mktsegment from customer"),
+        "text_scan": "select unnest(string_split(text, chr(10))) as value from documents",
+        "delimited_roundtrip": with_fixtures(
+            "select concat_ws(chr(9), cast(rosterID as varchar), username, loginAccount, "
+            "coalesce(cast(userID as varchar), 'null'), cast(sub as varchar)) as value from fx_view_ofroster",
+            "fx_view_ofroster"),
+        "latest_snapshot": _r(f"select rosterID, username, loginAccount, userID, "
+                              f"cast({SNAPSHOT_KEYS[-1]} as bigint) as snapshot_ms from ofroster"),
+        "retained_snapshots": _r(
+            "select k as snapshot_ms, g as generation, (select count(*) from ofroster) as n_rows from (values "
+            + ", ".join(f"(cast({k} as bigint), {i + 1})"
+                        for i, k in enumerate(sorted(SNAPSHOT_KEYS, reverse=True)[:KEEP_SNAPSHOTS]))
+            + ") t(k, g)"),
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     plo, phi = _bounds(PRESTIGE_PAGE)
     alo, ahi = _bounds(AFFINITY_PAGE)
@@ -167,4 +262,5 @@ def oracle_sql() -> dict[str, str]:
             ("cand", "select c.caller, m.* from callers c join m on m.userID <> c.caller "
                      "where not exists (select 1 from ofroster r where r.userID = c.caller "
                      "and r.username = m.loginAccount)")),
+        **_functions_sql(),
     }

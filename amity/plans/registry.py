@@ -15,12 +15,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from amity.functions import dates as dt
+from amity.functions import numbers as nb
+from amity.functions import text as tx
+from amity.operators import cogroup as cg
 from amity.operators import common_friends as cf
 from amity.operators import contacts as ct
 from amity.operators import relations as rel
 from amity.operators import roster as ro
 from amity.plans import fixtures as fx
 from amity.plans import loaded
+from amity.session import scratch_path
+from amity.sources import files as fl
+from amity.sources import snapshots as sn
 
 # fixed request parameters of the registered queries
 CALLER = "Customer#000000005"
@@ -31,6 +38,9 @@ AFFINITY_MY_INDUSTRY = 100001000
 AFFINITY_AREA = 330002
 AFFINITY_PAGE = (2, 50)
 MANY_PAGE = (1, 20)
+SNAPSHOT_KEYS = (1469664000000, 1469707200000, 1469750400000)  # 720 minutes apart
+KEEP_SNAPSHOTS = 2
+COGROUP_DEFAULT = -1.0
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -167,6 +177,186 @@ def affinity_page_all_callers(spark, sf):
     return pages
 
 
+# ------------------------------------------------------------ column functions
+
+def _t(spark, sf, name):
+    return fx.table(spark, sf, name)
+
+
+def round_half_up(spark, sf):
+    li = _t(spark, sf, "lineitem")
+    return li.select("l_orderkey", "l_linenumber",
+                     nb.round_half_up(F.col("l_extendedprice") * F.col("l_discount"), 2).alias("value"))
+
+
+def truncate_decimal(spark, sf):
+    li = _t(spark, sf, "lineitem")
+    x = F.col("l_extendedprice") * (F.col("l_discount") - F.lit(0.05))
+    return li.select("l_orderkey", "l_linenumber", nb.truncate_decimal(x, 2).alias("value"))
+
+
+def trim_array(spark, sf):
+    d = _t(spark, sf, "documents")
+    lines = tx.trim_array(F.split(F.col("text"), "\n"))
+    return d.select("doc_id", F.posexplode(lines).alias("line_no", "value"))
+
+
+def trim_all_columns(spark, sf):
+    return tx.trim_all_columns(_t(spark, sf, "customer"))
+
+
+def array_to_struct(spark, sf):
+    o = _t(spark, sf, "orders")
+    s = tx.array_to_struct(F.split(F.col("o_orderpriority"), "-", 2), 2)
+    return o.select("o_orderkey", s.alias("p")).select("o_orderkey", "p._1", "p._2")
+
+
+def _orders_dates(spark, sf, *cols):
+    return _t(spark, sf, "orders").select("o_orderkey", *cols)
+
+
+def _events_dates(spark, sf, *cols):
+    return _t(spark, sf, "events").select("event_id", *cols)
+
+
+DT = "yyyy-MM-dd HH:mm:ss"
+
+
+def date_format_col(spark, sf):
+    return _orders_dates(spark, sf, dt.date_format_col("o_orderdate", "yyyy/MM/dd").alias("value"))
+
+
+def days_ago(spark, sf):
+    return _events_dates(spark, sf, dt.days_ago("ts", 30, DT).alias("value"))
+
+
+def months_ago(spark, sf):
+    return _orders_dates(spark, sf, dt.months_ago("o_orderdate", 1).alias("value"))
+
+
+def month_end_ago(spark, sf):
+    return _orders_dates(spark, sf, dt.month_end_ago("o_orderdate", 2).alias("value"))
+
+
+def week_bounds_ago(spark, sf):
+    return (_events_dates(spark, sf, dt.week_bounds_ago("ts", 1).alias("w"))
+            .select("event_id", "w.week_begin", "w.week_end"))
+
+
+def years_ago(spark, sf):
+    return _orders_dates(spark, sf, dt.years_ago("o_orderdate", 1).alias("value"))
+
+
+def time_ago(spark, sf):
+    return _events_dates(spark, sf, dt.time_ago("ts", 36, "HOUR", DT).alias("value"))
+
+
+def epoch_ms_format(spark, sf):
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    return _events_dates(spark, sf, dt.epoch_ms_format(ms, "yyyy-MM-dd HH:mm:ss.SSS").alias("value"))
+
+
+def extract_ymd(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", dt.extract_ymd("text").alias("value"))
+
+
+def extract_ym(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", dt.extract_ym("text").alias("value"))
+
+
+def date_parts(spark, sf):
+    return _orders_dates(spark, sf, *dt.date_parts("o_orderdate"))
+
+
+def parse_date(spark, sf):
+    s = F.date_format("o_orderdate", "yyyy-M-d")
+    return _orders_dates(spark, sf, dt.parse_date(s).alias("value"))
+
+
+def reformat_date(spark, sf):
+    s = F.date_format("o_orderdate", "yyyy/MM/dd")
+    return _orders_dates(spark, sf, dt.reformat_date(s, "yyyy/MM/dd", "dd.MM.yyyy").alias("value"))
+
+
+def days_in_month(spark, sf):
+    return _orders_dates(spark, sf, dt.days_in_month("o_orderdate").alias("value"))
+
+
+def quarter_start(spark, sf):
+    return _events_dates(spark, sf, dt.quarter_start("ts", DT).alias("value"))
+
+
+# ------------------------------------------------------------ cogroup
+
+def _cogroup_sides(spark, sf) -> list[DataFrame]:
+    r = _roster(spark, sf)
+    pres = fx.prestige(spark, sf)
+    return [
+        _t(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("value"),
+                                         F.col("c_custkey").alias("ord")),
+        _t(spark, sf, "orders").select(F.col("o_custkey").alias("key"), F.col("o_totalprice").alias("value"),
+                                       F.col("o_orderkey").alias("ord")),
+        _t(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("value"),
+                                       F.col("event_id").alias("ord")),
+        pres.select(F.col("user_id").alias("key"), F.col("amount").cast("double").alias("value"),
+                    F.col("user_id").alias("ord")),
+        r.select(F.col("userID").alias("key"), (F.col("rosterID") / F.lit(1000.0)).alias("value"),
+                 F.col("rosterID").alias("ord")),
+        _t(spark, sf, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_acctbal").alias("value"),
+                                         F.col("s_suppkey").alias("ord")),
+    ]
+
+
+def cogroup_sizes(spark, sf):
+    sides = _cogroup_sides(spark, sf)
+    return cg.cogroup_sizes(cg.cogroup_n(sides, order="ord"), len(sides))
+
+
+def first_or_default(spark, sf):
+    sides = _cogroup_sides(spark, sf)
+    return cg.first_or_default(cg.cogroup_n(sides, order="ord"), len(sides), order="ord",
+                               default=COGROUP_DEFAULT, round_bits=2)
+
+
+# ------------------------------------------------------------ files and snapshots
+
+def csv_scan(spark, sf):
+    path = scratch_path(spark, "csv")
+    fl.write_csv(_t(spark, sf, "customer"), path)
+    return fl.csv_scan(spark, path)
+
+
+def text_scan(spark, sf):
+    path = scratch_path(spark, "text")
+    fl.write_text(_t(spark, sf, "documents"), path, column="text")
+    return fl.text_scan(spark, path)
+
+
+def delimited_roundtrip(spark, sf):
+    path = scratch_path(spark, "delimited")
+    fl.write_delimited(fx.view_ofroster(spark, sf), path, sep="\t")
+    return fl.text_scan(spark, path)
+
+
+def _snapshot_cycle(spark, sf) -> str:
+    """Three refreshes of the roster, 720 minutes apart, keeping two."""
+    root = scratch_path(spark, "roster-snapshots")
+    src = ro.load_roster(fx.view_ofroster(spark, sf))
+    for k in SNAPSHOT_KEYS:
+        sn.refresh(spark, src, root, k, keep=KEEP_SNAPSHOTS, sort_by=("username",))
+    return root
+
+
+def latest_snapshot(spark, sf):
+    return sn.latest_snapshot(spark, _snapshot_cycle(spark, sf))
+
+
+def retained_snapshots(spark, sf):
+    root = _snapshot_cycle(spark, sf)
+    sizes = spark.read.parquet(root).groupBy("snapshot_ms").agg(F.count(F.lit(1)).alias("n_rows"))
+    return sn.snapshot_list(spark, root).join(sizes, "snapshot_ms")
+
+
 QUERIES: dict[str, Query] = {
     "roster_scan": roster_scan,
     "contacts_denorm": contacts_denorm,
@@ -188,4 +378,31 @@ QUERIES: dict[str, Query] = {
     "contacts_page_all_callers": contacts_page_all_callers,
     "contacts_count_all_callers": contacts_count_all_callers,
     "affinity_page_all_callers": affinity_page_all_callers,
+    "round_half_up": round_half_up,
+    "truncate_decimal": truncate_decimal,
+    "trim_array": trim_array,
+    "trim_all_columns": trim_all_columns,
+    "array_to_struct": array_to_struct,
+    "date_format_col": date_format_col,
+    "days_ago": days_ago,
+    "months_ago": months_ago,
+    "month_end_ago": month_end_ago,
+    "week_bounds_ago": week_bounds_ago,
+    "years_ago": years_ago,
+    "time_ago": time_ago,
+    "epoch_ms_format": epoch_ms_format,
+    "extract_ymd": extract_ymd,
+    "extract_ym": extract_ym,
+    "date_parts": date_parts,
+    "parse_date": parse_date,
+    "reformat_date": reformat_date,
+    "days_in_month": days_in_month,
+    "quarter_start": quarter_start,
+    "cogroup_n": cogroup_sizes,
+    "first_or_default": first_or_default,
+    "csv_scan": csv_scan,
+    "text_scan": text_scan,
+    "delimited_roundtrip": delimited_roundtrip,
+    "latest_snapshot": latest_snapshot,
+    "retained_snapshots": retained_snapshots,
 }
