@@ -7,23 +7,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from amity.operators.roster import friend_edges_with_ids, one_hop, scope
-from amity.plans.skew import skew_join
+from amity.operators.roster import _hot, expand, friend_edges_with_ids, one_hop, scope
 
 FRIEND = 1
 FRIEND_OF_FRIEND = 2
 STRANGER = 3
 
 
-def relation_table_many(roster: DataFrame, callers) -> DataFrame:
+def relation_table_many(roster: DataFrame, callers, hot: DataFrame | None = None) -> DataFrame:
     """C6 for any callers: (caller, userID string, friendType int)."""
     e = friend_edges_with_ids(roster).where(F.col("userID").isNotNull())
     first = scope(e, callers)
     type1 = first.select("caller", "userID").distinct()
 
     one = one_hop(roster, callers)
-    via = one.select("caller", F.col("loginAccount").alias("_via"))
-    second = (skew_join(via, e.withColumnRenamed("username", "_via"), ["_via"])
+    second = (expand(one, e, _hot(roster, hot))
               .where(F.col("loginAccount") != F.col("caller")))
     type2 = (second.join(one, ["caller", "loginAccount"], "left_anti")
              .select("caller", "userID").distinct()
@@ -34,19 +32,19 @@ def relation_table_many(roster: DataFrame, callers) -> DataFrame:
                     F.col("friendType").cast("int").alias("friendType")))
 
 
-def relation_table(roster: DataFrame, caller: str) -> DataFrame:
+def relation_table(roster: DataFrame, caller: str, hot: DataFrame | None = None) -> DataFrame:
     """The per-caller relation table: (userID, friendType)."""
-    return relation_table_many(roster, caller).select("userID", "friendType")
+    return relation_table_many(roster, caller, hot).select("userID", "friendType")
 
 
 def person_relation_many(roster: DataFrame, requests: DataFrame,
-                         include_strangers: bool = False) -> DataFrame:
+                         include_strangers: bool = False, hot: DataFrame | None = None) -> DataFrame:
     """C7 for many callers. ``requests``: (caller, user_id string).
     Duplicate requests collapse; strangers are absent unless asked for, then
     they get type 3."""
     req = requests.select("caller", F.col("user_id").cast("string").alias("user_id")).distinct()
     callers = req.select("caller").distinct()
-    rel = relation_table_many(roster, callers).select(
+    rel = relation_table_many(roster, callers, hot).select(
         "caller", F.col("userID").alias("user_id"), F.col("friendType").alias("type"))
     if include_strangers:
         return (req.join(rel, ["caller", "user_id"], "left")
@@ -56,9 +54,9 @@ def person_relation_many(roster: DataFrame, requests: DataFrame,
 
 
 def person_relation(roster: DataFrame, caller: str, user_ids: DataFrame,
-                    include_strangers: bool = False) -> DataFrame:
+                    include_strangers: bool = False, hot: DataFrame | None = None) -> DataFrame:
     """``searchPersonRelation``: ids (column ``user_id``) -> (user_id, type)."""
-    rel = relation_table_many(roster, caller).select(
+    rel = relation_table_many(roster, caller, hot).select(
         F.col("userID").alias("user_id"), F.col("friendType").alias("type"))
     ids = user_ids.select(F.col("user_id").cast("string").alias("user_id")).distinct()
     if include_strangers:

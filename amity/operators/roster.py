@@ -9,6 +9,12 @@ Every operator takes ``callers`` either as one account (a string, which
 becomes a literal filter that reaches the parquet scan) or as a DataFrame
 with a ``caller`` column, so one job serves any number of callers.  Results
 always carry the ``caller`` column.
+
+Hot accounts: every expansion joins on a friend account, whose work is
+in-degree x out-degree.  ``hot`` is the table of accounts with a large
+degree, (account, indeg, outdeg); it belongs to a roster snapshot and is
+computed once at load (``hot_degrees``).  When it is not passed, each query
+computes it from the roster.
 """
 
 from __future__ import annotations
@@ -16,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from amity.plans.skew import skew_join
+from amity.plans.skew import degree_hot_keys, hot_rows_setting, skew_join, split_table
 
 ROSTER_COLUMNS = ("rosterID", "username", "loginAccount", "userID")
 
@@ -55,34 +61,59 @@ def one_hop(roster: DataFrame, callers) -> DataFrame:
     return scope(friend_edges(roster), callers)
 
 
-def _expand(first: DataFrame, edges: DataFrame) -> DataFrame:
-    """(caller, f) x edges(f -> loginAccount, ...) on f with hot f split."""
+def hot_degrees(roster: DataFrame) -> DataFrame:
+    """(account, indeg, outdeg) of the accounts whose degree over the
+    distinct friend edges exceeds the hot-row setting (bounded size)."""
+    return degree_hot_keys(friend_edges(roster), "username", "loginAccount")
+
+
+def _hot(roster: DataFrame, hot: DataFrame | None) -> DataFrame:
+    return hot if hot is not None else hot_degrees(roster)
+
+
+def expand(first: DataFrame, edges: DataFrame, hot: DataFrame) -> DataFrame:
+    """(caller, loginAccount=f) x edges(username=f -> ...) on f.  The
+    in-edge side of a hot f is split, its out-edges copied (or the reverse
+    when the out-degree is the larger)."""
     left = first.select("caller", F.col("loginAccount").alias("_via"))
     right = edges.withColumnRenamed("username", "_via")
-    return skew_join(left, right, ["_via"]).drop("_via")
+    table = split_table(hot, "_via", F.col("indeg"), F.col("outdeg"), hot_rows_setting(first))
+    return skew_join(left, right, ["_via"], hot=table).drop("_via")
+
 
+def two_hop_candidates(roster: DataFrame, callers, hot: DataFrame | None = None,
+                       one: DataFrame | None = None) -> DataFrame:
+    """Friends of one-hop friends other than the caller (not distinct, may
+    include direct friends): (caller, loginAccount)."""
+    one = one if one is not None else one_hop(roster, callers)
+    return (expand(one, friend_edges(roster), _hot(roster, hot))
+            .where(F.col("loginAccount") != F.col("caller")))
 
-def two_hop_raw(roster: DataFrame, callers) -> DataFrame:
+
+def two_hop_raw(roster: DataFrame, callers, hot: DataFrame | None = None) -> DataFrame:
     """C2: accounts listed by any one-hop friend, from the raw roster.
 
     Kept exactly: may contain the caller, direct friends, and a friend listed
     by its own self-loop."""
     raw = roster.select("username", "loginAccount")
-    return _expand(one_hop(roster, callers), raw).select("caller", "loginAccount").distinct()
+    return (expand(one_hop(roster, callers), raw, _hot(roster, hot))
+            .select("caller", "loginAccount").distinct())
 
 
-def two_hop_strict(roster: DataFrame, callers) -> DataFrame:
+def two_hop_strict(roster: DataFrame, callers, hot: DataFrame | None = None) -> DataFrame:
     """C3 second part: friends of friends that are neither the caller nor a
     direct friend."""
     one = one_hop(roster, callers)
-    two = (_expand(one, friend_edges(roster))
-           .where(F.col("loginAccount") != F.col("caller")))
+    two = two_hop_candidates(roster, callers, hot, one)
     return two.join(one, ["caller", "loginAccount"], "left_anti").distinct()
 
 
-def reachable_within_two(roster: DataFrame, callers) -> DataFrame:
-    """C3: one-hop accounts united with strict two-hop accounts."""
-    return one_hop(roster, callers).union(two_hop_strict(roster, callers)).distinct()
+def reachable_within_two(roster: DataFrame, callers, hot: DataFrame | None = None) -> DataFrame:
+    """C3: one-hop accounts united with strict two-hop accounts; equal to the
+    distinct union of one-hop accounts and all two-hop candidates, which
+    needs no anti join."""
+    one = one_hop(roster, callers)
+    return one.unionByName(two_hop_candidates(roster, callers, hot, one)).distinct()
 
 
 def friends_one_hop(roster: DataFrame, caller: str) -> DataFrame:
@@ -90,17 +121,17 @@ def friends_one_hop(roster: DataFrame, caller: str) -> DataFrame:
     return one_hop(roster, caller).select("loginAccount")
 
 
-def friends_two_hop_raw(roster: DataFrame, caller: str) -> DataFrame:
+def friends_two_hop_raw(roster: DataFrame, caller: str, hot: DataFrame | None = None) -> DataFrame:
     """``searchTwoFriendFrame``: loginAccount."""
-    return two_hop_raw(roster, caller).select("loginAccount")
+    return two_hop_raw(roster, caller, hot).select("loginAccount")
 
 
-def friends_two_hop_strict(roster: DataFrame, caller: str) -> DataFrame:
-    return two_hop_strict(roster, caller).select("loginAccount")
+def friends_two_hop_strict(roster: DataFrame, caller: str, hot: DataFrame | None = None) -> DataFrame:
+    return two_hop_strict(roster, caller, hot).select("loginAccount")
 
 
-def friends_reachable(roster: DataFrame, caller: str) -> DataFrame:
-    return reachable_within_two(roster, caller).select("loginAccount")
+def friends_reachable(roster: DataFrame, caller: str, hot: DataFrame | None = None) -> DataFrame:
+    return reachable_within_two(roster, caller, hot).select("loginAccount")
 
 
 def out_degrees(roster: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ import threading
 from pyspark.sql import DataFrame, SparkSession
 
 from amity.operators.contacts import contacts_denorm
-from amity.operators.roster import load_roster
+from amity.operators.roster import hot_degrees, load_roster
 from amity.plans import fixtures as fx
 from amity.session import scratch_path
 from amity.sources.snapshots import latest_snapshot, snapshot_write
@@ -30,13 +30,18 @@ def _build(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     roster_root = scratch_path(spark, "roster")
     snapshot_write(load_roster(fx.view_ofroster(spark, sf_dir)), roster_root,
                    FIXTURE_SNAPSHOT_MS, sort_by=("username",))
+    hot_root = scratch_path(spark, "roster-hot")
+    # usually empty: written into its partition folder directly, so the
+    # schema-only file still marks the snapshot
+    (hot_degrees(latest_snapshot(spark, roster_root)).coalesce(1).write.mode("overwrite")
+     .parquet(f"{hot_root}/snapshot_ms={FIXTURE_SNAPSHOT_MS}"))
     contacts_root = scratch_path(spark, "contacts")
     card = fx.business_cards(spark, sf_dir)
     user = fx.users(spark, sf_dir)
     pres = fx.prestige(spark, sf_dir)
     snapshot_write(contacts_denorm(card, user, pres), contacts_root, FIXTURE_SNAPSHOT_MS,
                    sort_by=("userID",))
-    return {"roster": roster_root, "contacts": contacts_root}
+    return {"roster": roster_root, "hot": hot_root, "contacts": contacts_root}
 
 
 def loaded_roots(spark: SparkSession, sf_dir: str) -> dict[str, str]:
@@ -55,3 +60,9 @@ def roster(spark: SparkSession, sf_dir: str) -> DataFrame:
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Newest contacts snapshot: the 14 columns of the person record."""
     return latest_snapshot(spark, loaded_roots(spark, sf_dir)["contacts"]).drop("snapshot_ms")
+
+
+def hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hot accounts of the newest roster snapshot: (account, indeg, outdeg);
+    bounded in size, so it is broadcast into every expansion."""
+    return latest_snapshot(spark, loaded_roots(spark, sf_dir)["hot"]).drop("snapshot_ms")

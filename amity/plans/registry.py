@@ -53,6 +53,10 @@ def _contacts(spark, sf):
     return loaded.contacts(spark, sf)
 
 
+def _hot(spark, sf):
+    return loaded.hot(spark, sf)
+
+
 # ------------------------------------------------------------ sources / loads
 
 def roster_scan(spark, sf):
@@ -70,15 +74,15 @@ def friends_one_hop(spark, sf):
 
 
 def friends_two_hop_raw(spark, sf):
-    return ro.friends_two_hop_raw(_roster(spark, sf), CALLER)
+    return ro.friends_two_hop_raw(_roster(spark, sf), CALLER, _hot(spark, sf))
 
 
 def friends_two_hop_strict(spark, sf):
-    return ro.friends_two_hop_strict(_roster(spark, sf), CALLER)
+    return ro.friends_two_hop_strict(_roster(spark, sf), CALLER, _hot(spark, sf))
 
 
 def reachable_within_two(spark, sf):
-    return ro.friends_reachable(_roster(spark, sf), CALLER)
+    return ro.friends_reachable(_roster(spark, sf), CALLER, _hot(spark, sf))
 
 
 def order_candidates(spark, sf) -> DataFrame:
@@ -91,20 +95,20 @@ def order_candidates(spark, sf) -> DataFrame:
 
 
 def common_friend_count(spark, sf):
-    return cf.common_friend_count(_roster(spark, sf), CALLER, order_candidates(spark, sf))
+    return cf.common_friend_count(_roster(spark, sf), CALLER, order_candidates(spark, sf), _hot(spark, sf))
 
 
 def common_friend_table(spark, sf):
-    return cf.common_friend_table(_roster(spark, sf), CALLER).select("userName", "comFriendsNum")
+    return cf.common_friend_table(_roster(spark, sf), CALLER, _hot(spark, sf)).select("userName", "comFriendsNum")
 
 
 def relation_table(spark, sf):
-    return rel.relation_table(_roster(spark, sf), CALLER)
+    return rel.relation_table(_roster(spark, sf), CALLER, _hot(spark, sf))
 
 
 def person_relation(spark, sf):
     ids = fx.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("user_id"))
-    return rel.person_relation(_roster(spark, sf), CALLER, ids)
+    return rel.person_relation(_roster(spark, sf), CALLER, ids, hot=_hot(spark, sf))
 
 
 def _all_owners(roster: DataFrame) -> DataFrame:
@@ -113,12 +117,12 @@ def _all_owners(roster: DataFrame) -> DataFrame:
 
 def common_friend_all_callers(spark, sf):
     r = _roster(spark, sf)
-    return cf.common_friend_table(r, _all_owners(r))
+    return cf.common_friend_table(r, _all_owners(r), _hot(spark, sf))
 
 
 def relation_all_callers(spark, sf):
     r = _roster(spark, sf)
-    return rel.relation_table_many(r, _all_owners(r))
+    return rel.relation_table_many(r, _all_owners(r), _hot(spark, sf))
 
 
 # ------------------------------------------------------------ contact search

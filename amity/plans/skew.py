@@ -66,21 +66,59 @@ def _salts(split_side: bool, hash_cols: Sequence[str]) -> Column:
     return F.when(F.col("_splits").isNull(), F.array(F.lit(0))).when(mine, own).otherwise(every)
 
 
+def hot_rows_setting(df: DataFrame) -> int:
+    return _conf_int(df, "amity.skew.hotRows", DEFAULT_HOT_ROWS)
+
+
+def degree_hot_keys(edges: DataFrame, src: str, dst: str, hot_rows: int | None = None,
+                    max_hot_keys: int | None = None) -> DataFrame:
+    """Accounts of an edge table whose in- or out-degree exceeds ``hot_rows``:
+    (account, indeg, outdeg), at most ``max_hot_keys`` rows (the largest).
+    Computed once per snapshot and reused by every join on an account."""
+    hot_rows = hot_rows or hot_rows_setting(edges)
+    max_hot_keys = max_hot_keys or _conf_int(edges, "amity.skew.maxHotKeys", DEFAULT_MAX_HOT_KEYS)
+    indeg = edges.groupBy(F.col(dst).alias("account")).agg(F.count(F.lit(1)).alias("indeg"))
+    outdeg = edges.groupBy(F.col(src).alias("account")).agg(F.count(F.lit(1)).alias("outdeg"))
+    big = F.greatest(F.coalesce("indeg", F.lit(0)), F.coalesce("outdeg", F.lit(0)))
+    return (indeg.join(outdeg, "account", "full_outer")
+            .where(big > F.lit(hot_rows))
+            .select("account", F.coalesce("indeg", F.lit(0)).alias("indeg"),
+                    F.coalesce("outdeg", F.lit(0)).alias("outdeg"), big.alias("_big"))
+            .orderBy(F.desc("_big")).limit(max_hot_keys).drop("_big"))
+
+
+def split_table(hot_degrees: DataFrame, key: str, left_rows: Column, right_rows: Column,
+                hot_rows: int, max_splits: int = DEFAULT_MAX_SPLITS) -> DataFrame:
+    """Turn (account, indeg, outdeg) into the (key, _splits, _salt_left) form
+    for one join, given the per-key row counts of its two sides."""
+    big = F.greatest(left_rows, right_rows)
+    return (hot_degrees.where(big > F.lit(hot_rows))
+            .select(F.col("account").alias(key),
+                    F.least(F.lit(max_splits), F.ceil(big / F.lit(hot_rows))).cast("int").alias("_splits"),
+                    (left_rows >= right_rows).alias("_salt_left")))
+
+
 def skew_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner",
               hot_rows: int | None = None, max_hot_keys: int | None = None,
-              max_splits: int | None = None) -> DataFrame:
+              max_splits: int | None = None, hot: DataFrame | None = None) -> DataFrame:
     """Equi-join on same-named columns ``on`` with hot keys split.
 
-    ``how`` is ``inner`` or ``left_semi``; a semi join only ever splits the
-    left side, so no left row can be emitted twice."""
+    ``hot`` (on..., _splits, _salt_left) may be given from statistics kept
+    with the data; otherwise it is computed from both sides.  ``how`` is
+    ``inner`` or ``left_semi``; a semi join only ever splits the left side,
+    so no left row can be emitted twice."""
     if how not in ("inner", "left_semi"):
         raise ValueError(f"skew_join supports inner and left_semi, not {how}")
     on = list(on)
-    hot_rows = hot_rows or _conf_int(left, "amity.skew.hotRows", DEFAULT_HOT_ROWS)
+    hot_rows = hot_rows or hot_rows_setting(left)
     max_hot_keys = max_hot_keys or _conf_int(left, "amity.skew.maxHotKeys", DEFAULT_MAX_HOT_KEYS)
     max_splits = max_splits or _conf_int(left, "amity.skew.maxSplits", DEFAULT_MAX_SPLITS)
-    hot = F.broadcast(hot_keys(left, right, on, hot_rows, max_hot_keys, max_splits,
-                               split_left_only=(how == "left_semi")))
+    if hot is None:
+        hot = hot_keys(left, right, on, hot_rows, max_hot_keys, max_splits,
+                       split_left_only=(how == "left_semi"))
+    elif how == "left_semi":
+        hot = hot.withColumn("_salt_left", F.lit(True))
+    hot = F.broadcast(hot)
 
     lcols = [c for c in left.columns if c not in on] or on
     rcols = [c for c in right.columns if c not in on] or on
