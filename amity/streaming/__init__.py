@@ -1,0 +1 @@
+"""Streaming entry points: the periodic snapshot refresh."""
