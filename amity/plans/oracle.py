@@ -90,6 +90,21 @@ COGROUP_SIDES = (
     "union all select s_suppkey, 5, s_acctbal, s_suppkey from supplier")
 
 
+COGROUP_MORE = (
+    " union all select p_partkey, 6, p_retailprice, p_partkey from part"
+    " union all select n_nationkey, 7, cast(n_regionkey as double), n_nationkey from nation"
+    " union all select r_regionkey, 8, cast(r_regionkey as double), r_regionkey from region"
+    " union all select l_suppkey, 9, l_extendedprice, l_orderkey * 10 + l_linenumber from lineitem")
+
+ALL_RELATIONS = (
+    ("t1", "select distinct username as caller, userID as uid from ofroster "
+           "where loginAccount <> username and userID is not null"),
+    ("t2", "select distinct caller, uid from two where uid is not null"),
+    ("rel", "select caller, cast(uid as varchar) as userID, 1 as friendType from t1 union all "
+            "select caller, cast(uid as varchar) as userID, 2 as friendType from "
+            "(select caller, uid from t2 except select caller, uid from t1)"))
+
+
 def _functions_sql() -> dict[str, str]:
     o = "from orders"
     return {
@@ -134,6 +149,25 @@ def _functions_sql() -> dict[str, str]:
         "days_in_month": f"select o_orderkey, cast(day(last_day(o_orderdate)) as int) as value {o}",
         "quarter_start": (f"select event_id, strftime(date_trunc('quarter', ts) + (ts - date_trunc('day', ts)), "
                           f"{DT}) as value from events"),
+        "cogroup_ten": with_fixtures(
+            "select key, " + ", ".join(f"count(*) filter (where side = {i}) as n{i}" for i in range(10))
+            + " from g group by key", "ofroster", "fx_prestige", extra=(("g", COGROUP_SIDES + COGROUP_MORE),)),
+        "common_friend_count_many": _r(
+            "select q.caller, q.pos, q.candidate, cast(coalesce(n.num, 0) as int) as comm_friend_num "
+            "from req q left join cnt n on n.caller = q.caller and n.candidate = q.candidate",
+            ("req", "select username as caller, rosterID as pos, loginAccount as candidate from ofroster"),
+            ("cnt", "select r.caller, r.candidate, count(distinct o.loginAccount) as num "
+                    "from (select distinct caller, candidate from req) r "
+                    "join ofroster o on o.username = r.candidate and o.loginAccount <> r.caller "
+                    "and o.username <> o.loginAccount "
+                    "join ofroster m on m.username = r.caller and m.loginAccount = o.loginAccount "
+                    "group by r.caller, r.candidate")),
+        "person_relation_many": _r(
+            "select q.caller, q.user_id, cast(coalesce(x.friendType, 3) as int) as type from req q "
+            "left join rel x on x.caller = q.caller and x.userID = q.user_id",
+            ("req", "select distinct r.loginAccount as caller, cast(c.c_custkey as varchar) as user_id "
+                    "from ofroster r join customer c on c.c_name = r.username"),
+            ("one", ALL_ONE), ("two", ALL_TWO), *ALL_RELATIONS),
         "cogroup_n": with_fixtures(
             "select key, " + ", ".join(f"count(*) filter (where side = {i}) as n{i}" for i in range(6))
             + " from g group by key", "ofroster", "fx_prestige", extra=(("g", COGROUP_SIDES),)),

@@ -125,6 +125,31 @@ def relation_all_callers(spark, sf):
     return rel.relation_table_many(r, _all_owners(r), _hot(spark, sf))
 
 
+def edge_requests(roster: DataFrame) -> DataFrame:
+    """Every roster edge as a request: the owner asks for its common friends
+    with each listed account (self-loop rows ask about the owner itself)."""
+    return roster.select(F.col("username").alias("caller"), F.col("rosterID").alias("pos"),
+                         F.col("loginAccount").alias("candidate"))
+
+
+def common_friend_count_many(spark, sf):
+    r = _roster(spark, sf)
+    return cf.common_friend_count_many(r, edge_requests(r), _hot(spark, sf))
+
+
+def inbound_relation_requests(spark, sf) -> DataFrame:
+    """Every listed account asks for its relation to each owner listing it."""
+    r = _roster(spark, sf)
+    c = fx.table(spark, sf, "customer").select("c_custkey", "c_name")
+    return (r.join(c, r.username == c.c_name)
+            .select(F.col("loginAccount").alias("caller"), F.col("c_custkey").cast("string").alias("user_id")))
+
+
+def person_relation_many(spark, sf):
+    return rel.person_relation_many(_roster(spark, sf), inbound_relation_requests(spark, sf),
+                                    include_strangers=True, hot=_hot(spark, sf))
+
+
 # ------------------------------------------------------------ contact search
 
 def _prestige_matches(spark, sf):
@@ -311,6 +336,27 @@ def _cogroup_sides(spark, sf) -> list[DataFrame]:
     ]
 
 
+def _more_sides(spark, sf) -> list[DataFrame]:
+    li = _t(spark, sf, "lineitem")
+    return [
+        _t(spark, sf, "part").select(F.col("p_partkey").alias("key"), F.col("p_retailprice").alias("value"),
+                                     F.col("p_partkey").alias("ord")),
+        _t(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("key"),
+                                       F.col("n_regionkey").cast("double").alias("value"),
+                                       F.col("n_nationkey").cast("bigint").alias("ord")),
+        _t(spark, sf, "region").select(F.col("r_regionkey").cast("bigint").alias("key"),
+                                       F.col("r_regionkey").cast("double").alias("value"),
+                                       F.col("r_regionkey").cast("bigint").alias("ord")),
+        li.select(F.col("l_suppkey").alias("key"), F.col("l_extendedprice").alias("value"),
+                  (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord")),
+    ]
+
+
+def cogroup_ten(spark, sf):
+    sides = _cogroup_sides(spark, sf) + _more_sides(spark, sf)
+    return cg.cogroup_sizes(cg.cogroup_n(sides, order="ord"), len(sides))
+
+
 def cogroup_sizes(spark, sf):
     sides = _cogroup_sides(spark, sf)
     return cg.cogroup_sizes(cg.cogroup_n(sides, order="ord"), len(sides))
@@ -374,6 +420,8 @@ QUERIES: dict[str, Query] = {
     "person_relation": person_relation,
     "common_friend_all_callers": common_friend_all_callers,
     "relation_all_callers": relation_all_callers,
+    "common_friend_count_many": common_friend_count_many,
+    "person_relation_many": person_relation_many,
     "contacts_by_prestige_page": contacts_by_prestige_page,
     "contacts_by_prestige_count": contacts_by_prestige_count,
     "contacts_by_affinity_page": contacts_by_affinity_page,
@@ -403,6 +451,7 @@ QUERIES: dict[str, Query] = {
     "days_in_month": days_in_month,
     "quarter_start": quarter_start,
     "cogroup_n": cogroup_sizes,
+    "cogroup_ten": cogroup_ten,
     "first_or_default": first_or_default,
     "csv_scan": csv_scan,
     "text_scan": text_scan,
