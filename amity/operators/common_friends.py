@@ -20,17 +20,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from amity.operators.roster import _hot, friend_edges, out_degrees, reachable_within_two
+from amity.operators.roster import as_graph, out_degrees, reachable_within_two
 from amity.plans.skew import hot_rows_setting, skew_join, split_table
 
 
-def common_friend_counts(roster: DataFrame, requests: DataFrame,
-                         hot: DataFrame | None = None) -> DataFrame:
+def common_friend_counts(graph, requests: DataFrame) -> DataFrame:
     """(caller, candidate, comm_friend_num) for every distinct request with a
     count above zero.  A hot pivot has its edges split and its requests
     copied per split."""
-    a = friend_edges(roster)
-    deg = out_degrees(roster)
+    g = as_graph(graph)
+    a = g.edges
+    deg = out_degrees(g)
     req = requests.select("caller", "candidate").distinct()
     req = (req.join(deg.select(F.col("username").alias("caller"), F.col("degree").alias("_dc")), "caller")
               .join(deg.select(F.col("username").alias("candidate"), F.col("degree").alias("_du")), "candidate"))
@@ -40,7 +40,7 @@ def common_friend_counts(roster: DataFrame, requests: DataFrame,
         F.when(small_is_caller, F.col("caller")).otherwise(F.col("candidate")).alias("username"),
         F.when(small_is_caller, F.col("candidate")).otherwise(F.col("caller")).alias("_other"),
     )
-    table = split_table(_hot(roster, hot), "username", F.lit(0), F.col("outdeg"), hot_rows_setting(a))
+    table = split_table(g.hot, "username", F.lit(0), F.col("outdeg"), hot_rows_setting(a))
     expanded = skew_join(req, a, ["username"], hot=table).drop("username")
     hits = expanded.join(a.select(F.col("username").alias("_other"), "loginAccount"),
                          ["_other", "loginAccount"], "left_semi")
@@ -48,33 +48,32 @@ def common_friend_counts(roster: DataFrame, requests: DataFrame,
             .agg(F.count(F.lit(1)).cast("int").alias("comm_friend_num")))
 
 
-def common_friend_count_many(roster: DataFrame, requests: DataFrame,
-                             hot: DataFrame | None = None) -> DataFrame:
+def common_friend_count_many(graph, requests: DataFrame) -> DataFrame:
     """C4 for many callers. ``requests``: (caller, pos, candidate), duplicates
     and order kept through ``pos``; candidates without a common friend get 0."""
-    counts = common_friend_counts(roster, requests, hot)
+    counts = common_friend_counts(graph, requests)
     return (requests.select("caller", "pos", "candidate")
             .join(counts, ["caller", "candidate"], "left")
             .select("caller", "pos", "candidate",
                     F.coalesce("comm_friend_num", F.lit(0)).cast("int").alias("comm_friend_num")))
 
 
-def common_friend_count(roster: DataFrame, caller: str, candidates: DataFrame,
-                        hot: DataFrame | None = None) -> DataFrame:
+def common_friend_count(graph, caller: str, candidates: DataFrame) -> DataFrame:
     """``searchCommonFriendNum``: candidates (pos, username) ->
     (pos, username, comm_friend_num), one row per input row."""
     req = candidates.select(F.lit(caller).alias("caller"), "pos",
                             F.col("username").alias("candidate"))
-    return (common_friend_count_many(roster, req, hot)
+    return (common_friend_count_many(graph, req)
             .select("pos", F.col("candidate").alias("username"), "comm_friend_num"))
 
 
-def common_friend_table(roster: DataFrame, callers, hot: DataFrame | None = None) -> DataFrame:
+def common_friend_table(graph, callers) -> DataFrame:
     """C5 (the cached common-friend table) for any callers: every account
     reachable within two hops with a count above zero.
     (caller, userName, comFriendsNum)."""
-    reach = reachable_within_two(roster, callers, hot).select(
+    g = as_graph(graph)
+    reach = reachable_within_two(g, callers).select(
         "caller", F.col("loginAccount").alias("candidate"))
-    return (common_friend_counts(roster, reach, hot)
+    return (common_friend_counts(g, reach)
             .select("caller", F.col("candidate").alias("userName"),
                     F.col("comm_friend_num").alias("comFriendsNum")))

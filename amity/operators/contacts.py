@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from amity.plans.ranking import global_rank, index_in_group
+from amity.plans.ranking import global_rank, global_rank_with_total, index_in_group
 
 CONTACT_COLUMNS = ("userID", "loginAccount", "headImgUrl", "certify", "nickname",
                    "prestigeAmount", "position", "companyName", "areaName",
@@ -212,8 +212,7 @@ def paged_many(matches: DataFrame, order: Sequence[Column], roster: DataFrame, c
     _check_page(page_no, page_size)
     lo, hi = (page_no - 1) * page_size + 1, page_no * page_size
     callers = callers.select(F.col("caller").cast("bigint").alias("caller")).distinct()
-    ranked = global_rank(matches, order)
-    n_total = ranked.count()
+    ranked, n_total = global_rank_with_total(matches, order)
 
     x = _exclusion_ranks(ranked, roster, callers)
     k = x.groupBy("caller").agg(F.count(F.lit(1)).alias("_k"))

@@ -7,44 +7,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from amity.operators.roster import _hot, expand, friend_edges_with_ids, one_hop, scope
+from amity.operators.roster import as_graph, expand, one_hop, scope
 
 FRIEND = 1
 FRIEND_OF_FRIEND = 2
 STRANGER = 3
 
 
-def relation_table_many(roster: DataFrame, callers, hot: DataFrame | None = None) -> DataFrame:
+def relation_table_many(graph, callers) -> DataFrame:
     """C6 for any callers: (caller, userID string, friendType int)."""
-    e = friend_edges_with_ids(roster).where(F.col("userID").isNotNull())
+    g = as_graph(graph)
+    e = g.edges_ids.where(F.col("userID").isNotNull())
     first = scope(e, callers)
-    type1 = first.select("caller", "userID").distinct()
 
-    one = one_hop(roster, callers)
-    second = (expand(one, e, _hot(roster, hot))
+    one = one_hop(g, callers)
+    second = (expand(one, e, g.hot)
               .where(F.col("loginAccount") != F.col("caller")))
     type2 = (second.join(one, ["caller", "loginAccount"], "left_anti")
-             .select("caller", "userID").distinct()
-             .join(type1, ["caller", "userID"], "left_anti"))
-    return (type1.withColumn("friendType", F.lit(FRIEND))
-            .unionByName(type2.withColumn("friendType", F.lit(FRIEND_OF_FRIEND)))
+             .select("caller", "userID", F.lit(FRIEND_OF_FRIEND).alias("friendType")))
+    # one aggregation makes ids distinct and lets type 1 win over type 2
+    both = first.select("caller", "userID", F.lit(FRIEND).alias("friendType")).unionByName(type2)
+    return (both.groupBy("caller", "userID").agg(F.min("friendType").alias("friendType"))
             .select("caller", F.col("userID").cast("string").alias("userID"),
                     F.col("friendType").cast("int").alias("friendType")))
 
 
-def relation_table(roster: DataFrame, caller: str, hot: DataFrame | None = None) -> DataFrame:
+def relation_table(graph, caller: str) -> DataFrame:
     """The per-caller relation table: (userID, friendType)."""
-    return relation_table_many(roster, caller, hot).select("userID", "friendType")
+    return relation_table_many(graph, caller).select("userID", "friendType")
 
 
-def person_relation_many(roster: DataFrame, requests: DataFrame,
-                         include_strangers: bool = False, hot: DataFrame | None = None) -> DataFrame:
+def person_relation_many(graph, requests: DataFrame, include_strangers: bool = False) -> DataFrame:
     """C7 for many callers. ``requests``: (caller, user_id string).
     Duplicate requests collapse; strangers are absent unless asked for, then
     they get type 3."""
     req = requests.select("caller", F.col("user_id").cast("string").alias("user_id")).distinct()
     callers = req.select("caller").distinct()
-    rel = relation_table_many(roster, callers, hot).select(
+    rel = relation_table_many(graph, callers).select(
         "caller", F.col("userID").alias("user_id"), F.col("friendType").alias("type"))
     if include_strangers:
         return (req.join(rel, ["caller", "user_id"], "left")
@@ -53,10 +52,10 @@ def person_relation_many(roster: DataFrame, requests: DataFrame,
     return rel.join(req, ["caller", "user_id"], "left_semi")
 
 
-def person_relation(roster: DataFrame, caller: str, user_ids: DataFrame,
-                    include_strangers: bool = False, hot: DataFrame | None = None) -> DataFrame:
+def person_relation(graph, caller: str, user_ids: DataFrame,
+                    include_strangers: bool = False) -> DataFrame:
     """``searchPersonRelation``: ids (column ``user_id``) -> (user_id, type)."""
-    rel = relation_table_many(roster, caller, hot).select(
+    rel = relation_table_many(graph, caller).select(
         F.col("userID").alias("user_id"), F.col("friendType").alias("type"))
     ids = user_ids.select(F.col("user_id").cast("string").alias("user_id")).distinct()
     if include_strangers:

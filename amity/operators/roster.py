@@ -10,15 +10,20 @@ becomes a literal filter that reaches the parquet scan) or as a DataFrame
 with a ``caller`` column, so one job serves any number of callers.  Results
 always carry the ``caller`` column.
 
-Hot accounts: every expansion joins on a friend account, whose work is
-in-degree x out-degree.  ``hot`` is the table of accounts with a large
-degree, (account, indeg, outdeg); it belongs to a roster snapshot and is
-computed once at load (``hot_degrees``).  When it is not passed, each query
-computes it from the roster.
+A ``FriendGraph`` holds the raw roster and what every query derives from
+it: the distinct friend edges with and without ids, and the hot accounts
+(those whose in- or out-degree is large; every expansion joins on a friend
+account, whose work is in-degree x out-degree).  Loading a snapshot builds
+these once (``amity.plans.loaded``); ``FriendGraph.of(roster)`` derives them
+lazily for ad hoc rosters.  Operators accept either a graph or a roster.
+
+``callers=None`` means every owner: no caller filter at all.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,9 +51,41 @@ def friend_edges_with_ids(roster: DataFrame) -> DataFrame:
             .select("username", "loginAccount", "userID").distinct())
 
 
+def hot_degrees(roster: DataFrame) -> DataFrame:
+    """(account, indeg, outdeg) of the accounts whose degree over the
+    distinct friend edges exceeds the hot-row setting (bounded size)."""
+    return degree_hot_keys(friend_edges(roster), "username", "loginAccount")
+
+
+def degrees_of(edges: DataFrame) -> DataFrame:
+    """(username, degree): out-degree over A; partial aggregation on the owner."""
+    return edges.groupBy("username").agg(F.count(F.lit(1)).alias("degree"))
+
+
+@dataclass(frozen=True)
+class FriendGraph:
+    roster: DataFrame      # rosterID, username, loginAccount, userID (raw)
+    edges: DataFrame       # A
+    edges_ids: DataFrame   # E
+    hot: DataFrame         # account, indeg, outdeg (hot accounts only)
+    degrees: DataFrame     # username, degree (out-degree over A)
+
+    @classmethod
+    def of(cls, roster: DataFrame, hot: DataFrame | None = None) -> "FriendGraph":
+        a = friend_edges(roster)
+        return cls(roster, a, friend_edges_with_ids(roster),
+                   hot if hot is not None else hot_degrees(roster), degrees_of(a))
+
+
+def as_graph(g) -> FriendGraph:
+    return g if isinstance(g, FriendGraph) else FriendGraph.of(g)
+
+
 def scope(edges: DataFrame, callers, owner: str = "username") -> DataFrame:
     """Rows of ``edges`` owned by the callers, with ``owner`` renamed ``caller``."""
-    if isinstance(callers, str):
+    if callers is None:
+        out = edges
+    elif isinstance(callers, str):
         out = edges.where(F.col(owner) == F.lit(callers))
     else:
         c = callers.select(F.col("caller").alias(owner)).distinct()
@@ -56,19 +93,9 @@ def scope(edges: DataFrame, callers, owner: str = "username") -> DataFrame:
     return out.withColumnRenamed(owner, "caller")
 
 
-def one_hop(roster: DataFrame, callers) -> DataFrame:
+def one_hop(graph, callers) -> DataFrame:
     """C1 for many callers: (caller, loginAccount), distinct, no self-loop."""
-    return scope(friend_edges(roster), callers)
-
-
-def hot_degrees(roster: DataFrame) -> DataFrame:
-    """(account, indeg, outdeg) of the accounts whose degree over the
-    distinct friend edges exceeds the hot-row setting (bounded size)."""
-    return degree_hot_keys(friend_edges(roster), "username", "loginAccount")
-
-
-def _hot(roster: DataFrame, hot: DataFrame | None) -> DataFrame:
-    return hot if hot is not None else hot_degrees(roster)
+    return scope(as_graph(graph).edges, callers)
 
 
 def expand(first: DataFrame, edges: DataFrame, hot: DataFrame) -> DataFrame:
@@ -81,59 +108,62 @@ def expand(first: DataFrame, edges: DataFrame, hot: DataFrame) -> DataFrame:
     return skew_join(left, right, ["_via"], hot=table).drop("_via")
 
 
-def two_hop_candidates(roster: DataFrame, callers, hot: DataFrame | None = None,
-                       one: DataFrame | None = None) -> DataFrame:
+def two_hop_candidates(graph, callers, one: DataFrame | None = None) -> DataFrame:
     """Friends of one-hop friends other than the caller (not distinct, may
     include direct friends): (caller, loginAccount)."""
-    one = one if one is not None else one_hop(roster, callers)
-    return (expand(one, friend_edges(roster), _hot(roster, hot))
+    g = as_graph(graph)
+    one = one if one is not None else one_hop(g, callers)
+    return (expand(one, g.edges, g.hot)
             .where(F.col("loginAccount") != F.col("caller")))
 
 
-def two_hop_raw(roster: DataFrame, callers, hot: DataFrame | None = None) -> DataFrame:
+def two_hop_raw(graph, callers) -> DataFrame:
     """C2: accounts listed by any one-hop friend, from the raw roster.
 
     Kept exactly: may contain the caller, direct friends, and a friend listed
     by its own self-loop."""
-    raw = roster.select("username", "loginAccount")
-    return (expand(one_hop(roster, callers), raw, _hot(roster, hot))
+    g = as_graph(graph)
+    raw = g.roster.select("username", "loginAccount")
+    return (expand(one_hop(g, callers), raw, g.hot)
             .select("caller", "loginAccount").distinct())
 
 
-def two_hop_strict(roster: DataFrame, callers, hot: DataFrame | None = None) -> DataFrame:
+def two_hop_strict(graph, callers) -> DataFrame:
     """C3 second part: friends of friends that are neither the caller nor a
     direct friend."""
-    one = one_hop(roster, callers)
-    two = two_hop_candidates(roster, callers, hot, one)
+    g = as_graph(graph)
+    one = one_hop(g, callers)
+    two = two_hop_candidates(g, callers, one)
     return two.join(one, ["caller", "loginAccount"], "left_anti").distinct()
 
 
-def reachable_within_two(roster: DataFrame, callers, hot: DataFrame | None = None) -> DataFrame:
+def reachable_within_two(graph, callers) -> DataFrame:
     """C3: one-hop accounts united with strict two-hop accounts; equal to the
     distinct union of one-hop accounts and all two-hop candidates, which
     needs no anti join."""
-    one = one_hop(roster, callers)
-    return one.unionByName(two_hop_candidates(roster, callers, hot, one)).distinct()
+    g = as_graph(graph)
+    one = one_hop(g, callers)
+    return one.unionByName(two_hop_candidates(g, callers, one)).distinct()
 
 
-def friends_one_hop(roster: DataFrame, caller: str) -> DataFrame:
+def friends_one_hop(graph, caller: str) -> DataFrame:
     """``searchFriendFrame``: loginAccount."""
-    return one_hop(roster, caller).select("loginAccount")
+    return one_hop(graph, caller).select("loginAccount")
 
 
-def friends_two_hop_raw(roster: DataFrame, caller: str, hot: DataFrame | None = None) -> DataFrame:
+def friends_two_hop_raw(graph, caller: str) -> DataFrame:
     """``searchTwoFriendFrame``: loginAccount."""
-    return two_hop_raw(roster, caller, hot).select("loginAccount")
+    return two_hop_raw(graph, caller).select("loginAccount")
 
 
-def friends_two_hop_strict(roster: DataFrame, caller: str, hot: DataFrame | None = None) -> DataFrame:
-    return two_hop_strict(roster, caller, hot).select("loginAccount")
+def friends_two_hop_strict(graph, caller: str) -> DataFrame:
+    return two_hop_strict(graph, caller).select("loginAccount")
 
 
-def friends_reachable(roster: DataFrame, caller: str, hot: DataFrame | None = None) -> DataFrame:
-    return reachable_within_two(roster, caller, hot).select("loginAccount")
+def friends_reachable(graph, caller: str) -> DataFrame:
+    return reachable_within_two(graph, caller).select("loginAccount")
 
 
-def out_degrees(roster: DataFrame) -> DataFrame:
-    """(username, degree) over A; partial aggregation on the owner."""
-    return friend_edges(roster).groupBy("username").agg(F.count(F.lit(1)).alias("degree"))
+def out_degrees(graph) -> DataFrame:
+    """(username, degree) over A."""
+    return as_graph(graph).degrees

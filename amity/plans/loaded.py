@@ -14,7 +14,8 @@ import threading
 from pyspark.sql import DataFrame, SparkSession
 
 from amity.operators.contacts import contacts_denorm
-from amity.operators.roster import hot_degrees, load_roster
+from amity.operators.roster import (FriendGraph, degrees_of, friend_edges, friend_edges_with_ids,
+                                   hot_degrees, load_roster)
 from amity.plans import fixtures as fx
 from amity.session import scratch_path
 from amity.sources.snapshots import latest_snapshot, snapshot_write
@@ -27,21 +28,29 @@ FIXTURE_SNAPSHOT_MS = 1469664000000
 
 
 def _build(spark: SparkSession, sf_dir: str) -> dict[str, str]:
-    roster_root = scratch_path(spark, "roster")
-    snapshot_write(load_roster(fx.view_ofroster(spark, sf_dir)), roster_root,
+    """Load step: the roster snapshot, the distinct edge tables derived from
+    it (clustered by owner), the hot-account table and the contact table."""
+    roots = {k: scratch_path(spark, k)
+             for k in ("roster", "edges", "edges_ids", "degrees", "hot", "contacts")}
+    snapshot_write(load_roster(fx.view_ofroster(spark, sf_dir)), roots["roster"],
                    FIXTURE_SNAPSHOT_MS, sort_by=("username",))
-    hot_root = scratch_path(spark, "roster-hot")
+    roster_df = latest_snapshot(spark, roots["roster"]).drop("snapshot_ms")
+    snapshot_write(friend_edges(roster_df).repartition("username"), roots["edges"],
+                   FIXTURE_SNAPSHOT_MS, sort_by=("username", "loginAccount"))
+    snapshot_write(friend_edges_with_ids(roster_df).repartition("username"), roots["edges_ids"],
+                   FIXTURE_SNAPSHOT_MS, sort_by=("username", "loginAccount"))
+    edges_df = latest_snapshot(spark, roots["edges"]).drop("snapshot_ms")
+    snapshot_write(degrees_of(edges_df), roots["degrees"], FIXTURE_SNAPSHOT_MS, sort_by=("username",))
     # usually empty: written into its partition folder directly, so the
     # schema-only file still marks the snapshot
-    (hot_degrees(latest_snapshot(spark, roster_root)).coalesce(1).write.mode("overwrite")
-     .parquet(f"{hot_root}/snapshot_ms={FIXTURE_SNAPSHOT_MS}"))
-    contacts_root = scratch_path(spark, "contacts")
+    (hot_degrees(roster_df).coalesce(1).write.mode("overwrite")
+     .parquet(f"{roots['hot']}/snapshot_ms={FIXTURE_SNAPSHOT_MS}"))
     card = fx.business_cards(spark, sf_dir)
     user = fx.users(spark, sf_dir)
     pres = fx.prestige(spark, sf_dir)
-    snapshot_write(contacts_denorm(card, user, pres), contacts_root, FIXTURE_SNAPSHOT_MS,
+    snapshot_write(contacts_denorm(card, user, pres), roots["contacts"], FIXTURE_SNAPSHOT_MS,
                    sort_by=("userID",))
-    return {"roster": roster_root, "hot": hot_root, "contacts": contacts_root}
+    return roots
 
 
 def loaded_roots(spark: SparkSession, sf_dir: str) -> dict[str, str]:
@@ -52,17 +61,28 @@ def loaded_roots(spark: SparkSession, sf_dir: str) -> dict[str, str]:
         return _LOADED[key]
 
 
+def _latest(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return latest_snapshot(spark, loaded_roots(spark, sf_dir)[name]).drop("snapshot_ms")
+
+
 def roster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Newest roster snapshot: rosterID, username, loginAccount, userID."""
-    return latest_snapshot(spark, loaded_roots(spark, sf_dir)["roster"]).drop("snapshot_ms")
+    return _latest(spark, sf_dir, "roster")
+
+
+def graph(spark: SparkSession, sf_dir: str) -> FriendGraph:
+    """The friend graph of the newest roster snapshot, every part loaded."""
+    return FriendGraph(roster(spark, sf_dir), _latest(spark, sf_dir, "edges"),
+                       _latest(spark, sf_dir, "edges_ids"), _latest(spark, sf_dir, "hot"),
+                       _latest(spark, sf_dir, "degrees"))
 
 
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Newest contacts snapshot: the 14 columns of the person record."""
-    return latest_snapshot(spark, loaded_roots(spark, sf_dir)["contacts"]).drop("snapshot_ms")
+    return _latest(spark, sf_dir, "contacts")
 
 
 def hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hot accounts of the newest roster snapshot: (account, indeg, outdeg);
     bounded in size, so it is broadcast into every expansion."""
-    return latest_snapshot(spark, loaded_roots(spark, sf_dir)["hot"]).drop("snapshot_ms")
+    return _latest(spark, sf_dir, "hot")

@@ -53,8 +53,8 @@ def _contacts(spark, sf):
     return loaded.contacts(spark, sf)
 
 
-def _hot(spark, sf):
-    return loaded.hot(spark, sf)
+def _graph(spark, sf):
+    return loaded.graph(spark, sf)
 
 
 # ------------------------------------------------------------ sources / loads
@@ -70,19 +70,19 @@ def contacts_denorm(spark, sf):
 # ------------------------------------------------------------ roster family
 
 def friends_one_hop(spark, sf):
-    return ro.friends_one_hop(_roster(spark, sf), CALLER)
+    return ro.friends_one_hop(_graph(spark, sf), CALLER)
 
 
 def friends_two_hop_raw(spark, sf):
-    return ro.friends_two_hop_raw(_roster(spark, sf), CALLER, _hot(spark, sf))
+    return ro.friends_two_hop_raw(_graph(spark, sf), CALLER)
 
 
 def friends_two_hop_strict(spark, sf):
-    return ro.friends_two_hop_strict(_roster(spark, sf), CALLER, _hot(spark, sf))
+    return ro.friends_two_hop_strict(_graph(spark, sf), CALLER)
 
 
 def reachable_within_two(spark, sf):
-    return ro.friends_reachable(_roster(spark, sf), CALLER, _hot(spark, sf))
+    return ro.friends_reachable(_graph(spark, sf), CALLER)
 
 
 def order_candidates(spark, sf) -> DataFrame:
@@ -95,34 +95,28 @@ def order_candidates(spark, sf) -> DataFrame:
 
 
 def common_friend_count(spark, sf):
-    return cf.common_friend_count(_roster(spark, sf), CALLER, order_candidates(spark, sf), _hot(spark, sf))
+    return cf.common_friend_count(_graph(spark, sf), CALLER, order_candidates(spark, sf))
 
 
 def common_friend_table(spark, sf):
-    return cf.common_friend_table(_roster(spark, sf), CALLER, _hot(spark, sf)).select("userName", "comFriendsNum")
+    return cf.common_friend_table(_graph(spark, sf), CALLER).select("userName", "comFriendsNum")
 
 
 def relation_table(spark, sf):
-    return rel.relation_table(_roster(spark, sf), CALLER, _hot(spark, sf))
+    return rel.relation_table(_graph(spark, sf), CALLER)
 
 
 def person_relation(spark, sf):
     ids = fx.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("user_id"))
-    return rel.person_relation(_roster(spark, sf), CALLER, ids, hot=_hot(spark, sf))
-
-
-def _all_owners(roster: DataFrame) -> DataFrame:
-    return roster.select(F.col("username").alias("caller")).distinct()
+    return rel.person_relation(_graph(spark, sf), CALLER, ids)
 
 
 def common_friend_all_callers(spark, sf):
-    r = _roster(spark, sf)
-    return cf.common_friend_table(r, _all_owners(r), _hot(spark, sf))
+    return cf.common_friend_table(_graph(spark, sf), None)
 
 
 def relation_all_callers(spark, sf):
-    r = _roster(spark, sf)
-    return rel.relation_table_many(r, _all_owners(r), _hot(spark, sf))
+    return rel.relation_table_many(_graph(spark, sf), None)
 
 
 def edge_requests(roster: DataFrame) -> DataFrame:
@@ -133,8 +127,8 @@ def edge_requests(roster: DataFrame) -> DataFrame:
 
 
 def common_friend_count_many(spark, sf):
-    r = _roster(spark, sf)
-    return cf.common_friend_count_many(r, edge_requests(r), _hot(spark, sf))
+    g = _graph(spark, sf)
+    return cf.common_friend_count_many(g, edge_requests(g.roster))
 
 
 def inbound_relation_requests(spark, sf) -> DataFrame:
@@ -146,8 +140,8 @@ def inbound_relation_requests(spark, sf) -> DataFrame:
 
 
 def person_relation_many(spark, sf):
-    return rel.person_relation_many(_roster(spark, sf), inbound_relation_requests(spark, sf),
-                                    include_strangers=True, hot=_hot(spark, sf))
+    return rel.person_relation_many(_graph(spark, sf), inbound_relation_requests(spark, sf),
+                                    include_strangers=True)
 
 
 # ------------------------------------------------------------ contact search

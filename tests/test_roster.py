@@ -107,13 +107,15 @@ def test_hot_keys_split_same_result(spark):
     plain = rows(cf.common_friend_table(r, callers))
     spark.conf.set("amity.skew.hotRows", "2")
     try:
-        hot = ro.hot_degrees(r)
-        assert hot.count() >= 1
-        salted = rows(cf.common_friend_table(r, callers, hot))
-        rel_salted = rows(rel.relation_table_many(r, callers, hot))
+        g = ro.FriendGraph.of(r)
+        assert g.hot.count() >= 1
+        salted = rows(cf.common_friend_table(g, callers))
+        rel_salted = rows(rel.relation_table_many(g, callers))
+        all_salted = rows(rel.relation_table_many(g, None))
     finally:
         spark.conf.unset("amity.skew.hotRows")
     assert salted == plain
     assert rel_salted == rows(rel.relation_table_many(r, callers))
+    assert all_salted == rel_salted  # every caller of the test graph is an owner
     for c, u, n in plain:
         assert n == _brute_common(pairs, c, u)
