@@ -6,7 +6,7 @@ With self-loops dropped this is |A(c) ∩ A(u)| over the distinct friend edges
 A, which is symmetric in ``c`` and ``u``; a candidate equal to the caller gets
 the caller's own degree.
 
-Plan (no pairs are formed inside a friend group):
+Plan (no pairs are formed inside a friend group), on account ids:
 1. attach both out-degrees to each distinct request;
 2. expand only the side with the smaller degree (the pivot) through its
    edges, giving Σ min(deg c, deg u) rows in total;
@@ -20,32 +20,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from amity.operators.roster import as_graph, out_degrees, reachable_within_two
+from amity.operators.roster import (FriendGraph, as_graph, caller_ids, name_of, reachable_ids,
+                                    with_caller)
 from amity.plans.skew import hot_rows_setting, skew_join, split_table
 
 
-def common_friend_counts(graph, requests: DataFrame) -> DataFrame:
-    """(caller, candidate, comm_friend_num) for every distinct request with a
-    count above zero.  A hot pivot has its edges split and its requests
-    copied per split."""
-    g = as_graph(graph)
-    a = g.edges
-    deg = out_degrees(g)
-    req = requests.select("caller", "candidate").distinct()
-    req = (req.join(deg.select(F.col("username").alias("caller"), F.col("degree").alias("_dc")), "caller")
-              .join(deg.select(F.col("username").alias("candidate"), F.col("degree").alias("_du")), "candidate"))
+def counts_by_id(g: FriendGraph, req: DataFrame) -> DataFrame:
+    """(cid, uid) distinct requests -> (cid, uid, comm_friend_num > 0)."""
+    deg = g.degrees
+    req = (req.join(deg.select(F.col("src").alias("cid"), F.col("degree").alias("_dc")), "cid")
+              .join(deg.select(F.col("src").alias("uid"), F.col("degree").alias("_du")), "uid"))
     small_is_caller = F.col("_dc") <= F.col("_du")
     req = req.select(
-        "caller", "candidate",
-        F.when(small_is_caller, F.col("caller")).otherwise(F.col("candidate")).alias("username"),
-        F.when(small_is_caller, F.col("candidate")).otherwise(F.col("caller")).alias("_other"),
+        "cid", "uid",
+        F.when(small_is_caller, F.col("cid")).otherwise(F.col("uid")).alias("src"),
+        F.when(small_is_caller, F.col("uid")).otherwise(F.col("cid")).alias("_other"),
     )
-    table = split_table(g.hot, "username", F.lit(0), F.col("outdeg"), hot_rows_setting(a))
-    expanded = skew_join(req, a, ["username"], hot=table).drop("username")
-    hits = expanded.join(a.select(F.col("username").alias("_other"), "loginAccount"),
-                         ["_other", "loginAccount"], "left_semi")
-    return (hits.groupBy("caller", "candidate")
-            .agg(F.count(F.lit(1)).cast("int").alias("comm_friend_num")))
+    # a hot pivot has its edges split and its requests copied per split
+    table = split_table(g.hot, "src", F.lit(0), F.col("outdeg"), hot_rows_setting(req))
+    expanded = skew_join(req, g.edges, ["src"], hot=table).drop("src")
+    hits = expanded.join(g.edges.select(F.col("src").alias("_other"), "dst"),
+                         ["_other", "dst"], "left_semi")
+    return hits.groupBy("cid", "uid").agg(F.count(F.lit(1)).cast("int").alias("comm_friend_num"))
+
+
+def common_friend_counts(graph, requests: DataFrame) -> DataFrame:
+    """(caller, candidate, comm_friend_num) for every distinct request with a
+    count above zero."""
+    g = as_graph(graph)
+    a = g.accounts
+    req = (requests.select("caller", "candidate").distinct()
+           .join(a.select(F.col("account").alias("caller"), F.col("aid").alias("cid")), "caller")
+           .join(a.select(F.col("account").alias("candidate"), F.col("aid").alias("uid")), "candidate"))
+    counts = counts_by_id(g, req.select("cid", "uid"))
+    return req.join(counts, ["cid", "uid"]).select("caller", "candidate", "comm_friend_num")
 
 
 def common_friend_count_many(graph, requests: DataFrame) -> DataFrame:
@@ -72,8 +80,9 @@ def common_friend_table(graph, callers) -> DataFrame:
     reachable within two hops with a count above zero.
     (caller, userName, comFriendsNum)."""
     g = as_graph(graph)
-    reach = reachable_within_two(g, callers).select(
-        "caller", F.col("loginAccount").alias("candidate"))
-    return (common_friend_counts(g, reach)
-            .select("caller", F.col("candidate").alias("userName"),
-                    F.col("comm_friend_num").alias("comFriendsNum")))
+    cids = caller_ids(g, callers)
+    reach = reachable_ids(g, cids).select("cid", F.col("dst").alias("uid"))
+    counts = counts_by_id(g, reach)
+    out = name_of(g, counts, "uid", "userName")
+    return (with_caller(g, out, callers, cids)
+            .select("caller", "userName", F.col("comm_friend_num").alias("comFriendsNum")))

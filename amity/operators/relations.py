@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from amity.operators.roster import as_graph, expand, one_hop, scope
+from amity.operators.roster import as_graph, caller_ids, expand, one_hop_ids, scope_ids, with_caller
 
 FRIEND = 1
 FRIEND_OF_FRIEND = 2
@@ -15,19 +15,22 @@ STRANGER = 3
 
 
 def relation_table_many(graph, callers) -> DataFrame:
-    """C6 for any callers: (caller, userID string, friendType int)."""
+    """C6 for any callers: (caller, userID string, friendType int).
+
+    Type 1: ids of the caller's friends.  Type 2: ids reached through a
+    friend whose account is neither the caller nor a direct friend.  One
+    aggregation makes ids distinct and lets type 1 win over type 2."""
     g = as_graph(graph)
+    cids = caller_ids(g, callers)
     e = g.edges_ids.where(F.col("userID").isNotNull())
-    first = scope(e, callers)
-
-    one = one_hop(g, callers)
-    second = (expand(one, e, g.hot)
-              .where(F.col("loginAccount") != F.col("caller")))
-    type2 = (second.join(one, ["caller", "loginAccount"], "left_anti")
-             .select("caller", "userID", F.lit(FRIEND_OF_FRIEND).alias("friendType")))
-    # one aggregation makes ids distinct and lets type 1 win over type 2
-    both = first.select("caller", "userID", F.lit(FRIEND).alias("friendType")).unionByName(type2)
-    return (both.groupBy("caller", "userID").agg(F.min("friendType").alias("friendType"))
+    first = scope_ids(e, cids).select("cid", "userID", F.lit(FRIEND).alias("friendType"))
+    one = one_hop_ids(g, cids)
+    second = (expand(one, e, g.hot).where(F.col("dst") != F.col("cid"))
+              .join(one, ["cid", "dst"], "left_anti")
+              .select("cid", "userID", F.lit(FRIEND_OF_FRIEND).alias("friendType")))
+    both = (first.unionByName(second)
+            .groupBy("cid", "userID").agg(F.min("friendType").alias("friendType")))
+    return (with_caller(g, both, callers, cids)
             .select("caller", F.col("userID").cast("string").alias("userID"),
                     F.col("friendType").cast("int").alias("friendType")))
 

@@ -5,19 +5,24 @@ A roster row (username, loginAccount, userID) is a directed edge: the owner
 ``userID``.  Edges need not be symmetric; lookups follow them outward from
 the owner.
 
-Every operator takes ``callers`` either as one account (a string, which
-becomes a literal filter that reaches the parquet scan) or as a DataFrame
-with a ``caller`` column, so one job serves any number of callers.  Results
-always carry the ``caller`` column.
+Every operator takes ``callers`` as one account (a string), as a DataFrame
+with a ``caller`` column, or as ``None`` for every owner, so one job serves
+any number of callers.  Results always carry the ``caller`` column.
 
 A ``FriendGraph`` holds the raw roster and what every query derives from
-it: the distinct friend edges with and without ids, and the hot accounts
-(those whose in- or out-degree is large; every expansion joins on a friend
-account, whose work is in-degree x out-degree).  Loading a snapshot builds
-these once (``amity.plans.loaded``); ``FriendGraph.of(roster)`` derives them
-lazily for ad hoc rosters.  Operators accept either a graph or a roster.
-
-``callers=None`` means every owner: no caller filter at all.
+it, built once per snapshot (``amity.plans.loaded``) or lazily with
+``FriendGraph.of(roster)``:
+
+* ``accounts``: every account name with a dense ``long`` id (``aid``), from a
+  distributed global rank - exact, no hash collisions;
+* ``edges`` (src, dst): distinct friend edges without self-loops, in ids;
+* ``edges_ids`` (src, dst, userID) and ``raw_edges`` (with self-loops);
+* ``degrees`` (src, degree) and ``hot`` (account = aid, indeg, outdeg) for the
+  accounts whose degree is large.
+
+All joins inside the operators run on the 8-byte ids; names are restored on
+the outputs only.  Every expansion joins on a friend account, whose work is
+in-degree x out-degree, and splits hot accounts (``amity.plans.skew``).
 """
 
 from __future__ import annotations
@@ -27,9 +32,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from amity.plans.ranking import global_rank
 from amity.plans.skew import degree_hot_keys, hot_rows_setting, skew_join, split_table
 
 ROSTER_COLUMNS = ("rosterID", "username", "loginAccount", "userID")
+NO_ACCOUNT = -1  # id of a caller that is not in the dictionary: matches nothing
 
 
 def load_roster(view: DataFrame) -> DataFrame:
@@ -40,81 +47,145 @@ def load_roster(view: DataFrame) -> DataFrame:
 
 
 def friend_edges(roster: DataFrame) -> DataFrame:
-    """A: distinct (username, loginAccount) without self-loops."""
+    """A by name: distinct (username, loginAccount) without self-loops."""
     return (roster.where(F.col("username") != F.col("loginAccount"))
             .select("username", "loginAccount").distinct())
 
 
-def friend_edges_with_ids(roster: DataFrame) -> DataFrame:
-    """E: distinct (username, loginAccount, userID) without self-loops."""
-    return (roster.where(F.col("username") != F.col("loginAccount"))
-            .select("username", "loginAccount", "userID").distinct())
-
-
-def hot_degrees(roster: DataFrame) -> DataFrame:
-    """(account, indeg, outdeg) of the accounts whose degree over the
-    distinct friend edges exceeds the hot-row setting (bounded size)."""
-    return degree_hot_keys(friend_edges(roster), "username", "loginAccount")
+def account_dictionary(roster: DataFrame) -> DataFrame:
+    """(account, aid): every owner and friend account with a dense id."""
+    names = (roster.select(F.col("username").alias("account"))
+             .union(roster.select(F.col("loginAccount").alias("account")))
+             .where(F.col("account").isNotNull()).distinct())
+    return global_rank(names, [F.asc("account")], "aid")
 
 
-def degrees_of(edges: DataFrame) -> DataFrame:
-    """(username, degree): out-degree over A; partial aggregation on the owner."""
-    return edges.groupBy("username").agg(F.count(F.lit(1)).alias("degree"))
+def encode_roster(roster: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Raw roster rows as (src, dst, userID) ids."""
+    s = accounts.select(F.col("account").alias("username"), F.col("aid").alias("src"))
+    d = accounts.select(F.col("account").alias("loginAccount"), F.col("aid").alias("dst"))
+    return roster.join(s, "username").join(d, "loginAccount").select("src", "dst", "userID")
 
 
 @dataclass(frozen=True)
 class FriendGraph:
     roster: DataFrame      # rosterID, username, loginAccount, userID (raw)
-    edges: DataFrame       # A
-    edges_ids: DataFrame   # E
-    hot: DataFrame         # account, indeg, outdeg (hot accounts only)
-    degrees: DataFrame     # username, degree (out-degree over A)
+    accounts: DataFrame    # account, aid
+    edges: DataFrame       # src, dst: distinct, no self-loops
+    edges_ids: DataFrame   # src, dst, userID: distinct, no self-loops
+    raw_edges: DataFrame   # src, dst: distinct, self-loops kept
+    degrees: DataFrame     # src, degree (out-degree over edges)
+    hot: DataFrame         # account (an aid), indeg, outdeg: hot accounts only
 
     @classmethod
-    def of(cls, roster: DataFrame, hot: DataFrame | None = None) -> "FriendGraph":
-        a = friend_edges(roster)
-        return cls(roster, a, friend_edges_with_ids(roster),
-                   hot if hot is not None else hot_degrees(roster), degrees_of(a))
+    def of(cls, roster: DataFrame) -> "FriendGraph":
+        accounts = account_dictionary(roster)
+        coded = encode_roster(roster, accounts)
+        raw = coded.select("src", "dst").distinct()
+        edges = raw.where(F.col("src") != F.col("dst"))
+        edges_ids = coded.where(F.col("src") != F.col("dst")).distinct()
+        return cls(roster, accounts, edges, edges_ids, raw, degrees_of(edges), hot_degrees(edges))
+
+
+def degrees_of(edges: DataFrame) -> DataFrame:
+    """(src, degree): out-degree; partial aggregation on the owner."""
+    return edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
+
+
+def hot_degrees(edges: DataFrame) -> DataFrame:
+    """(account, indeg, outdeg) of the accounts whose degree exceeds the
+    hot-row setting (bounded size)."""
+    return degree_hot_keys(edges, "src", "dst")
 
 
 def as_graph(g) -> FriendGraph:
     return g if isinstance(g, FriendGraph) else FriendGraph.of(g)
 
 
-def scope(edges: DataFrame, callers, owner: str = "username") -> DataFrame:
-    """Rows of ``edges`` owned by the callers, with ``owner`` renamed ``caller``."""
+# ------------------------------------------------------------ callers and names
+
+def caller_ids(g: FriendGraph, callers):
+    """Callers as ids: None (all), an int literal, or a DataFrame
+    (caller, cid).  One named caller is looked up once (a single id)."""
     if callers is None:
+        return None
+    if isinstance(callers, str):
+        row = g.accounts.where(F.col("account") == F.lit(callers)).select("aid").first()
+        return int(row[0]) if row else NO_ACCOUNT
+    return (callers.select(F.col("caller").alias("account")).distinct()
+            .join(g.accounts, "account")
+            .select(F.col("account").alias("caller"), F.col("aid").alias("cid")))
+
+
+def scope_ids(edges: DataFrame, cids) -> DataFrame:
+    """Edges owned by the callers, ``src`` renamed ``cid``."""
+    if cids is None:
         out = edges
-    elif isinstance(callers, str):
-        out = edges.where(F.col(owner) == F.lit(callers))
+    elif isinstance(cids, int):
+        out = edges.where(F.col("src") == F.lit(cids))
     else:
-        c = callers.select(F.col("caller").alias(owner)).distinct()
-        out = edges.join(c, owner, "left_semi")
-    return out.withColumnRenamed(owner, "caller")
+        out = edges.join(cids.select(F.col("cid").alias("src")), "src", "left_semi")
+    return out.withColumnRenamed("src", "cid")
 
 
-def one_hop(graph, callers) -> DataFrame:
-    """C1 for many callers: (caller, loginAccount), distinct, no self-loop."""
-    return scope(as_graph(graph).edges, callers)
+def name_of(g: FriendGraph, df: DataFrame, id_col: str, name_col: str) -> DataFrame:
+    """Replace the id column ``id_col`` with the account name ``name_col``."""
+    names = g.accounts.select(F.col("aid").alias(id_col), F.col("account").alias(name_col))
+    return df.join(names, id_col).drop(id_col)
+
+
+def with_caller(g: FriendGraph, df: DataFrame, callers, cids) -> DataFrame:
+    """Replace ``cid`` with the caller's name."""
+    if isinstance(callers, str):
+        return df.drop("cid").withColumn("caller", F.lit(callers))
+    if callers is None:
+        return name_of(g, df, "cid", "caller")
+    return df.join(cids, "cid").drop("cid")
+
+
+# ------------------------------------------------------------ id-level plans
+
+def one_hop_ids(g: FriendGraph, cids) -> DataFrame:
+    """(cid, dst)."""
+    return scope_ids(g.edges, cids)
 
 
 def expand(first: DataFrame, edges: DataFrame, hot: DataFrame) -> DataFrame:
-    """(caller, loginAccount=f) x edges(username=f -> ...) on f.  The
-    in-edge side of a hot f is split, its out-edges copied (or the reverse
-    when the out-degree is the larger)."""
-    left = first.select("caller", F.col("loginAccount").alias("_via"))
-    right = edges.withColumnRenamed("username", "_via")
+    """(cid, dst=f) x edges(src=f -> dst, ...) on f.  The in-edge side of a
+    hot f is split, its out-edges copied (or the reverse when the out-degree
+    is the larger).  Returns (cid, dst, ...) of the second hop."""
+    left = first.select("cid", F.col("dst").alias("_via"))
+    right = edges.withColumnRenamed("src", "_via")
     table = split_table(hot, "_via", F.col("indeg"), F.col("outdeg"), hot_rows_setting(first))
     return skew_join(left, right, ["_via"], hot=table).drop("_via")
 
 
-def two_hop_candidates(graph, callers, one: DataFrame | None = None) -> DataFrame:
+def two_hop_candidate_ids(g: FriendGraph, one: DataFrame) -> DataFrame:
     """Friends of one-hop friends other than the caller (not distinct, may
-    include direct friends): (caller, loginAccount)."""
+    include direct friends): (cid, dst)."""
+    return expand(one, g.edges, g.hot).where(F.col("dst") != F.col("cid"))
+
+
+def reachable_ids(g: FriendGraph, cids) -> DataFrame:
+    """One-hop accounts united with strict two-hop accounts; equal to the
+    distinct union of one-hop accounts and all two-hop candidates, which
+    needs no anti join.  (cid, dst)."""
+    one = one_hop_ids(g, cids)
+    return one.unionByName(two_hop_candidate_ids(g, one)).distinct()
+
+
+# ------------------------------------------------------------ named operators
+
+def _named(g: FriendGraph, ids: DataFrame, callers, cids) -> DataFrame:
+    out = name_of(g, ids, "dst", "loginAccount")
+    return with_caller(g, out, callers, cids).select("caller", "loginAccount")
+
+
+def one_hop(graph, callers) -> DataFrame:
+    """C1 for many callers: (caller, loginAccount), distinct, no self-loop."""
     g = as_graph(graph)
-    one = one if one is not None else one_hop(g, callers)
-    return (expand(one, g.edges, g.hot)
-            .where(F.col("loginAccount") != F.col("caller")))
+    cids = caller_ids(g, callers)
+    return _named(g, one_hop_ids(g, cids), callers, cids)
 
 
 def two_hop_raw(graph, callers) -> DataFrame:
@@ -123,27 +194,26 @@ def two_hop_raw(graph, callers) -> DataFrame:
     Kept exactly: may contain the caller, direct friends, and a friend listed
     by its own self-loop."""
     g = as_graph(graph)
-    raw = g.roster.select("username", "loginAccount")
-    return (expand(one_hop(g, callers), raw, g.hot)
-            .select("caller", "loginAccount").distinct())
+    cids = caller_ids(g, callers)
+    ids = expand(one_hop_ids(g, cids), g.raw_edges, g.hot).select("cid", "dst").distinct()
+    return _named(g, ids, callers, cids)
 
 
 def two_hop_strict(graph, callers) -> DataFrame:
     """C3 second part: friends of friends that are neither the caller nor a
     direct friend."""
     g = as_graph(graph)
-    one = one_hop(g, callers)
-    two = two_hop_candidates(g, callers, one)
-    return two.join(one, ["caller", "loginAccount"], "left_anti").distinct()
+    cids = caller_ids(g, callers)
+    one = one_hop_ids(g, cids)
+    ids = two_hop_candidate_ids(g, one).join(one, ["cid", "dst"], "left_anti").distinct()
+    return _named(g, ids, callers, cids)
 
 
 def reachable_within_two(graph, callers) -> DataFrame:
-    """C3: one-hop accounts united with strict two-hop accounts; equal to the
-    distinct union of one-hop accounts and all two-hop candidates, which
-    needs no anti join."""
+    """C3: one-hop accounts united with strict two-hop accounts."""
     g = as_graph(graph)
-    one = one_hop(g, callers)
-    return one.unionByName(two_hop_candidates(g, callers, one)).distinct()
+    cids = caller_ids(g, callers)
+    return _named(g, reachable_ids(g, cids), callers, cids)
 
 
 def friends_one_hop(graph, caller: str) -> DataFrame:
@@ -165,5 +235,6 @@ def friends_reachable(graph, caller: str) -> DataFrame:
 
 
 def out_degrees(graph) -> DataFrame:
-    """(username, degree) over A."""
-    return as_graph(graph).degrees
+    """(username, degree) over the distinct friend edges."""
+    g = as_graph(graph)
+    return name_of(g, g.degrees, "src", "username").select("username", "degree")

@@ -14,8 +14,7 @@ import threading
 from pyspark.sql import DataFrame, SparkSession
 
 from amity.operators.contacts import contacts_denorm
-from amity.operators.roster import (FriendGraph, degrees_of, friend_edges, friend_edges_with_ids,
-                                   hot_degrees, load_roster)
+from amity.operators.roster import FriendGraph, load_roster
 from amity.plans import fixtures as fx
 from amity.session import scratch_path
 from amity.sources.snapshots import latest_snapshot, snapshot_write
@@ -27,23 +26,23 @@ _LOADED: dict[tuple[str, str], dict[str, str]] = {}
 FIXTURE_SNAPSHOT_MS = 1469664000000
 
 
+GRAPH_PARTS = ("accounts", "edges", "edges_ids", "raw_edges", "degrees", "hot")
+
+
 def _build(spark: SparkSession, sf_dir: str) -> dict[str, str]:
-    """Load step: the roster snapshot, the distinct edge tables derived from
-    it (clustered by owner), the hot-account table and the contact table."""
-    roots = {k: scratch_path(spark, k)
-             for k in ("roster", "edges", "edges_ids", "degrees", "hot", "contacts")}
+    """Load step: the roster snapshot, the account dictionary and the id-coded
+    edge, degree and hot-account tables derived from it (clustered by owner
+    id), and the contact table."""
+    roots = {k: scratch_path(spark, k) for k in ("roster", "contacts") + GRAPH_PARTS}
     snapshot_write(load_roster(fx.view_ofroster(spark, sf_dir)), roots["roster"],
                    FIXTURE_SNAPSHOT_MS, sort_by=("username",))
-    roster_df = latest_snapshot(spark, roots["roster"]).drop("snapshot_ms")
-    snapshot_write(friend_edges(roster_df).repartition("username"), roots["edges"],
-                   FIXTURE_SNAPSHOT_MS, sort_by=("username", "loginAccount"))
-    snapshot_write(friend_edges_with_ids(roster_df).repartition("username"), roots["edges_ids"],
-                   FIXTURE_SNAPSHOT_MS, sort_by=("username", "loginAccount"))
-    edges_df = latest_snapshot(spark, roots["edges"]).drop("snapshot_ms")
-    snapshot_write(degrees_of(edges_df), roots["degrees"], FIXTURE_SNAPSHOT_MS, sort_by=("username",))
+    g = FriendGraph.of(latest_snapshot(spark, roots["roster"]).drop("snapshot_ms"))
+    snapshot_write(g.accounts, roots["accounts"], FIXTURE_SNAPSHOT_MS, sort_by=("account",))
+    for name, key in (("edges", "src"), ("edges_ids", "src"), ("raw_edges", "src"), ("degrees", "src")):
+        snapshot_write(getattr(g, name).repartition(key), roots[name], FIXTURE_SNAPSHOT_MS, sort_by=(key,))
     # usually empty: written into its partition folder directly, so the
     # schema-only file still marks the snapshot
-    (hot_degrees(roster_df).coalesce(1).write.mode("overwrite")
+    (g.hot.coalesce(1).write.mode("overwrite")
      .parquet(f"{roots['hot']}/snapshot_ms={FIXTURE_SNAPSHOT_MS}"))
     card = fx.business_cards(spark, sf_dir)
     user = fx.users(spark, sf_dir)
@@ -72,9 +71,7 @@ def roster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def graph(spark: SparkSession, sf_dir: str) -> FriendGraph:
     """The friend graph of the newest roster snapshot, every part loaded."""
-    return FriendGraph(roster(spark, sf_dir), _latest(spark, sf_dir, "edges"),
-                       _latest(spark, sf_dir, "edges_ids"), _latest(spark, sf_dir, "hot"),
-                       _latest(spark, sf_dir, "degrees"))
+    return FriendGraph(roster(spark, sf_dir), *[_latest(spark, sf_dir, p) for p in GRAPH_PARTS])
 
 
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
