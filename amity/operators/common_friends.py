@@ -25,11 +25,15 @@ from amity.operators.roster import (FriendGraph, as_graph, caller_ids, name_of,
 from amity.plans.skew import hot_rows_setting, skew_join, split_table
 
 
-def counts_by_id(g: FriendGraph, req: DataFrame) -> DataFrame:
-    """(cid, uid) distinct requests -> (cid, uid, comm_friend_num > 0)."""
+def counts_by_id(g: FriendGraph, req: DataFrame, caller_degree: int | None = None) -> DataFrame:
+    """(cid, uid) distinct requests -> (cid, uid, comm_friend_num > 0).
+    ``caller_degree``: the degree of a single literal caller, known already."""
     deg = g.degrees
-    req = (req.join(deg.select(F.col("src").alias("cid"), F.col("degree").alias("_dc")), "cid")
-              .join(deg.select(F.col("src").alias("uid"), F.col("degree").alias("_du")), "uid"))
+    if caller_degree is None:
+        req = req.join(deg.select(F.col("src").alias("cid"), F.col("degree").alias("_dc")), "cid")
+    else:
+        req = req.withColumn("_dc", F.lit(int(caller_degree)).cast("bigint"))
+    req = req.join(deg.select(F.col("src").alias("uid"), F.col("degree").alias("_du")), "uid")
     small_is_caller = F.col("_dc") <= F.col("_du")
     req = req.select(
         "cid", "uid",
@@ -68,11 +72,25 @@ def common_friend_count_many(graph, requests: DataFrame) -> DataFrame:
 
 def common_friend_count(graph, caller: str, candidates: DataFrame) -> DataFrame:
     """``searchCommonFriendNum``: candidates (pos, username) ->
-    (pos, username, comm_friend_num), one row per input row."""
-    req = candidates.select(F.lit(caller).alias("caller"), "pos",
-                            F.col("username").alias("candidate"))
-    return (common_friend_count_many(graph, req)
-            .select("pos", F.col("candidate").alias("username"), "comm_friend_num"))
+    (pos, username, comm_friend_num), one row per input row.
+
+    The caller's id and degree are two point lookups, so the plan holds no
+    join against a single folded caller row."""
+    g = as_graph(graph)
+    cid = caller_ids(g, caller)
+    row = g.degrees.where(F.col("src") == F.lit(cid)).select("degree").first()
+    uids = (candidates.select("username").distinct()
+            .join(g.accounts.select(F.col("account").alias("username"), F.col("aid").alias("uid")),
+                  "username"))
+    counts = F.lit(0)
+    if row is not None:
+        found = counts_by_id(g, uids.select(F.lit(cid).alias("cid"), "uid"), caller_degree=row[0])
+        named = uids.join(found.drop("cid"), "uid").select("username", "comm_friend_num")
+        out = candidates.select("pos", "username").join(named, "username", "left")
+        counts = F.coalesce("comm_friend_num", F.lit(0))
+    else:
+        out = candidates.select("pos", "username")
+    return out.select("pos", "username", counts.cast("int").alias("comm_friend_num"))
 
 
 def common_friend_table(graph, callers) -> DataFrame:
