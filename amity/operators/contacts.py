@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from amity.plans.ranking import global_rank, global_rank_with_total, index_in_group
+from amity.session import checkpoint_root
 
 CONTACT_COLUMNS = ("userID", "loginAccount", "headImgUrl", "certify", "nickname",
                    "prestigeAmount", "position", "companyName", "areaName",
@@ -185,17 +186,48 @@ def result(matches: DataFrame, order: Sequence[Column], page_no: int, page_size:
 
 # ---------------------------------------------------------------- many callers
 
-def _exclusion_ranks(ranked: DataFrame, roster: DataFrame, callers: DataFrame) -> DataFrame:
-    """(caller, x): ranks of shared matches a caller must not see - its own
-    row and rows of accounts that list the caller as a friend."""
-    inbound = (roster.select(F.col("userID").alias("caller"), F.col("username").alias("loginAccount"))
-               .join(callers, "caller", "left_semi").distinct())
+# shared-ranking pools up to this many rows are a bounded top-k; deeper ones
+# use the distributed global rank
+POOL_LIMIT = 200_000
+
+
+def _inbound(roster: DataFrame, callers: DataFrame) -> DataFrame:
+    """(caller, loginAccount): accounts listing each caller as a friend."""
+    return (roster.select(F.col("userID").alias("caller"), F.col("username").alias("loginAccount"))
+            .join(callers, "caller", "left_semi").distinct())
+
+
+def _excluded_counts(matches: DataFrame, inbound: DataFrame, callers: DataFrame) -> DataFrame:
+    """(caller, _k): shared matches each caller must not see, counted by key -
+    rows of accounts that list the caller, plus the caller's own rows."""
+    per_account = matches.groupBy("loginAccount").agg(F.count(F.lit(1)).alias("_n"))
+    by_owner = (inbound.join(per_account, "loginAccount")
+                .groupBy("caller").agg(F.sum("_n").alias("_a")))
+    own = (matches.select(F.col("userID").alias("caller"), "loginAccount")
+           .join(callers, "caller", "left_semi")
+           .join(inbound, ["caller", "loginAccount"], "left_anti")
+           .groupBy("caller").agg(F.count(F.lit(1)).alias("_b")))
+    return (callers.join(by_owner, "caller", "left").join(own, "caller", "left")
+            .select("caller", (F.coalesce("_a", F.lit(0)) + F.coalesce("_b", F.lit(0))).alias("_k")))
+
+
+def _exclusion_ranks(ranked: DataFrame, inbound: DataFrame, callers: DataFrame) -> DataFrame:
+    """(caller, x): ranks (within ``ranked``) of rows a caller must not see."""
     by_owner = inbound.join(ranked.select("loginAccount", "rank"), "loginAccount").select("caller", "rank")
     own = (callers.join(ranked.select(F.col("userID").alias("caller"), "rank"), "caller")
            .select("caller", "rank"))
     return by_owner.unionByName(own).distinct().withColumnRenamed("rank", "x")
 
 
+def _ranked_pool(matches: DataFrame, order: Sequence[Column], depth: int) -> DataFrame:
+    """The first ``depth`` matches with their rank: a bounded top-k, numbered
+    in one partition of at most ``depth`` rows and checkpointed."""
+    top = matches.orderBy(*order).limit(depth)
+    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+    checkpoint_root(matches.sparkSession)
+    return ranked.checkpoint(eager=True)
+
+
 def paged_many(matches: DataFrame, order: Sequence[Column], roster: DataFrame, callers: DataFrame,
                page_no: int, page_size: int) -> tuple[DataFrame, DataFrame]:
     """One page and the total for every caller of a shared search.
@@ -208,18 +240,38 @@ def paged_many(matches: DataFrame, order: Sequence[Column], roster: DataFrame, c
     x_i+1 .. x_(i+1)-1, which are list positions g_i+1 .. g_(i+1) with
     g_i = x_i - i, each at rank position + i.  A page therefore touches at
     most page_size + 1 such runs, found by equi-joins on (caller, i); no
-    caller is ever paired with the whole match list."""
+    caller is ever paired with the whole match list.
+
+    Only ranks up to page_no * page_size + max_c k_c can appear on a page
+    (k_c = rows excluded for caller c, counted by key first), so when that
+    depth is small only a top-k pool is ranked; otherwise the whole match
+    list gets a distributed global rank."""
     _check_page(page_no, page_size)
     lo, hi = (page_no - 1) * page_size + 1, page_no * page_size
     callers = callers.select(F.col("caller").cast("bigint").alias("caller")).distinct()
-    ranked, n_total = global_rank_with_total(matches, order)
-
-    x = _exclusion_ranks(ranked, roster, callers)
-    k = x.groupBy("caller").agg(F.count(F.lit(1)).alias("_k"))
-    counts = (callers.join(k, "caller", "left")
-              .select("caller", (F.lit(n_total) - F.coalesce("_k", F.lit(0))).cast("bigint").alias("count")))
+    inbound = _inbound(roster, callers)
+    checkpoint_root(matches.sparkSession)
+    # one row per caller, used by the depth check and by every run below
+    k = _excluded_counts(matches, inbound, callers).checkpoint(eager=True)
+    # the deepest exclusion count and the shared total in one job
+    stats = dict(k.select(F.lit("k").alias("s"), F.max("_k").alias("v"))
+                 .unionByName(matches.select(F.lit("n").alias("s"), F.count(F.lit(1)).alias("v")))
+                 .collect())
+    depth = hi + int(stats.get("k") or 0)
+    if depth <= POOL_LIMIT:
+        ranked = _ranked_pool(matches, order, depth)
+        n_total = int(stats.get("n") or 0)
+    else:
+        ranked, n_total = global_rank_with_total(matches, order)
+    counts = k.select("caller", (F.lit(n_total) - F.col("_k")).cast("bigint").alias("count"))
 
-    xi = index_in_group(x, ["caller"], "x", idx_col="i").withColumn("g", F.col("x") - F.col("i"))
+    x = _exclusion_ranks(ranked, inbound, callers)
+    if depth <= POOL_LIMIT:
+        # ranks are at most depth, so a caller's group is bounded by it
+        xi = x.withColumn("i", F.row_number().over(Window.partitionBy("caller").orderBy("x")).cast("bigint"))
+    else:
+        xi = index_in_group(x, ["caller"], "x", idx_col="i")
+    xi = xi.withColumn("g", F.col("x") - F.col("i"))
     nxt = xi.select("caller", (F.col("i") - 1).alias("i"), F.col("g").alias("g_next"))
     runs_after = (xi.join(nxt, ["caller", "i"], "left").join(counts, "caller")
                   .select("caller", (F.col("g") + 1).alias("start"),
@@ -241,6 +293,14 @@ def paged_many(matches: DataFrame, order: Sequence[Column], roster: DataFrame, c
     return pages, counts
 
 
+def count_many(matches: DataFrame, roster: DataFrame, callers: DataFrame) -> DataFrame:
+    """Total of a shared search for every caller, (caller, count), without
+    ranking anything: the shared total minus each caller's excluded rows."""
+    callers = callers.select(F.col("caller").cast("bigint").alias("caller")).distinct()
+    k = _excluded_counts(matches, _inbound(roster, callers), callers)
+    return k.select("caller", (F.lit(matches.count()) - F.col("_k")).cast("bigint").alias("count"))
+
+
 def contacts_page_many(contacts: DataFrame, roster: DataFrame, callers: DataFrame, page_no: int,
                        page_size: int, prestige_amount: int | None = None,
                        area_codes: Sequence[int] = (), industry_codes: Sequence[int] = (),

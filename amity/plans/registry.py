@@ -187,9 +187,8 @@ def contacts_page_all_callers(spark, sf):
 
 
 def contacts_count_all_callers(spark, sf):
-    _, counts = ct.contacts_page_many(_contacts(spark, sf), _roster(spark, sf), _contact_callers(spark, sf),
-                                      *MANY_PAGE, prestige_amount=PRESTIGE_THRESHOLD)
-    return counts
+    matches = ct.prestige_filter(_contacts(spark, sf), PRESTIGE_THRESHOLD)
+    return ct.count_many(matches, _roster(spark, sf), _contact_callers(spark, sf))
 
 
 def affinity_page_all_callers(spark, sf):

@@ -103,8 +103,10 @@ def _brute(spark, callers, page_no, size):
     return out
 
 
+@pytest.mark.parametrize("pool_limit", [200_000, 0])
 @pytest.mark.parametrize("page_no,size", [(1, 2), (2, 2), (3, 2), (4, 2), (1, 10)])
-def test_many_callers_match_brute_force(spark, page_no, size):
+def test_many_callers_match_brute_force(spark, monkeypatch, pool_limit, page_no, size):
+    monkeypatch.setattr(ct, "POOL_LIMIT", pool_limit)
     callers = [1, 2, 6, 7, 42]
     cdf = spark.createDataFrame([(c,) for c in callers], "caller bigint")
     pages, counts = ct.contacts_page_many(contacts(spark), roster(spark), cdf, page_no, size, prestige_amount=0)
