@@ -88,8 +88,10 @@ def _in(col: str, values: Sequence[int]) -> Column:
 
 def prestige_filter(contacts: DataFrame, prestige_amount: int,
                     area_codes: Sequence[int] = (), industry_codes: Sequence[int] = ()) -> DataFrame:
-    """Shared part of the prestige search: optional lists, strict threshold."""
-    f = contacts
+    """Shared part of the prestige search: optional lists, strict threshold.
+    Rows without a login account are never results (the exclusion is an
+    anti join on it)."""
+    f = contacts.where(F.col("loginAccount").isNotNull())
     if industry_codes:
         f = f.where(_in("industryCode", industry_codes))
     if area_codes:
@@ -107,7 +109,8 @@ def affinity_filter(contacts: DataFrame, my_industry_code, area_code,
     """Shared part of the affinity search: mandatory industry list (empty
     matches nothing) and the two match flags (null parameter -> 0; a null
     area never matches)."""
-    f = contacts.where(_in("industryCode", industry_codes) if industry_codes else F.lit(False))
+    f = (contacts.where(F.col("loginAccount").isNotNull())
+         .where(_in("industryCode", industry_codes) if industry_codes else F.lit(False)))
     same_ind = (F.lit(0) if my_industry_code is None else
                 F.when(F.col("industryCode") == F.lit(int(my_industry_code)), 1).otherwise(0))
     same_area = (F.lit(0) if area_code is None else

@@ -48,13 +48,14 @@ TWO_STRICT = (f"select distinct loginAccount from ofroster where username <> log
               f"and loginAccount not in (select loginAccount from las)")
 
 PRESTIGE_MATCHES = (
-    f"select * from industry_contacts where userID <> {CALLER_ID} "
+    f"select * from industry_contacts where userID <> {CALLER_ID} and loginAccount is not null "
     f"and prestigeAmount > {PRESTIGE_THRESHOLD} "
     f"and loginAccount not in (select username from ofroster where userID = {CALLER_ID})")
 AFFINITY_MATCHES = (
     f"select *, case when industryCode = {AFFINITY_MY_INDUSTRY} then 1 else 0 end as sameIndustry, "
     f"case when areaCode = {AFFINITY_AREA} then 1 else 0 end as sameArea "
     f"from industry_contacts where industryCode in ({CODES}) and userID <> {CALLER_ID} "
+    f"and loginAccount is not null "
     f"and loginAccount not in (select username from ofroster where userID = {CALLER_ID})")
 
 # per-caller forms for every roster owner: the same steps with a caller key
@@ -276,7 +277,8 @@ def oracle_sql() -> dict[str, str]:
             f"select caller, rank, {ITEMS} from (select *, row_number() over "
             f"(partition by caller order by {PRESTIGE_ORDER}) as rank from cand) where {_page(mlo, mhi)}",
             ("callers", "select distinct userID as caller from industry_contacts"),
-            ("m", f"select * from industry_contacts where prestigeAmount > {PRESTIGE_THRESHOLD}"),
+            ("m", f"select * from industry_contacts where prestigeAmount > {PRESTIGE_THRESHOLD} "
+                  f"and loginAccount is not null"),
             ("cand", "select c.caller, m.* from callers c join m on m.userID <> c.caller "
                      "where not exists (select 1 from ofroster r where r.userID = c.caller "
                      "and r.username = m.loginAccount)")),
@@ -285,14 +287,15 @@ def oracle_sql() -> dict[str, str]:
             "on m.userID <> c.caller and not exists (select 1 from ofroster r where r.userID = c.caller "
             "and r.username = m.loginAccount) group by c.caller",
             ("callers", "select distinct userID as caller from industry_contacts"),
-            ("m", f"select * from industry_contacts where prestigeAmount > {PRESTIGE_THRESHOLD}")),
+            ("m", f"select * from industry_contacts where prestigeAmount > {PRESTIGE_THRESHOLD} "
+                  f"and loginAccount is not null")),
         "affinity_page_all_callers": _c(
             f"select caller, rank, {ITEMS} from (select *, row_number() over "
             f"(partition by caller order by {AFFINITY_ORDER}) as rank from cand) where {_page(alo, ahi)}",
             ("callers", "select distinct userID as caller from industry_contacts"),
             ("m", f"select *, case when industryCode = {AFFINITY_MY_INDUSTRY} then 1 else 0 end as sameIndustry, "
                   f"case when areaCode = {AFFINITY_AREA} then 1 else 0 end as sameArea "
-                  f"from industry_contacts where industryCode in ({CODES})"),
+                  f"from industry_contacts where industryCode in ({CODES}) and loginAccount is not null"),
             ("cand", "select c.caller, m.* from callers c join m on m.userID <> c.caller "
                      "where not exists (select 1 from ofroster r where r.userID = c.caller "
                      "and r.username = m.loginAccount)")),

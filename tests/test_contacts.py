@@ -117,3 +117,17 @@ def test_many_callers_match_brute_force(spark, monkeypatch, pool_limit, page_no,
     for c, (n, ids) in _brute(spark, callers, page_no, size).items():
         assert cnt[c] == n
         assert got.get(c, []) == ids
+
+
+def test_null_login_account_and_null_area(spark):
+    extra = spark.createDataFrame(
+        [(8, None, "i8", 1, "n8", 90, "p", "c", "x", "o", "w", 100, 330002, None),
+         (9, "u9", "i9", 1, "n9", None, "p", "c", "x", "o", "w", 100, None, None)], C_SCHEMA)
+    c = contacts(spark).unionByName(extra)
+    for uid in (1, 99):  # with and without inbound exclusions
+        m = ct.contacts_by_prestige(c, roster(spark), uid, 0)
+        ids = {r["userID"] for r in m.collect()}
+        assert 8 not in ids and 9 not in ids  # no account; null prestige fails the threshold
+    # an area parameter of -1 never matches a null area
+    m = ct.contacts_by_affinity(c, roster(spark), 99, None, -1, [100])
+    assert {r["userID"]: r["sameArea"] for r in m.collect()}[9] == 0
