@@ -5,7 +5,6 @@ import datetime as dt
 
 import pytest
 from conftest import rows
-from pyspark.sql import functions as F
 
 from amity.operators import contacts as ct
 

@@ -2,7 +2,6 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from amity.functions import dates as d
 from amity.functions import numbers as nb

@@ -2,7 +2,6 @@
 edges, a caller without edges, duplicate candidates)."""
 
 from conftest import rows
-from pyspark.sql import functions as F
 
 from amity.operators import common_friends as cf
 from amity.operators import relations as rel

@@ -2,7 +2,6 @@
 
 import itertools
 
-from pyspark.sql import functions as F
 
 from amity.session import scratch_path
 from amity.sources import snapshots as sn
