@@ -80,7 +80,11 @@ class FriendGraph:
     @classmethod
     def of(cls, roster: DataFrame) -> "FriendGraph":
         accounts = account_dictionary(roster)
-        coded = encode_roster(roster, accounts)
+        return cls.from_coded(roster, accounts, encode_roster(roster, accounts))
+
+    @classmethod
+    def from_coded(cls, roster: DataFrame, accounts: DataFrame, coded: DataFrame) -> "FriendGraph":
+        """The graph from roster rows already coded as (src, dst, userID)."""
         raw = coded.select("src", "dst").distinct()
         edges = raw.where(F.col("src") != F.col("dst"))
         edges_ids = coded.where(F.col("src") != F.col("dst")).distinct()

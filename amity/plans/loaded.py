@@ -14,7 +14,7 @@ import threading
 from pyspark.sql import DataFrame, SparkSession
 
 from amity.operators.contacts import contacts_denorm
-from amity.operators.roster import FriendGraph, load_roster
+from amity.operators.roster import FriendGraph, account_dictionary, encode_roster, load_roster
 from amity.plans import fixtures as fx
 from amity.session import scratch_path
 from amity.sources.snapshots import latest_snapshot, snapshot_write
@@ -33,11 +33,17 @@ def _build(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     """Load step: the roster snapshot, the account dictionary and the id-coded
     edge, degree and hot-account tables derived from it (clustered by owner
     id), and the contact table."""
-    roots = {k: scratch_path(spark, k) for k in ("roster", "contacts") + GRAPH_PARTS}
+    roots = {k: scratch_path(spark, k) for k in ("roster", "contacts", "coded") + GRAPH_PARTS}
     snapshot_write(load_roster(fx.view_ofroster(spark, sf_dir)), roots["roster"],
                    FIXTURE_SNAPSHOT_MS, sort_by=("username",))
-    g = FriendGraph.of(latest_snapshot(spark, roots["roster"]).drop("snapshot_ms"))
-    snapshot_write(g.accounts, roots["accounts"], FIXTURE_SNAPSHOT_MS, sort_by=("account",))
+    roster_df = latest_snapshot(spark, roots["roster"]).drop("snapshot_ms")
+    snapshot_write(account_dictionary(roster_df), roots["accounts"], FIXTURE_SNAPSHOT_MS,
+                   sort_by=("account",))
+    accounts = latest_snapshot(spark, roots["accounts"]).drop("snapshot_ms")
+    # the roster in ids, written once; every graph table derives from it
+    snapshot_write(encode_roster(roster_df, accounts), roots["coded"], FIXTURE_SNAPSHOT_MS)
+    coded = latest_snapshot(spark, roots["coded"]).drop("snapshot_ms")
+    g = FriendGraph.from_coded(roster_df, accounts, coded)
     for name, key in (("edges", "src"), ("edges_ids", "src"), ("raw_edges", "src"), ("degrees", "src")):
         snapshot_write(getattr(g, name).repartition(key), roots[name], FIXTURE_SNAPSHOT_MS, sort_by=(key,))
     # usually empty: written into its partition folder directly, so the
