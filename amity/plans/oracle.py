@@ -196,6 +196,14 @@ def _functions_sql() -> dict[str, str]:
 
 
 def oracle_sql() -> dict[str, str]:
+    out = _oracle_sql()
+    # materialised per-caller tables read back for one caller: same rows
+    out["common_friend_table_cached"] = out["common_friend_table"]
+    out["relation_table_cached"] = out["relation_table"]
+    return out
+
+
+def _oracle_sql() -> dict[str, str]:
     plo, phi = _bounds(PRESTIGE_PAGE)
     alo, ahi = _bounds(AFFINITY_PAGE)
     mlo, mhi = _bounds(MANY_PAGE)

@@ -144,6 +144,24 @@ def person_relation_many(spark, sf):
                                     include_strangers=True)
 
 
+def _derived_lookup(spark, sf, name: str, table: DataFrame) -> DataFrame:
+    """Materialise a per-caller table for the loaded snapshot (written once,
+    clustered by caller) and read one caller's rows back."""
+    root = scratch_path(spark, name)
+    sn.materialize_derived(table, root, loaded.FIXTURE_SNAPSHOT_MS)
+    return sn.derived_for(spark, root, loaded.FIXTURE_SNAPSHOT_MS, CALLER)
+
+
+def common_friend_table_cached(spark, sf):
+    t = cf.common_friend_table(_graph(spark, sf), None)
+    return _derived_lookup(spark, sf, "derived-common-friends", t).select("userName", "comFriendsNum")
+
+
+def relation_table_cached(spark, sf):
+    t = rel.relation_table_many(_graph(spark, sf), None)
+    return _derived_lookup(spark, sf, "derived-relations", t).select("userID", "friendType")
+
+
 # ------------------------------------------------------------ contact search
 
 def _prestige_matches(spark, sf):
@@ -414,6 +432,8 @@ QUERIES: dict[str, Query] = {
     "common_friend_all_callers": common_friend_all_callers,
     "relation_all_callers": relation_all_callers,
     "common_friend_count_many": common_friend_count_many,
+    "common_friend_table_cached": common_friend_table_cached,
+    "relation_table_cached": relation_table_cached,
     "person_relation_many": person_relation_many,
     "contacts_by_prestige_page": contacts_by_prestige_page,
     "contacts_by_prestige_count": contacts_by_prestige_count,
