@@ -263,6 +263,9 @@ def _oracle_sql() -> dict[str, str]:
             "join one m on m.caller = re.caller and m.u = o.loginAccount group by re.caller, re.u",
             ("one", ALL_ONE), ("two", ALL_TWO),
             ("reach", "select caller, u from one union select caller, u from two")),
+        "two_hop_raw_all_callers": _r(
+            "select distinct o.caller, r.loginAccount from one o join ofroster r on r.username = o.u",
+            ("one", ALL_ONE)),
         "relation_all_callers": _r(
             "select caller, cast(uid as varchar) as userID, 1 as friendType from t1 union all "
             "select caller, cast(uid as varchar) as userID, 2 as friendType from "

@@ -115,6 +115,10 @@ def common_friend_all_callers(spark, sf):
     return cf.common_friend_table(_graph(spark, sf), None)
 
 
+def two_hop_raw_all_callers(spark, sf):
+    return ro.two_hop_raw(_graph(spark, sf), None)
+
+
 def relation_all_callers(spark, sf):
     return rel.relation_table_many(_graph(spark, sf), None)
 
@@ -431,6 +435,7 @@ QUERIES: dict[str, Query] = {
     "person_relation": person_relation,
     "common_friend_all_callers": common_friend_all_callers,
     "relation_all_callers": relation_all_callers,
+    "two_hop_raw_all_callers": two_hop_raw_all_callers,
     "common_friend_count_many": common_friend_count_many,
     "common_friend_table_cached": common_friend_table_cached,
     "relation_table_cached": relation_table_cached,
