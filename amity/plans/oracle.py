@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from amity.plans.fixtures import all_industry_codes, with_fixtures
 from amity.plans.registry import (AFFINITY_AREA, AFFINITY_MY_INDUSTRY, AFFINITY_PAGE, CALLER,
-                                  CALLER_ID, COGROUP_DEFAULT, KEEP_SNAPSHOTS, MANY_PAGE,
+                                  CALLER_ID, COGROUP_DEFAULT, KEEP_SNAPSHOTS, LISTS_AREAS,
+                                  LISTS_INDUSTRIES, LISTS_PAGE, LISTS_THRESHOLD, MANY_PAGE,
                                   PRESTIGE_PAGE, PRESTIGE_THRESHOLD, SNAPSHOT_KEYS)
 
 ME = f"'{CALLER}'"
@@ -51,6 +52,12 @@ PRESTIGE_MATCHES = (
     f"select * from industry_contacts where userID <> {CALLER_ID} and loginAccount is not null "
     f"and prestigeAmount > {PRESTIGE_THRESHOLD} "
     f"and loginAccount not in (select username from ofroster where userID = {CALLER_ID})")
+LISTS_MATCHES = (
+    f"select * from industry_contacts where userID <> {CALLER_ID} and loginAccount is not null "
+    f"and industryCode in ({', '.join(map(str, LISTS_INDUSTRIES))}) "
+    f"and areaCode in ({', '.join(map(str, LISTS_AREAS))}) "
+    f"and prestigeAmount > {LISTS_THRESHOLD} "
+    f"and loginAccount not in (select username from ofroster where userID = {CALLER_ID})")
 AFFINITY_MATCHES = (
     f"select *, case when industryCode = {AFFINITY_MY_INDUSTRY} then 1 else 0 end as sameIndustry, "
     f"case when areaCode = {AFFINITY_AREA} then 1 else 0 end as sameArea "
@@ -205,6 +212,7 @@ def oracle_sql() -> dict[str, str]:
 
 def _oracle_sql() -> dict[str, str]:
     plo, phi = _bounds(PRESTIGE_PAGE)
+    llo, lhi = _bounds(LISTS_PAGE)
     alo, ahi = _bounds(AFFINITY_PAGE)
     mlo, mhi = _bounds(MANY_PAGE)
     return {
@@ -279,6 +287,11 @@ def _oracle_sql() -> dict[str, str]:
             f"from m) where {_page(plo, phi)}",
             ("m", PRESTIGE_MATCHES)),
         "contacts_by_prestige_count": _c("select count(*) as count from m", ("m", PRESTIGE_MATCHES)),
+        "contacts_by_prestige_lists_page": _c(
+            f"select rank, {ITEMS} from (select *, row_number() over (order by {PRESTIGE_ORDER}) as rank "
+            f"from m) where {_page(llo, lhi)}",
+            ("m", LISTS_MATCHES)),
+        "contacts_by_prestige_lists_count": _c("select count(*) as count from m", ("m", LISTS_MATCHES)),
         "contacts_by_affinity_page": _c(
             f"select rank, {ITEMS} from (select *, row_number() over (order by {AFFINITY_ORDER}) as rank "
             f"from m) where {_page(alo, ahi)}",

@@ -38,6 +38,10 @@ AFFINITY_MY_INDUSTRY = 100001000
 AFFINITY_AREA = 330002
 AFFINITY_PAGE = (2, 50)
 MANY_PAGE = (1, 20)
+LISTS_THRESHOLD = 5
+LISTS_INDUSTRIES = (100001000, 100002000, 100003000)
+LISTS_AREAS = (330001, 330002, 330003, 330004, 330005, 330006, 330007, 330008)
+LISTS_PAGE = (2, 25)
 SNAPSHOT_KEYS = (1469664000000, 1469707200000, 1469750400000)  # 720 minutes apart
 KEEP_SNAPSHOTS = 2
 COGROUP_DEFAULT = -1.0
@@ -178,6 +182,19 @@ def _affinity_matches(spark, sf):
                                    AFFINITY_MY_INDUSTRY, AFFINITY_AREA, fx.all_industry_codes())
 
 
+def _prestige_lists_matches(spark, sf):
+    return ct.contacts_by_prestige(_contacts(spark, sf), _roster(spark, sf), CALLER_ID,
+                                   LISTS_THRESHOLD, LISTS_AREAS, LISTS_INDUSTRIES)
+
+
+def contacts_by_prestige_lists_page(spark, sf):
+    return ct.page(_prestige_lists_matches(spark, sf), ct.prestige_order(), *LISTS_PAGE)
+
+
+def contacts_by_prestige_lists_count(spark, sf):
+    return ct.count_matches(_prestige_lists_matches(spark, sf))
+
+
 def contacts_by_prestige_page(spark, sf):
     return ct.page(_prestige_matches(spark, sf), ct.prestige_order(), *PRESTIGE_PAGE)
 
@@ -442,6 +459,8 @@ QUERIES: dict[str, Query] = {
     "person_relation_many": person_relation_many,
     "contacts_by_prestige_page": contacts_by_prestige_page,
     "contacts_by_prestige_count": contacts_by_prestige_count,
+    "contacts_by_prestige_lists_page": contacts_by_prestige_lists_page,
+    "contacts_by_prestige_lists_count": contacts_by_prestige_lists_count,
     "contacts_by_affinity_page": contacts_by_affinity_page,
     "contacts_by_affinity_count": contacts_by_affinity_count,
     "contacts_result": contacts_result,
