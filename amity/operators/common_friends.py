@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from amity.operators.roster import (FriendGraph, as_graph, caller_ids, name_of, reachable_ids,
                                     with_caller)
-from amity.plans.skew import hot_rows_setting, skew_join, split_table
+from amity.plans.skew import hot_rows_setting, split_hot_join, split_table
 
 
 def counts_by_id(g: FriendGraph, req: DataFrame, caller_degree: int | None = None) -> DataFrame:
@@ -42,7 +42,7 @@ def counts_by_id(g: FriendGraph, req: DataFrame, caller_degree: int | None = Non
     )
     # a hot pivot has its edges split and its requests copied per split
     table = split_table(g.hot, "src", F.lit(0), F.col("outdeg"), hot_rows_setting(req))
-    expanded = skew_join(req, g.edges, ["src"], hot=table).drop("src")
+    expanded = split_hot_join(req, g.edges, ["src"], table).drop("src")
     hits = expanded.join(g.edges.select(F.col("src").alias("_other"), "dst"),
                          ["_other", "dst"], "left_semi")
     return hits.groupBy("cid", "uid").agg(F.count(F.lit(1)).cast("int").alias("comm_friend_num"))

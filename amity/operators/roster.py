@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from amity.plans.ranking import global_rank
-from amity.plans.skew import degree_hot_keys, hot_rows_setting, skew_join, split_table
+from amity.plans.skew import degree_hot_keys, hot_rows_setting, split_hot_join, split_table
 
 ROSTER_COLUMNS = ("rosterID", "username", "loginAccount", "userID")
 NO_ACCOUNT = -1  # id of a caller that is not in the dictionary: matches nothing
@@ -76,6 +76,7 @@ class FriendGraph:
     raw_edges: DataFrame   # src, dst: distinct, self-loops kept
     degrees: DataFrame     # src, degree (out-degree over edges)
     hot: DataFrame         # account (an aid), indeg, outdeg: hot accounts only
+    edges_in: DataFrame | None = None  # the edges again, bucketed by dst (loaded graphs)
 
     @classmethod
     def of(cls, roster: DataFrame) -> "FriendGraph":
@@ -150,7 +151,10 @@ def with_caller(g: FriendGraph, df: DataFrame, callers, cids) -> DataFrame:
 # ------------------------------------------------------------ id-level plans
 
 def one_hop_ids(g: FriendGraph, cids) -> DataFrame:
-    """(cid, dst)."""
+    """(cid, dst).  For every owner the copy bucketed by ``dst`` is used, so
+    the next hop (a join on dst = src) finds both sides already bucketed."""
+    if cids is None and g.edges_in is not None:
+        return scope_ids(g.edges_in, None)
     return scope_ids(g.edges, cids)
 
 
@@ -161,7 +165,7 @@ def expand(first: DataFrame, edges: DataFrame, hot: DataFrame) -> DataFrame:
     left = first.select("cid", F.col("dst").alias("_via"))
     right = edges.withColumnRenamed("src", "_via")
     table = split_table(hot, "_via", F.col("indeg"), F.col("outdeg"), hot_rows_setting(first))
-    return skew_join(left, right, ["_via"], hot=table).drop("_via")
+    return split_hot_join(left, right, ["_via"], table).drop("_via")
 
 
 def two_hop_candidate_ids(g: FriendGraph, one: DataFrame) -> DataFrame:

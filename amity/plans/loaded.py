@@ -10,6 +10,7 @@ loads a directory once; a new session loads it again.
 from __future__ import annotations
 
 import threading
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +28,26 @@ FIXTURE_SNAPSHOT_MS = 1469664000000
 
 
 GRAPH_PARTS = ("accounts", "edges", "edges_ids", "raw_edges", "degrees", "hot")
+# edge tables written as bucketed tables: (name, bucket column)
+BUCKETED = (("edges", "src"), ("edges_ids", "src"), ("raw_edges", "src"), ("edges_in", "dst"))
+
+
+def graph_buckets(spark: SparkSession) -> int:
+    """Buckets of the edge tables: ``amity.graph.buckets``, else the
+    session's shuffle partitions (so a bucket is about one shuffle partition)."""
+    return int(spark.conf.get("amity.graph.buckets", spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _write_bucketed(spark: SparkSession, df: DataFrame, root: str, key: str, buckets: int) -> str:
+    """One file per bucket, sorted by the key, under the snapshot folder;
+    registered as an external table so scans know the bucketing (joins on
+    the key need no shuffle, an equality filter reads one bucket)."""
+    name = f"amity_{key}_{uuid.uuid4().hex[:12]}"
+    (df.repartition(buckets, key).write.mode("overwrite")
+     .bucketBy(buckets, key).sortBy(key)
+     .option("path", f"{root}/snapshot_ms={FIXTURE_SNAPSHOT_MS}")
+     .saveAsTable(name))
+    return name
 
 
 def _build(spark: SparkSession, sf_dir: str) -> dict[str, str]:
@@ -44,8 +65,12 @@ def _build(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     snapshot_write(encode_roster(roster_df, accounts), roots["coded"], FIXTURE_SNAPSHOT_MS)
     coded = latest_snapshot(spark, roots["coded"]).drop("snapshot_ms")
     g = FriendGraph.from_coded(roster_df, accounts, coded)
-    for name, key in (("edges", "src"), ("edges_ids", "src"), ("raw_edges", "src"), ("degrees", "src")):
-        snapshot_write(getattr(g, name).repartition(key), roots[name], FIXTURE_SNAPSHOT_MS, sort_by=(key,))
+    buckets = graph_buckets(spark)
+    for name, key in BUCKETED:
+        part = g.edges if name == "edges_in" else getattr(g, name)
+        roots["table:" + name] = _write_bucketed(spark, part, roots.setdefault(name, scratch_path(spark, name)),
+                                                 key, buckets)
+    snapshot_write(g.degrees.repartition("src"), roots["degrees"], FIXTURE_SNAPSHOT_MS, sort_by=("src",))
     # usually empty: written into its partition folder directly, so the
     # schema-only file still marks the snapshot
     (g.hot.coalesce(1).write.mode("overwrite")
@@ -76,8 +101,13 @@ def roster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph(spark: SparkSession, sf_dir: str) -> FriendGraph:
-    """The friend graph of the newest roster snapshot, every part loaded."""
-    return FriendGraph(roster(spark, sf_dir), *[_latest(spark, sf_dir, p) for p in GRAPH_PARTS])
+    """The friend graph of the newest roster snapshot, every part loaded;
+    the edge tables come back as bucketed table scans."""
+    roots = loaded_roots(spark, sf_dir)
+    table = {name: spark.table(roots["table:" + name]) for name, _ in BUCKETED}
+    return FriendGraph(roster(spark, sf_dir), _latest(spark, sf_dir, "accounts"), table["edges"],
+                       table["edges_ids"], table["raw_edges"], _latest(spark, sf_dir, "degrees"),
+                       _latest(spark, sf_dir, "hot"), edges_in=table["edges_in"])
 
 
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:

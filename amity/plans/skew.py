@@ -129,3 +129,22 @@ def skew_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "
           .withColumn("_salt", F.explode(_salts(False, rcols)))
           .drop("_splits", "_salt_left"))
     return ls.join(rs, on + ["_salt"], how).drop("_salt")
+
+
+def split_hot_join(left: DataFrame, right: DataFrame, on: Sequence[str], hot: DataFrame) -> DataFrame:
+    """Inner equi-join that keeps the inputs' partitioning for ordinary keys.
+
+    The hot table (on..., _splits, _salt_left) is bounded, so whether it is
+    empty is checked first (one tiny job).  Without hot keys this is the plain
+    join on ``on``: inputs already hash- or bucket-partitioned on ``on`` join
+    without a shuffle.  Otherwise the join is done in two parts: keys
+    outside ``hot`` join on ``on`` alone, hot keys take the salted
+    ``skew_join``; the filters are broadcast joins against the hot table,
+    which keep the inputs' partitioning."""
+    on = list(on)
+    if hot.isEmpty():
+        return left.join(right, on)
+    keys = F.broadcast(hot.select(*on))
+    cold = left.join(keys, on, "left_anti").join(right.join(keys, on, "left_anti"), on)
+    hot_part = skew_join(left.join(keys, on, "left_semi"), right.join(keys, on, "left_semi"), on, hot=hot)
+    return cold.unionByName(hot_part)
