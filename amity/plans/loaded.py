@@ -32,10 +32,19 @@ GRAPH_PARTS = ("accounts", "edges", "edges_ids", "raw_edges", "degrees", "hot")
 BUCKETED = (("edges", "src"), ("edges_ids", "src"), ("raw_edges", "src"), ("edges_in", "dst"))
 
 
-def graph_buckets(spark: SparkSession) -> int:
-    """Buckets of the edge tables: ``amity.graph.buckets``, else the
-    session's shuffle partitions (so a bucket is about one shuffle partition)."""
-    return int(spark.conf.get("amity.graph.buckets", spark.conf.get("spark.sql.shuffle.partitions")))
+ROWS_PER_BUCKET = 4_000_000  # two longs a row: about 64 MB of ids per bucket
+
+
+def graph_buckets(spark: SparkSession, rows: int) -> int:
+    """Buckets of the edge tables: ``amity.graph.buckets`` if set, else
+    enough for about ``ROWS_PER_BUCKET`` rows each and never fewer than the
+    cluster's default parallelism.  Buckets follow the data size: a bucketed
+    scan is never coalesced, so a fixed high count would turn small tables
+    into many tiny tasks."""
+    fixed = spark.conf.get("amity.graph.buckets", None)
+    if fixed:
+        return int(fixed)
+    return max(spark.sparkContext.defaultParallelism, -(-int(rows) // ROWS_PER_BUCKET))
 
 
 def _write_bucketed(spark: SparkSession, df: DataFrame, root: str, key: str, buckets: int) -> str:
@@ -65,7 +74,7 @@ def _build(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     snapshot_write(encode_roster(roster_df, accounts), roots["coded"], FIXTURE_SNAPSHOT_MS)
     coded = latest_snapshot(spark, roots["coded"]).drop("snapshot_ms")
     g = FriendGraph.from_coded(roster_df, accounts, coded)
-    buckets = graph_buckets(spark)
+    buckets = graph_buckets(spark, coded.count())  # a parquet count: footers only
     for name, key in BUCKETED:
         part = g.edges if name == "edges_in" else getattr(g, name)
         roots["table:" + name] = _write_bucketed(spark, part, roots.setdefault(name, scratch_path(spark, name)),
