@@ -41,8 +41,11 @@ def counts_by_id(g: FriendGraph, req: DataFrame, caller_degree: int | None = Non
         F.when(small_is_caller, F.col("uid")).otherwise(F.col("cid")).alias("_other"),
     )
     # a hot pivot has its edges split and its requests copied per split
-    table = split_table(g.hot, "src", F.lit(0), F.col("outdeg"), hot_rows_setting(req))
-    expanded = split_hot_join(req, g.edges, ["src"], table).drop("src")
+    if g.has_hot is False:
+        expanded = req.join(g.edges, "src").drop("src")
+    else:
+        table = split_table(g.hot, "src", F.lit(0), F.col("outdeg"), hot_rows_setting(req))
+        expanded = split_hot_join(req, g.edges, ["src"], table).drop("src")
     hits = expanded.join(g.edges.select(F.col("src").alias("_other"), "dst"),
                          ["_other", "dst"], "left_semi")
     return hits.groupBy("cid", "uid").agg(F.count(F.lit(1)).cast("int").alias("comm_friend_num"))

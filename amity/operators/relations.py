@@ -25,7 +25,7 @@ def relation_table_many(graph, callers) -> DataFrame:
     e = g.edges_ids.where(F.col("userID").isNotNull())
     first = scope_ids(e, cids).select("cid", "userID", F.lit(FRIEND).alias("friendType"))
     one = one_hop_ids(g, cids)
-    second = (expand(one, e, g.hot).where(F.col("dst") != F.col("cid"))
+    second = (expand(one, e, g.hot, g.has_hot).where(F.col("dst") != F.col("cid"))
               .join(one, ["cid", "dst"], "left_anti")
               .select("cid", "userID", F.lit(FRIEND_OF_FRIEND).alias("friendType")))
     both = (first.unionByName(second)

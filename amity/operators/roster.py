@@ -77,6 +77,7 @@ class FriendGraph:
     degrees: DataFrame     # src, degree (out-degree over edges)
     hot: DataFrame         # account (an aid), indeg, outdeg: hot accounts only
     edges_in: DataFrame | None = None  # the edges again, bucketed by dst (loaded graphs)
+    has_hot: bool | None = None        # known at load: whether any account is hot
 
     @classmethod
     def of(cls, roster: DataFrame) -> "FriendGraph":
@@ -158,12 +159,14 @@ def one_hop_ids(g: FriendGraph, cids) -> DataFrame:
     return scope_ids(g.edges, cids)
 
 
-def expand(first: DataFrame, edges: DataFrame, hot: DataFrame) -> DataFrame:
+def expand(first: DataFrame, edges: DataFrame, hot: DataFrame, has_hot: bool | None = None) -> DataFrame:
     """(cid, dst=f) x edges(src=f -> dst, ...) on f.  The in-edge side of a
     hot f is split, its out-edges copied (or the reverse when the out-degree
     is the larger).  Returns (cid, dst, ...) of the second hop."""
     left = first.select("cid", F.col("dst").alias("_via"))
     right = edges.withColumnRenamed("src", "_via")
+    if has_hot is False:
+        return left.join(right, "_via").drop("_via")
     table = split_table(hot, "_via", F.col("indeg"), F.col("outdeg"), hot_rows_setting(first))
     return split_hot_join(left, right, ["_via"], table).drop("_via")
 
@@ -171,7 +174,7 @@ def expand(first: DataFrame, edges: DataFrame, hot: DataFrame) -> DataFrame:
 def two_hop_candidate_ids(g: FriendGraph, one: DataFrame) -> DataFrame:
     """Friends of one-hop friends other than the caller (not distinct, may
     include direct friends): (cid, dst)."""
-    return expand(one, g.edges, g.hot).where(F.col("dst") != F.col("cid"))
+    return expand(one, g.edges, g.hot, g.has_hot).where(F.col("dst") != F.col("cid"))
 
 
 def reachable_ids(g: FriendGraph, cids) -> DataFrame:
@@ -203,7 +206,7 @@ def two_hop_raw(graph, callers) -> DataFrame:
     by its own self-loop."""
     g = as_graph(graph)
     cids = caller_ids(g, callers)
-    ids = expand(one_hop_ids(g, cids), g.raw_edges, g.hot).select("cid", "dst").distinct()
+    ids = expand(one_hop_ids(g, cids), g.raw_edges, g.hot, g.has_hot).select("cid", "dst").distinct()
     return _named(g, ids, callers, cids)
 
 

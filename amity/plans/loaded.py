@@ -13,6 +13,7 @@ import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from amity.operators.contacts import contacts_denorm
 from amity.operators.roster import FriendGraph, account_dictionary, encode_roster, load_roster
@@ -29,7 +30,9 @@ FIXTURE_SNAPSHOT_MS = 1469664000000
 
 GRAPH_PARTS = ("accounts", "edges", "edges_ids", "raw_edges", "degrees", "hot")
 # edge tables written as bucketed tables: (name, bucket column)
-BUCKETED = (("edges", "src"), ("edges_ids", "src"), ("raw_edges", "src"), ("edges_in", "dst"))
+# (the edges without self-loops are the raw edges with src <> dst: a filter
+# keeps the bucketing, so they are not written twice)
+BUCKETED = (("edges_ids", "src"), ("raw_edges", "src"), ("edges_in", "dst"))
 
 
 ROWS_PER_BUCKET = 4_000_000  # two longs a row: about 64 MB of ids per bucket
@@ -114,9 +117,13 @@ def graph(spark: SparkSession, sf_dir: str) -> FriendGraph:
     the edge tables come back as bucketed table scans."""
     roots = loaded_roots(spark, sf_dir)
     table = {name: spark.table(roots["table:" + name]) for name, _ in BUCKETED}
-    return FriendGraph(roster(spark, sf_dir), _latest(spark, sf_dir, "accounts"), table["edges"],
+    edges = table["raw_edges"].where(F.col("src") != F.col("dst"))
+    hot_df = _latest(spark, sf_dir, "hot")
+    if "has_hot" not in roots:  # a per-snapshot fact, checked once (tiny table)
+        roots["has_hot"] = not hot_df.isEmpty()
+    return FriendGraph(roster(spark, sf_dir), _latest(spark, sf_dir, "accounts"), edges,
                        table["edges_ids"], table["raw_edges"], _latest(spark, sf_dir, "degrees"),
-                       _latest(spark, sf_dir, "hot"), edges_in=table["edges_in"])
+                       hot_df, edges_in=table["edges_in"], has_hot=roots["has_hot"])
 
 
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
