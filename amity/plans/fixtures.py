@@ -3,7 +3,7 @@
 Friend edges are co-purchases: two customers are linked when both bought the
 same part, in different orders, at quantity >= 46.  Person records are built
 from customer, nation and orders.  Each builder is a plain DataFrame plan over
-the given parquet tables, so its work grows with them; ``FIXTURE_SQL`` holds
+the given parquet tables, so its work grows with them; ``fixture_sql()`` holds
 the same views as SQL text for the DuckDB oracle.
 """
 

@@ -1,10 +1,13 @@
-"""The two loaded tables (roster and contacts) for a data directory.
+"""The loaded tables of a data directory: roster, contacts and the friend graph.
 
 Loading is the refresh step: the fixture views are computed once from the
-given tables and written as a parquet snapshot to the shared checkpoint
-folder, then every query reads that snapshot - the file scan has real sizes
-for the optimizer, and lookups by owner hit sorted row groups.  A session
-loads a directory once; a new session loads it again.
+given tables and written as parquet snapshots under the shared checkpoint
+folder, together with what every graph query shares - the account
+dictionary, the id-coded edge tables (bucketed by owner, plus a copy
+bucketed by friend), degrees and the hot-account table.  Every query then
+reads those snapshots: scans have real sizes for the optimizer, equality
+lookups prune buckets and row groups, and the two-hop join needs no
+exchange.  A session loads a directory once; a new session loads it again.
 """
 
 from __future__ import annotations
