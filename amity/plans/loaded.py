@@ -56,7 +56,7 @@ def graph_buckets(spark: SparkSession, rows: int) -> int:
 def _write_bucketed(spark: SparkSession, df: DataFrame, root: str, key: str, buckets: int) -> str:
     """One file per bucket, sorted by the key, under the snapshot folder;
     registered as an external table so scans know the bucketing (joins on
-    the key need no shuffle, an equality filter reads one bucket)."""
+    the key need no shuffle; an equality filter skips other row groups)."""
     name = f"amity_{key}_{uuid.uuid4().hex[:12]}"
     (df.repartition(buckets, key).write.mode("overwrite")
      .bucketBy(buckets, key).sortBy(key)
@@ -86,6 +86,11 @@ def _build(spark: SparkSession, sf_dir: str) -> dict[str, str]:
         roots["table:" + name] = _write_bucketed(spark, part, roots.setdefault(name, scratch_path(spark, name)),
                                                  key, buckets)
     snapshot_write(g.degrees.repartition("src"), roots["degrees"], FIXTURE_SNAPSHOT_MS, sort_by=("src",))
+    # inbound index for the contact searches: who lists a user id, bucketed
+    # and sorted by that id, so a search's equality lookup skips the rest
+    inbound_df = roster_df.select("userID", "username").where(F.col("userID").isNotNull()).distinct()
+    roots["table:inbound"] = _write_bucketed(spark, inbound_df, scratch_path(spark, "inbound"), "userID",
+                                             graph_buckets(spark, inbound_df.count()))
     # usually empty: written into its partition folder directly, so the
     # schema-only file still marks the snapshot
     (g.hot.coalesce(1).write.mode("overwrite")
@@ -138,3 +143,9 @@ def hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hot accounts of the newest roster snapshot: (account, indeg, outdeg);
     bounded in size, so it is broadcast into every expansion."""
     return _latest(spark, sf_dir, "hot")
+
+
+def inbound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(userID, username): the owners listing each user id, bucketed by id -
+    the exclusion lookup of the contact searches."""
+    return spark.table(loaded_roots(spark, sf_dir)["table:inbound"])

@@ -57,6 +57,12 @@ def _contacts(spark, sf):
     return loaded.contacts(spark, sf)
 
 
+def _inbound(spark, sf):
+    """Exclusion lookups of the contact searches read the inbound index
+    (userID, username) rather than the whole roster."""
+    return loaded.inbound(spark, sf)
+
+
 def _graph(spark, sf):
     return loaded.graph(spark, sf)
 
@@ -173,17 +179,17 @@ def relation_table_cached(spark, sf):
 # ------------------------------------------------------------ contact search
 
 def _prestige_matches(spark, sf):
-    return ct.contacts_by_prestige(_contacts(spark, sf), _roster(spark, sf), CALLER_ID,
+    return ct.contacts_by_prestige(_contacts(spark, sf), _inbound(spark, sf), CALLER_ID,
                                    PRESTIGE_THRESHOLD, (), ())
 
 
 def _affinity_matches(spark, sf):
-    return ct.contacts_by_affinity(_contacts(spark, sf), _roster(spark, sf), CALLER_ID,
+    return ct.contacts_by_affinity(_contacts(spark, sf), _inbound(spark, sf), CALLER_ID,
                                    AFFINITY_MY_INDUSTRY, AFFINITY_AREA, fx.all_industry_codes())
 
 
 def _prestige_lists_matches(spark, sf):
-    return ct.contacts_by_prestige(_contacts(spark, sf), _roster(spark, sf), CALLER_ID,
+    return ct.contacts_by_prestige(_contacts(spark, sf), _inbound(spark, sf), CALLER_ID,
                                    LISTS_THRESHOLD, LISTS_AREAS, LISTS_INDUSTRIES)
 
 
@@ -220,20 +226,20 @@ def _contact_callers(spark, sf):
 
 
 def contacts_page_all_callers(spark, sf):
-    pages, _ = ct.contacts_page_many(_contacts(spark, sf), _roster(spark, sf), _contact_callers(spark, sf),
+    pages, _ = ct.contacts_page_many(_contacts(spark, sf), _inbound(spark, sf), _contact_callers(spark, sf),
                                      *MANY_PAGE, prestige_amount=PRESTIGE_THRESHOLD)
     return pages
 
 
 def contacts_count_all_callers(spark, sf):
     matches = ct.prestige_filter(_contacts(spark, sf), PRESTIGE_THRESHOLD)
-    return ct.count_many(matches, _roster(spark, sf), _contact_callers(spark, sf))
+    return ct.count_many(matches, _inbound(spark, sf), _contact_callers(spark, sf))
 
 
 def affinity_page_all_callers(spark, sf):
     aff = dict(my_industry_code=AFFINITY_MY_INDUSTRY, area_code=AFFINITY_AREA,
                industry_codes=fx.all_industry_codes())
-    pages, _ = ct.contacts_page_many(_contacts(spark, sf), _roster(spark, sf), _contact_callers(spark, sf),
+    pages, _ = ct.contacts_page_many(_contacts(spark, sf), _inbound(spark, sf), _contact_callers(spark, sf),
                                      *AFFINITY_PAGE, affinity=aff)
     return pages
 
