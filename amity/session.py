@@ -32,19 +32,23 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder named by ``spark.checkpoint.dir``.
+    """Shared folder named by ``spark.checkpoint.dir``, else the one the
+    session already called ``setCheckpointDir`` with.
 
-    On a cluster this setting names storage every executor can reach; it is
-    read, never replaced. Only when it is unset (local tests) a folder is
-    created and registered."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    On a cluster this names storage every executor can reach; it is read,
+    never replaced, and its absence is an error. Only a ``local`` master, where
+    driver and executors share one disk, gets a folder of its own."""
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not root:
-        root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+        root = sc.getCheckpointDir()
     if not root:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="amity-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(root)
     return root
 
 
