@@ -3,22 +3,33 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from amity.llm.fingerprints import op6_document_fingerprints
+from amity.llm.language_id import op8_language_id
+from amity.llm.license_scan import OP5_SQL, op5_license_scan
 from amity.llm.line_dedup import OP7_SQL, op7_line_dedup
 from amity.llm.mixing import op9_source_mixing
 from amity.llm.packing import op1_best_fit_packing
 from amity.llm.quality_rules import OP10_SQL, op10_quality_rules
 from amity.llm.simhash import op2_simhash_near_dedup
+from amity.llm.substring_dedup import op4_substring_dedup
+from amity.llm.toxicity import op3_toxicity
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_toxicity": op3_toxicity,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op5_license_scan": op5_license_scan,
+    "op6_document_fingerprints": op6_document_fingerprints,
     "op7_line_dedup": op7_line_dedup,
+    "op8_language_id": op8_language_id,
     "op9_source_mixing": op9_source_mixing,
     "op10_quality_rules": op10_quality_rules,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLE = {
+    "op5_license_scan": OP5_SQL,
     "op7_line_dedup": OP7_SQL,
     "op10_quality_rules": OP10_SQL,
 }
