@@ -24,7 +24,9 @@ the documents is read."""
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -39,7 +41,7 @@ CAPACITY = 2048
 END_ID = 0
 NODE_BUDGET = 400
 FILLINGS_PER_NODE = 8
-#: Most words whose ids a Python worker remembers.
+#: Words whose ids a Python worker remembers in each of two generations.
 CACHE_WORDS = 1 << 18
 
 Filling = tuple[tuple[int, int], ...]  # ((length, copies), ...) of one sequence
@@ -49,35 +51,69 @@ Plan = list[tuple[Filling, int]]  # fillings and how many sequences have them
 # --- tokens -----------------------------------------------------------------
 
 _TOKENIZERS: dict[str, tuple] = {}
+#: A full stop or comma between a plain letter or digit and a space is a token of
+#: its own whatever stands around it.
+_STOPS = re.compile(rb"(?<=[a-z0-9])[.,](?= )")
 
 
 def _tokenizer(path: str) -> tuple:
-    """The tokenizer of a file and the ids of words met before, kept for the
-    life of the Python worker."""
+    """The tokenizer of a file, the ids of words met before in two generations,
+    and which ids end a word; kept for the life of the Python worker."""
     if path not in _TOKENIZERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core only
         from tokenizers import Tokenizer
-        _TOKENIZERS[path] = (Tokenizer.from_file(path), {"": b""})
+        tokenizer = Tokenizer.from_file(path)
+        vocabulary = tokenizer.get_vocab()
+        ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        _TOKENIZERS[path] = tokenizer, [{}, {}], ends
     return _TOKENIZERS[path]
 
 
+def _split(text: str) -> list[bytes]:
+    """Parts that the tokenizer encodes the same alone as in the text: it lowers
+    case, drops white space and never merges across it. Texts that may hold one
+    of its special tokens keep their case."""
+    raw = text.encode().replace(b"\n", b" ")
+    if b"<|" not in raw:
+        raw = _STOPS.sub(rb" \g<0>", raw.lower())
+    return raw.split()
+
+
+def _encode_words(words: list[str], tokenizer, ends: np.ndarray) -> list[bytes]:
+    """Ids of each word. Words of letters only are one token group each, whose
+    last token carries the end-of-word mark: they are encoded as one text and
+    cut at these marks, unless the marks are not as many as the words."""
+    letters = [w.isalpha() for w in words]
+    plain = [w for w, ok in zip(words, letters) if ok]
+    other = iter(tokenizer.encode_batch_fast([w for w, ok in zip(words, letters) if not ok], add_special_tokens=False))
+    ids = np.array(tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids if plain else [], "<u4")
+    cuts = 4 * (np.flatnonzero(ends[ids]) + 1)
+    if len(cuts) == len(plain):
+        raw, cuts = ids.tobytes(), [0, *cuts.tolist()]
+        one = iter([raw[a:b] for a, b in zip(cuts, cuts[1:])])
+    else:
+        one = iter([array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(plain, add_special_tokens=False)])
+    return [next(one) if ok else array("I", next(other).ids).tobytes() for ok in letters]
+
+
 def encode(texts: list[str], path: str) -> list[bytes]:
-    """Little-endian unsigned 32-bit ids of each text. The tokenizer drops white
-    space and never merges across it, so texts are encoded word by word (split
-    at spaces and newlines) and each different word only once."""
-    tokenizer, known = _tokenizer(path)
-    split = [t.replace("\n", " ").split(" ") for t in texts]
-    out = []
-    for w in split:
-        new = [x for x in dict.fromkeys(w) if x not in known]
-        if new:
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                known[""] = b""
-                new = [x for x in dict.fromkeys(w) if x]
-            for x, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[x] = np.array(e.ids, "<u4").tobytes()
-        out.append(b"".join([known[x] for x in w]))
+    """Little-endian unsigned 32-bit ids of each text. Each different word is
+    encoded once while it is remembered; when a generation is full the older one
+    is forgotten, so frequent words stay."""
+    tokenizer, ages, ends = _tokenizer(path)
+    parts = [_split(t) for t in texts]
+    new, old = ages
+    missing = []
+    for w in set().union(*parts).difference(new):
+        if w in old:
+            new[w] = old[w]
+        else:
+            missing.append(w)
+    new.update(zip(missing, _encode_words([w.decode() for w in missing], tokenizer, ends)))
+    out = [b"".join([new[w] for w in p]) for p in parts]
+    if len(new) > CACHE_WORDS:
+        ages[:] = {}, new
     return out
 
 
@@ -263,9 +299,9 @@ def slots(plan: Plan) -> dict[str, np.ndarray]:
 # --- placing the pieces ---------------------------------------------------------------
 
 def _bucket(total: Column) -> Column:
-    """Pieces of one length are dealt into about sqrt(n) buckets, at least one
-    for 500 pieces, so that neither a bucket nor the list of buckets is large."""
-    return F.greatest(F.lit(1), F.least(F.ceil(total / 500), F.ceil(F.sqrt(total)))).cast("long")
+    """Pieces of one length are dealt into about sqrt(n) buckets, so that neither
+    a bucket nor the list of buckets is large."""
+    return F.ceil(F.sqrt(total)).cast("long")
 
 
 def place(pieces: DataFrame, capacity: int = CAPACITY, node_budget: int = NODE_BUDGET) -> DataFrame:
