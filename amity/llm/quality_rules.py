@@ -155,9 +155,11 @@ def _tagged(rows: DataFrame, tag: str, *cols: str) -> DataFrame:
 
 def _verdicts(rows: DataFrame, max_texts: int, max_percent: int, min_kept_percent: int, min_words: int,
               max_repeat_percent: int) -> DataFrame:
-    """Per row: doc_id, tkey, host, q, removed, bad, kept. No text is shuffled."""
+    """Per row: doc_id, tkey, host, q, removed, bad, kept. No text is shuffled.
+    The metrics are written first: a filter on what follows from them would
+    otherwise be pushed below and copy their expressions many times over."""
     hits = line_hits(rows, max_texts, max_percent)
-    base = base_metrics(rows, min_words, max_repeat_percent).drop("text")
+    base = written(base_metrics(rows, min_words, max_repeat_percent).drop("text"), "quality-base")
     left = F.col("q.n_words") - F.coalesce("removed", F.lit(0))
     return base.join(_tagged(hits, "h", "removed", "bad"), _same("h"), "left").select(
         "doc_id", "tkey", "host", "q", F.coalesce("removed", F.lit(0)).cast("long").alias("removed"), "bad",
@@ -177,12 +179,9 @@ def quality_filter(docs: DataFrame, host: str = "source", max_texts: int = MAX_L
                    max_percent: int = MAX_LINE_PERCENT, min_kept_percent: int = MIN_KEPT_PERCENT,
                    min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT) -> DataFrame:
     """The documents that pass, all columns of ``docs``, their text without its
-    boilerplate lines (other lines, blank ones included, as they were). The
-    verdicts are written first: a filter on them would otherwise be pushed
-    below the metrics and copy their expressions many times over."""
+    boilerplate lines (other lines, blank ones included, as they were)."""
     rows = _rows(docs, host)
-    verdicts = written(_verdicts(rows.drop("row"), max_texts, max_percent, min_kept_percent, min_words,
-                                 max_repeat_percent), "quality-verdicts")
+    verdicts = _verdicts(rows.drop("row"), max_texts, max_percent, min_kept_percent, min_words, max_repeat_percent)
     passed = _tagged(verdicts.where("kept").dropDuplicates(["doc_id", "tkey", "host"]), "v", "bad")
     text = F.when(F.col("bad").isNull(), F.col("text")).otherwise(F.array_join(F.filter(
         F.split("text", "\n"), lambda x: ~F.array_contains("bad", F.xxhash64(normal_line(F.lower(x))))), "\n"))
