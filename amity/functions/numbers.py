@@ -23,6 +23,10 @@ def round_half_up(c, bits: int = 2) -> Column:
 
 
 def truncate_decimal(c, bits: int = 2) -> Column:
-    """Truncation toward zero: 1.009 -> 1.0, -1.009 -> -1.0, 0.29 -> 0.29."""
-    d = _c(c).cast(_DEC)
-    return F.when(d >= 0, F.floor(d, bits)).otherwise(F.ceil(d, bits)).cast("double")
+    """Truncation toward zero: 1.009 -> 1.0, -1.009 -> -1.0, 0.29 -> 0.29.
+    Doubles from 1e16 have no decimals to cut (NaN and infinities neither) and
+    are returned as they are; they would not all fit the decimal type."""
+    x = _c(c).cast("double")
+    small = F.abs(x) < 1e16
+    d = F.when(small, x).cast(_DEC)
+    return F.when(~small, x).otherwise(F.when(d >= 0, F.floor(d, bits)).otherwise(F.ceil(d, bits)).cast("double"))

@@ -1,5 +1,7 @@
 """Cogroup, file round trips and the snapshot lifecycle."""
 
+import pytest
+
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -64,3 +66,28 @@ def test_derived_tables(spark):
     assert rows(sn.derived_for(spark, root, 5, "a"), "caller", "userName") == [("a", "x")]
     callers = spark.createDataFrame([("a",), ("c",)], "caller string")
     assert rows(sn.missing_callers(spark, root, 5, callers)) == [("c",)]
+    # adding c keeps a and b; e has no rows and is answered for all the same
+    more = spark.createDataFrame([("c", "z", 3)], "caller string, userName string, n int")
+    answered = spark.createDataFrame([("c",), ("e",)], "caller string")
+    sn.materialize_derived(more, root, 5, callers=answered)
+    asked = spark.createDataFrame([("a",), ("b",), ("c",), ("d",), ("e",)], "caller string")
+    assert rows(sn.derived_for(spark, root, 5, asked), "caller", "userName") == [("a", "x"), ("b", "y"), ("c", "z")]
+    assert rows(sn.missing_callers(spark, root, 5, asked)) == [("d",)]
+    # a caller added twice is read once
+    sn.materialize_derived(more, root, 5)
+    assert rows(sn.derived_for(spark, root, 5, "c"), "userName") == [("z",)]
+    sn.retain_derived(spark, root, [6])
+    assert sn.missing_callers(spark, root, 5, asked).count() == 5
+
+
+def test_failed_refresh_leaves_the_old_snapshot(spark):
+    root = scratch_path(spark, "t-failing")
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    sn.refresh(spark, df, root, 100, keep=1)
+    failing = df.withColumn("v", F.raise_error(F.lit("source failed")).cast("string"))
+    with pytest.raises(Exception, match="source failed"):
+        sn.refresh(spark, failing, root, 200, keep=1)
+    assert sn.snapshot_keys(spark, root) == [100] and sn.latest_snapshot(spark, root).count() == 2
+    # a source that reads the same root
+    sn.refresh(spark, sn.latest_snapshot(spark, root).drop(sn.SNAPSHOT_COL), root, 300, keep=1)
+    assert sn.snapshot_keys(spark, root) == [300] and sn.latest_snapshot(spark, root).count() == 2

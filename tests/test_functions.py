@@ -60,3 +60,9 @@ def test_epoch_and_reformat(spark):
     assert got == ["1970-01-01 00:00:00.000", "2016-07-28 00:00:00.123"]
     s = spark.createDataFrame([("2016/07/28",)], "s string")
     assert s.select(d.reformat_date("s", "yyyy/MM/dd", "dd.MM.yyyy")).collect()[0][0] == "28.07.2016"
+
+
+def test_truncate_of_wide_doubles(spark):
+    df = spark.createDataFrame([(1e25,), (-1e25,), (1e15 + 0.125,), (float("nan"),), (None,)], "x double")
+    got = [r[0] for r in df.select(nb.truncate_decimal("x")).collect()]
+    assert got[:3] == [1e25, -1e25, 1e15 + 0.12] and got[3] != got[3] and got[4] is None
