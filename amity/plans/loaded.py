@@ -22,7 +22,7 @@ from amity.operators.contacts import contacts_denorm
 from amity.operators.roster import FriendGraph, account_dictionary, encode_roster, load_roster
 from amity.plans import fixtures as fx
 from amity.session import scratch_path
-from amity.sources.snapshots import latest_snapshot, snapshot_write
+from amity.sources.snapshots import latest_snapshot, mark_complete, snapshot_write
 
 _LOCK = threading.Lock()
 _LOADED: dict[tuple[str, str], dict[str, str]] = {}
@@ -50,7 +50,8 @@ def graph_buckets(spark: SparkSession, rows: int) -> int:
     fixed = spark.conf.get("amity.graph.buckets", None)
     if fixed:
         return int(fixed)
-    return max(spark.sparkContext.defaultParallelism, -(-int(rows) // ROWS_PER_BUCKET))
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
+    return min(most, max(spark.sparkContext.defaultParallelism, -(-int(rows) // ROWS_PER_BUCKET)))
 
 
 def _write_bucketed(spark: SparkSession, df: DataFrame, root: str, key: str, buckets: int) -> str:
@@ -95,6 +96,7 @@ def _build(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     # schema-only file still marks the snapshot
     (g.hot.coalesce(1).write.mode("overwrite")
      .parquet(f"{roots['hot']}/snapshot_ms={FIXTURE_SNAPSHOT_MS}"))
+    mark_complete(spark, roots["hot"], FIXTURE_SNAPSHOT_MS)
     card = fx.business_cards(spark, sf_dir)
     user = fx.users(spark, sf_dir)
     pres = fx.prestige(spark, sf_dir)

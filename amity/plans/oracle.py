@@ -207,6 +207,7 @@ def oracle_sql() -> dict[str, str]:
     # materialised per-caller tables read back for one caller: same rows
     out["common_friend_table_cached"] = out["common_friend_table"]
     out["relation_table_cached"] = out["relation_table"]
+    out["derived_missing_callers"] = out["relation_all_callers"]
     return out
 
 

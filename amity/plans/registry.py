@@ -158,22 +158,41 @@ def person_relation_many(spark, sf):
                                     include_strangers=True)
 
 
-def _derived_lookup(spark, sf, name: str, table: DataFrame) -> DataFrame:
-    """Materialise a per-caller table for the loaded snapshot (written once,
-    clustered by caller) and read one caller's rows back."""
+def _add_missing(spark, root: str, asked: DataFrame, build) -> None:
+    """Add to a derived table the asked callers that it does not answer for."""
+    missing = sn.missing_callers(spark, root, loaded.FIXTURE_SNAPSHOT_MS, asked)
+    sn.materialize_derived(build(missing), root, loaded.FIXTURE_SNAPSHOT_MS, callers=missing)
+
+
+def _derived_lookup(spark, sf, name: str, build) -> DataFrame:
+    """Materialise a per-caller table for the caller asked for, as far as it is
+    missing, and read that caller's rows back."""
     root = scratch_path(spark, name)
-    sn.materialize_derived(table, root, loaded.FIXTURE_SNAPSHOT_MS)
+    _add_missing(spark, root, spark.createDataFrame([(CALLER,)], "caller string"), build)
     return sn.derived_for(spark, root, loaded.FIXTURE_SNAPSHOT_MS, CALLER)
 
 
 def common_friend_table_cached(spark, sf):
-    t = cf.common_friend_table(_graph(spark, sf), None)
-    return _derived_lookup(spark, sf, "derived-common-friends", t).select("userName", "comFriendsNum")
+    g = _graph(spark, sf)
+    return _derived_lookup(spark, sf, "derived-common-friends", lambda callers: cf.common_friend_table(g, callers)
+                           ).select("userName", "comFriendsNum")
 
 
 def relation_table_cached(spark, sf):
-    t = rel.relation_table_many(_graph(spark, sf), None)
-    return _derived_lookup(spark, sf, "derived-relations", t).select("userID", "friendType")
+    g = _graph(spark, sf)
+    return _derived_lookup(spark, sf, "derived-relations", lambda callers: rel.relation_table_many(g, callers)
+                           ).select("userID", "friendType")
+
+
+def derived_missing_callers(spark, sf):
+    """A relation table filled in two steps: one caller first, then every roster
+    owner that is still missing; the rows of all of them."""
+    g, root = _graph(spark, sf), scratch_path(spark, "derived-two-steps")
+    owners = _roster(spark, sf).select(F.col("username").alias("caller")).distinct()
+    build = lambda callers: rel.relation_table_many(g, callers)
+    _add_missing(spark, root, spark.createDataFrame([(CALLER,)], "caller string"), build)
+    _add_missing(spark, root, owners, build)
+    return sn.derived_for(spark, root, loaded.FIXTURE_SNAPSHOT_MS, owners).drop(sn.SNAPSHOT_COL)
 
 
 # ------------------------------------------------------------ contact search
@@ -462,6 +481,7 @@ QUERIES: dict[str, Query] = {
     "common_friend_count_many": common_friend_count_many,
     "common_friend_table_cached": common_friend_table_cached,
     "relation_table_cached": relation_table_cached,
+    "derived_missing_callers": derived_missing_callers,
     "person_relation_many": person_relation_many,
     "contacts_by_prestige_page": contacts_by_prestige_page,
     "contacts_by_prestige_count": contacts_by_prestige_count,

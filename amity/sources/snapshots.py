@@ -38,11 +38,16 @@ def snapshot_write(df: DataFrame, root: str, snapshot_ms: int,
      .option("partitionOverwriteMode", "dynamic")
      .partitionBy(SNAPSHOT_COL)
      .parquet(root))
-    fs, marker = hadoop_fs(df.sparkSession, f"{root.rstrip('/')}/{SNAPSHOT_COL}={int(snapshot_ms)}/{COMPLETE}")
-    fs.create(marker, True).close()
+    mark_complete(df.sparkSession, root, snapshot_ms)
     return root
 
 
+def mark_complete(spark: SparkSession, root: str, snapshot_ms: int) -> None:
+    """Readers see the snapshot from here on."""
+    fs, marker = hadoop_fs(spark, f"{root.rstrip('/')}/{SNAPSHOT_COL}={int(snapshot_ms)}/{COMPLETE}")
+    fs.create(marker, True).close()
+
+
 def snapshot_keys(spark: SparkSession, root: str) -> list[int]:
     """Keys of the complete snapshots under ``root``, newest first (folder
     listings only)."""
