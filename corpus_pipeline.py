@@ -67,5 +67,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: SimHash, the flow's seeded selection and the tokenizer have no SQL form; tests
-#: hold the pipeline against brute force.
+#: hold the stages' operators against brute force.
 ORACLE_SQL = None
