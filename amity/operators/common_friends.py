@@ -6,13 +6,17 @@ With self-loops dropped this is |A(c) ∩ A(u)| over the distinct friend edges
 A, which is symmetric in ``c`` and ``u``; a candidate equal to the caller gets
 the caller's own degree.
 
-Plan (no pairs are formed inside a friend group), on account ids:
+Plan for many callers (no pairs are formed inside a friend group), on ids:
 1. attach both out-degrees to each distinct request;
 2. expand only the side with the smaller degree (the pivot) through its
-   edges, giving Σ min(deg c, deg u) rows in total;
+   edges, giving Σ min(deg c, deg u) rows in total; a pivot that many
+   requests share is dealt over several tasks;
 3. keep the rows whose (other side, f) is an edge - a semi join on the
    unique edge key;
 4. count per request.
+
+One caller needs no pivot: the candidates' edges, read on their bucket key,
+are kept where they lead to one of the caller's friends.
 """
 
 from __future__ import annotations
@@ -22,30 +26,25 @@ from pyspark.sql import functions as F
 
 from amity.operators.roster import (FriendGraph, as_graph, caller_ids, name_of, reachable_ids,
                                     with_caller)
-from amity.plans.skew import hot_rows_setting, split_hot_join, split_table
+from amity.plans.skew import hot_rows_setting, skew_join, split_table
 
 
-def counts_by_id(g: FriendGraph, req: DataFrame, caller_degree: int | None = None) -> DataFrame:
-    """(cid, uid) distinct requests -> (cid, uid, comm_friend_num > 0).
-    ``caller_degree``: the degree of a single literal caller, known already."""
+def counts_by_id(g: FriendGraph, req: DataFrame) -> DataFrame:
+    """(cid, uid) distinct requests -> (cid, uid, comm_friend_num > 0)."""
     deg = g.degrees
-    if caller_degree is None:
-        req = req.join(deg.select(F.col("src").alias("cid"), F.col("degree").alias("_dc")), "cid")
-    else:
-        req = req.withColumn("_dc", F.lit(int(caller_degree)).cast("bigint"))
+    req = req.join(deg.select(F.col("src").alias("cid"), F.col("degree").alias("_dc")), "cid")
     req = req.join(deg.select(F.col("src").alias("uid"), F.col("degree").alias("_du")), "uid")
     small_is_caller = F.col("_dc") <= F.col("_du")
     req = req.select(
         "cid", "uid",
         F.when(small_is_caller, F.col("cid")).otherwise(F.col("uid")).alias("src"),
         F.when(small_is_caller, F.col("uid")).otherwise(F.col("cid")).alias("_other"),
+        F.least("_dc", "_du").alias("_deg"),
     )
-    # a hot pivot has its edges split and its requests copied per split
-    if g.has_hot is False:
-        expanded = req.join(g.edges, "src").drop("src")
-    else:
-        table = split_table(g.hot, "src", F.lit(0), F.col("outdeg"), hot_rows_setting(req))
-        expanded = split_hot_join(req, g.edges, ["src"], table).drop("src")
+    # work of a pivot: its requests x its degree
+    pivots = req.groupBy("src").agg(F.count(F.lit(1)).alias("_n"), F.max("_deg").alias("_deg"))
+    hot = split_table(pivots, ["src"], F.col("_n"), F.col("_deg"), hot_rows_setting(req))
+    expanded = skew_join(req.drop("_deg"), g.edges, ["src"], hot=hot).drop("src")
     hits = expanded.join(g.edges.select(F.col("src").alias("_other"), "dst"),
                          ["_other", "dst"], "left_semi")
     return hits.groupBy("cid", "uid").agg(F.count(F.lit(1)).cast("int").alias("comm_friend_num"))
@@ -77,23 +76,18 @@ def common_friend_count(graph, caller: str, candidates: DataFrame) -> DataFrame:
     """``searchCommonFriendNum``: candidates (pos, username) ->
     (pos, username, comm_friend_num), one row per input row.
 
-    The caller's id and degree are two point lookups, so the plan holds no
-    join against a single folded caller row."""
+    The caller's id is a point lookup and its friends one filtered read of the
+    edges; every join key on the way is a candidate or one of its friends."""
     g = as_graph(graph)
     cid = caller_ids(g, caller)
-    row = g.degrees.where(F.col("src") == F.lit(cid)).select("degree").first()
     uids = (candidates.select("username").distinct()
-            .join(g.accounts.select(F.col("account").alias("username"), F.col("aid").alias("uid")),
+            .join(g.accounts.select(F.col("account").alias("username"), F.col("aid").alias("src")),
                   "username"))
-    counts = F.lit(0)
-    if row is not None:
-        found = counts_by_id(g, uids.select(F.lit(cid).alias("cid"), "uid"), caller_degree=row[0])
-        named = uids.join(found.drop("cid"), "uid").select("username", "comm_friend_num")
-        out = candidates.select("pos", "username").join(named, "username", "left")
-        counts = F.coalesce("comm_friend_num", F.lit(0))
-    else:
-        out = candidates.select("pos", "username")
-    return out.select("pos", "username", counts.cast("int").alias("comm_friend_num"))
+    mine = g.edges.where(F.col("src") == F.lit(cid)).select("dst")
+    counts = (uids.join(g.edges, "src").join(mine, "dst", "left_semi")
+              .groupBy("username").agg(F.count(F.lit(1)).alias("_n")))
+    return (candidates.select("pos", "username").join(counts, "username", "left")
+            .select("pos", "username", F.coalesce("_n", F.lit(0)).cast("int").alias("comm_friend_num")))
 
 
 def common_friend_table(graph, callers) -> DataFrame:

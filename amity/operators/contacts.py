@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from amity.plans.ranking import global_rank, global_rank_with_total, index_in_group
+from amity.plans.ranking import global_rank_with_total, index_in_group
 from amity.session import checkpoint_root
 
 CONTACT_COLUMNS = ("userID", "loginAccount", "headImgUrl", "certify", "nickname",
@@ -34,11 +34,6 @@ ITEM_COLUMNS = ("userID", "loginAccount", "headImgUrl", "certify", "contacts",
                 "prestigeAmount", "position", "companyName", "vAreaName",
                 "industryProvide", "industryRequirement")
 
-# pages up to this many rows (pageNo * pageSize) use a bounded top-k;
-# deeper pages use the distributed global rank
-TOP_K_LIMIT = 100_000
-
-
 def contacts_denorm(cards: DataFrame, users: DataFrame, prestige: DataFrame) -> DataFrame:
     """card ⋈ user ⋈ prestige, both statuses 1: the 14 person columns."""
     b = cards.alias("b")
@@ -156,15 +151,11 @@ def page(matches: DataFrame, order: Sequence[Column], page_no: int, page_size: i
     """Rows ``(page_no-1)*page_size+1 .. page_no*page_size`` of ``matches`` in
     ``order``: (rank, 11 item fields).  Short last page; empty past the end."""
     _check_page(page_no, page_size)
-    lo, hi = (page_no - 1) * page_size + 1, page_no * page_size
-    if hi <= TOP_K_LIMIT:
-        # bounded top-k (TakeOrderedAndProject), then numbering of <= hi rows
-        top = matches.orderBy(*order).limit(hi)
-        ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
-    else:
-        ranked = global_rank(matches, order)
-    return (ranked.where(F.col("rank").between(lo, hi))
-            .select("rank", *items(ranked)))
+    skipped = (page_no - 1) * page_size
+    # only the rows of the page are numbered
+    top = matches.orderBy(*order).offset(skipped).limit(page_size)
+    at = F.row_number().over(Window.orderBy(*order)) + F.lit(skipped)
+    return top.withColumn("rank", at.cast("bigint")).select("rank", *items(top))
 
 
 def count_matches(matches: DataFrame) -> DataFrame:
@@ -189,9 +180,8 @@ def result(matches: DataFrame, order: Sequence[Column], page_no: int, page_size:
 
 # ---------------------------------------------------------------- many callers
 
-# shared-ranking pools up to this many rows are a bounded top-k; deeper ones
-# use the distributed global rank
-POOL_LIMIT = 200_000
+# callers that may share one copy of a ranked row in the final join
+CALLERS_PER_COPY = 1_000_000
 
 
 def _inbound(roster: DataFrame, callers: DataFrame) -> DataFrame:
@@ -222,15 +212,6 @@ def _exclusion_ranks(ranked: DataFrame, inbound: DataFrame, callers: DataFrame)
     return by_owner.unionByName(own).distinct().withColumnRenamed("rank", "x")
 
 
-def _ranked_pool(matches: DataFrame, order: Sequence[Column], depth: int) -> DataFrame:
-    """The first ``depth`` matches with their rank: a bounded top-k, numbered
-    in one partition of at most ``depth`` rows and checkpointed."""
-    top = matches.orderBy(*order).limit(depth)
-    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
-    checkpoint_root(matches.sparkSession)
-    return ranked.checkpoint(eager=True)
-
-
 def paged_many(matches: DataFrame, order: Sequence[Column], roster: DataFrame, callers: DataFrame,
                page_no: int, page_size: int) -> tuple[DataFrame, DataFrame]:
     """One page and the total for every caller of a shared search.
@@ -245,10 +226,10 @@ def paged_many(matches: DataFrame, order: Sequence[Column], roster: DataFrame, c
     most page_size + 1 such runs, found by equi-joins on (caller, i); no
     caller is ever paired with the whole match list.
 
-    Only ranks up to page_no * page_size + max_c k_c can appear on a page
-    (k_c = rows excluded for caller c, counted by key first), so when that
-    depth is small only a top-k pool is ranked; otherwise the whole match
-    list gets a distributed global rank."""
+    The match list gets one distributed global rank.  Only ranks up to
+    page_no * page_size + max_c k_c can appear on a page (k_c = rows excluded
+    for caller c, counted by key first); the joins read no others.  Callers
+    share the top ranks, so those rows are copied per million callers."""
     _check_page(page_no, page_size)
     lo, hi = (page_no - 1) * page_size + 1, page_no * page_size
     callers = callers.select(F.col("caller").cast("bigint").alias("caller")).distinct()
@@ -256,24 +237,13 @@ def paged_many(matches: DataFrame, order: Sequence[Column], roster: DataFrame, c
     checkpoint_root(matches.sparkSession)
     # one row per caller, used by the depth check and by every run below
     k = _excluded_counts(matches, inbound, callers).checkpoint(eager=True)
-    # the deepest exclusion count and the shared total in one job
-    stats = dict(k.select(F.lit("k").alias("s"), F.max("_k").alias("v"))
-                 .unionByName(matches.select(F.lit("n").alias("s"), F.count(F.lit(1)).alias("v")))
-                 .collect())
-    depth = hi + int(stats.get("k") or 0)
-    if depth <= POOL_LIMIT:
-        ranked = _ranked_pool(matches, order, depth)
-        n_total = int(stats.get("n") or 0)
-    else:
-        ranked, n_total = global_rank_with_total(matches, order)
+    deepest, n_callers = k.agg(F.max("_k"), F.count(F.lit(1))).first()
+    ranked, n_total = global_rank_with_total(matches, order)
+    ranked = ranked.where(F.col("rank") <= F.lit(hi + int(deepest or 0)))
     counts = k.select("caller", (F.lit(n_total) - F.col("_k")).cast("bigint").alias("count"))
 
     x = _exclusion_ranks(ranked, inbound, callers)
-    if depth <= POOL_LIMIT:
-        # ranks are at most depth, so a caller's group is bounded by it
-        xi = x.withColumn("i", F.row_number().over(Window.partitionBy("caller").orderBy("x")).cast("bigint"))
-    else:
-        xi = index_in_group(x, ["caller"], "x", idx_col="i")
+    xi = index_in_group(x, ["caller"], "x", idx_col="i")
     xi = xi.withColumn("g", F.col("x") - F.col("i"))
     nxt = xi.select("caller", (F.col("i") - 1).alias("i"), F.col("g").alias("g_next"))
     runs_after = (xi.join(nxt, ["caller", "i"], "left").join(counts, "caller")
@@ -291,7 +261,10 @@ def paged_many(matches: DataFrame, order: Sequence[Column], roster: DataFrame, c
                              F.least("end", F.lit(hi).cast("bigint")))).alias("pos"))
     picked = slots.select("caller", F.col("pos").alias("_pos"),
                           (F.col("pos") + F.col("shift")).alias("rank"))
-    pages = (picked.join(ranked, "rank")
+    copies = max(1, -(-n_callers // CALLERS_PER_COPY))
+    picked = picked.withColumn("_copy", F.pmod(F.xxhash64("caller"), F.lit(copies)).cast("int"))
+    ranked = ranked.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    pages = (picked.join(ranked, ["rank", "_copy"])
              .select("caller", F.col("_pos").alias("rank"), *items(ranked)))
     return pages, counts
 

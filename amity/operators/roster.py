@@ -18,7 +18,7 @@ it, built once per snapshot (``amity.plans.loaded``) or lazily with
 * ``edges`` (src, dst): distinct friend edges without self-loops, in ids;
 * ``edges_ids`` (src, dst, userID) and ``raw_edges`` (with self-loops);
 * ``degrees`` (src, degree) and ``hot`` (account = aid, indeg, outdeg) for the
-  accounts whose degree is large.
+  accounts through which many two-hop paths lead.
 
 All joins inside the operators run on the 8-byte ids; names are restored on
 the outputs only.  Every expansion joins on a friend account, whose work is
@@ -99,8 +99,8 @@ def degrees_of(edges: DataFrame) -> DataFrame:
 
 
 def hot_degrees(edges: DataFrame) -> DataFrame:
-    """(account, indeg, outdeg) of the accounts whose degree exceeds the
-    hot-row setting (bounded size)."""
+    """(account, indeg, outdeg) of the accounts whose two-hop paths exceed the
+    hot-row setting."""
     return degree_hot_keys(edges, "src", "dst")
 
 
@@ -160,14 +160,15 @@ def one_hop_ids(g: FriendGraph, cids) -> DataFrame:
 
 
 def expand(first: DataFrame, edges: DataFrame, hot: DataFrame, has_hot: bool | None = None) -> DataFrame:
-    """(cid, dst=f) x edges(src=f -> dst, ...) on f.  The in-edge side of a
-    hot f is split, its out-edges copied (or the reverse when the out-degree
-    is the larger).  Returns (cid, dst, ...) of the second hop."""
+    """(cid, dst=f) x edges(src=f -> dst, ...) on f.  The in- and out-edges of a
+    hot f are dealt over a grid of tasks.  Returns (cid, dst, ...) of the second
+    hop."""
     left = first.select("cid", F.col("dst").alias("_via"))
     right = edges.withColumnRenamed("src", "_via")
     if has_hot is False:
         return left.join(right, "_via").drop("_via")
-    table = split_table(hot, "_via", F.col("indeg"), F.col("outdeg"), hot_rows_setting(first))
+    table = split_table(hot.withColumnRenamed("account", "_via"), ["_via"], F.col("indeg"), F.col("outdeg"),
+                        hot_rows_setting(first))
     return split_hot_join(left, right, ["_via"], table).drop("_via")
 
 

@@ -1,8 +1,8 @@
 """The social-graph and person tables, derived from the driver's TPC-H-like tables.
 
-Friend edges are co-purchases: two customers are linked when both bought the
-same part, in different orders, at quantity >= 46.  Person records are built
-from customer, nation and orders.  Each builder is a plain DataFrame plan over
+Every line item is a friend edge: the order's customer lists another customer,
+whose key follows from the part and the supplier; line items that name the same
+pair are one edge.  Person records are built from customer, nation and orders.  Each builder is a plain DataFrame plan over
 the given parquet tables, so its work grows with them; ``fixture_sql()`` holds
 the same views as SQL text for the DuckDB oracle.
 """
@@ -14,16 +14,17 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from amity.plans.skew import skew_join
-
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations")
 
-# fixed values of the test fixture (FIXTURES.md): quantity threshold of a
-# "friend" purchase, id stride of rosterID, area code base, industry code base
-MIN_FRIEND_QUANTITY = 46
-ROSTER_ID_STRIDE = 1_000_000
+# fixed values of the test fixture (FIXTURES.md): one line item in FAR_EVERY names
+# the customer with its supplier's key, the others one of NEAR_KEYS customers from
+# NEAR_BACK keys before the buyer on; id stride of rosterID, area and industry code base
+FAR_EVERY = 8
+NEAR_KEYS = 9
+NEAR_BACK = 2
+ROSTER_ID_STRIDE = 4_294_967_296  # 2^32
 AREA_CODE_BASE = 330000
 INDUSTRY_CODE_BASE = 100001000
 INDUSTRY_CODE_STEP = 1000
@@ -34,35 +35,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """fx_buy: distinct (customer c, part p, order o) of large line items."""
-    li = (table(spark, sf_dir, "lineitem")
-          .where(F.col("l_quantity") >= MIN_FRIEND_QUANTITY)
-          .select("l_orderkey", "l_partkey"))
+def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fx_listing: the distinct pairs (customer ac, listed customer bc) of all
+    line items."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
     od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    near = F.col("o_custkey") + F.col("l_partkey") % NEAR_KEYS - NEAR_BACK
     return (li.join(od, li.l_orderkey == od.o_orderkey)
-            .select(F.col("o_custkey").alias("c"), F.col("l_partkey").alias("p"),
-                    F.col("l_orderkey").alias("o"))
+            .select(F.col("o_custkey").alias("ac"),
+                    F.when(F.col("l_partkey") % FAR_EVERY == 0, F.col("l_suppkey"))
+                    .otherwise(near).cast("bigint").alias("bc"))
             .distinct())
 
 
 def view_ofroster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fx_view_ofroster: rosterID, username, loginAccount, userID, sub.
 
-    The co-purchase pairs are reduced to distinct customer pairs before the
-    two customer lookups; every output column is a function of the pair."""
-    buy = purchases(spark, sf_dir)
-    a = buy.select(F.col("p"), F.col("c").alias("ac"), F.col("o").alias("ao"))
-    b = buy.select(F.col("p"), F.col("c").alias("bc"), F.col("o").alias("bo"))
-    pairs = (skew_join(a, b, ["p"])
-             .where(F.col("ao") != F.col("bo"))
-             .select("ac", "bc")
-             .distinct())
+    Keys that no customer has fall out in the second lookup.  A rosterID holds
+    both keys; past 2^31 customers it overflows, which raises and never collides."""
     cust = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
     ca = cust.select(F.col("c_custkey").alias("ac"), F.col("c_name").alias("username"))
     cb = cust.select(F.col("c_custkey").alias("bc"), F.col("c_name").alias("loginAccount"),
                      F.col("c_acctbal").alias("b_acctbal"))
-    return (pairs.join(ca, "ac").join(cb, "bc")
+    return (listings(spark, sf_dir).join(ca, "ac").join(cb, "bc")
             .select(
                 (F.col("ac") * F.lit(ROSTER_ID_STRIDE) + F.col("bc")).alias("rosterID"),
                 "username", "loginAccount",
@@ -70,8 +65,7 @@ def view_ofroster(spark: SparkSession, sf_dir: str) -> DataFrame:
                 .cast("bigint").alias("userID"),
                 F.when((F.col("ac") + F.col("bc")) % 10 == 0, F.lit(1)).otherwise(F.lit(3))
                 .cast("int").alias("sub"),
-            )
-            .distinct())
+            ))
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,16 +124,16 @@ def all_industry_codes() -> list[int]:
 def fixture_sql() -> dict[str, str]:
     """The fixture views as DuckDB/ANSI SQL, in dependency order."""
     return {
-        "fx_buy": (
-            "select distinct o_custkey as c, l_partkey as p, l_orderkey as o "
-            "from lineitem join orders on l_orderkey = o_orderkey where l_quantity >= 46"),
+        "fx_listing": (
+            "select distinct o_custkey as ac, cast(case when l_partkey % 8 = 0 then l_suppkey "
+            "else o_custkey + l_partkey % 9 - 2 end as bigint) as bc "
+            "from lineitem join orders on l_orderkey = o_orderkey"),
         "fx_view_ofroster": (
-            "select distinct ca.c_custkey * 1000000 + cb.c_custkey as rosterID, "
-            "ca.c_name as username, cb.c_name as loginAccount, "
+            "select x.ac * 4294967296 + x.bc as rosterID, ca.c_name as username, cb.c_name as loginAccount, "
             "case when cb.c_acctbal < -500 then null else cb.c_custkey end as userID, "
-            "case when (a.c + b.c) % 10 = 0 then 1 else 3 end as sub "
-            "from fx_buy a join fx_buy b on a.p = b.p and a.o <> b.o "
-            "join customer ca on ca.c_custkey = a.c join customer cb on cb.c_custkey = b.c"),
+            "case when (x.ac + x.bc) % 10 = 0 then 1 else 3 end as sub "
+            "from fx_listing x join customer ca on ca.c_custkey = x.ac "
+            "join customer cb on cb.c_custkey = x.bc"),
         "fx_user": (
             "select c_custkey as id, c_name as login_account, "
             "case when c_custkey % 5 = 0 then null else concat('img/', c_name) end as headimgurl, "
@@ -179,7 +173,7 @@ def with_fixtures(query: str, *names: str, extra: tuple[tuple[str, str], ...] =
     """Prefix ``query`` with the fixture views it needs, then ``extra``
     (name, sql) pairs, as CTEs."""
     needs = {
-        "fx_buy": (), "fx_view_ofroster": ("fx_buy",), "ofroster": ("fx_view_ofroster",),
+        "fx_listing": (), "fx_view_ofroster": ("fx_listing",), "ofroster": ("fx_view_ofroster",),
         "fx_user": (), "fx_prestige": (), "fx_business_card": (),
         "industry_contacts": ("fx_user", "fx_prestige", "fx_business_card"),
     }

@@ -19,27 +19,25 @@ def global_rank_with_total(df: DataFrame, order: Sequence[Column],
     """``df`` with a 1-based ``rank_col`` following ``order`` (a total order),
     and the number of rows.
 
-    A range-partitioned sort numbers rows inside each partition; the per-
-    partition counts (one small row per partition, never per data row) come
-    back to the driver and become a literal offset map.  The numbered sort is
-    checkpointed to the shared folder so every later use sees the same
-    numbers, also after an executor loss."""
+    A range-partitioned sort numbers rows inside each partition; running sums
+    of the per-partition counts (one small row per partition, never per data
+    row) are joined back as offsets.  The numbered sort is checkpointed to the
+    shared folder so every later use sees the same numbers, also after an
+    executor loss."""
     checkpoint_root(df.sparkSession)
     numbered = (df.orderBy(*order)
                 .withColumn("_mid", F.monotonically_increasing_id())
+                .withColumn("_part", F.shiftright("_mid", _PART_BITS))
                 .checkpoint(eager=True))
-    part = F.shiftright(F.col("_mid"), _PART_BITS)
-    counts = sorted((r[0], r[1]) for r in
-                    numbered.groupBy(part.alias("_part")).agg(F.count(F.lit(1))).collect())
-    offsets, total = [], 0
-    for p, n in counts:
-        offsets += [F.lit(p), F.lit(total)]
-        total += n
-    off = F.element_at(F.create_map(*offsets), part) if offsets else F.lit(0)
-    local = F.col("_mid") - F.shiftleft(part, _PART_BITS)
-    ranked = (numbered.withColumn(rank_col, (off + local + F.lit(1)).cast("bigint"))
-              .drop("_mid"))
-    return ranked, total
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+               .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")))
+    local = F.col("_mid") - F.shiftleft("_part", _PART_BITS)
+    # broadcast: one row per partition of the sort, whatever the data
+    ranked = (numbered.join(F.broadcast(offsets), "_part")
+              .withColumn(rank_col, (F.col("_off") + local + F.lit(1)).cast("bigint"))
+              .drop("_mid", "_part", "_off"))
+    return ranked, numbered.count()
 
 
 def global_rank(df: DataFrame, order: Sequence[Column], rank_col: str = "rank") -> DataFrame:

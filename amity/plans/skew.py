@@ -1,18 +1,17 @@
 """Equi-joins that stay balanced when one key holds a large share of a side.
 
-The work of an equi-join on one key is (left rows of the key) x (right rows of
-the key), and without help all of it lands in one task.  ``skew_join`` finds
-the keys whose larger side exceeds ``hot_rows`` rows, splits that side of
-those keys into sub-groups with a deterministic hash salt and copies the other
-side of the same keys once per sub-group.  Every other key gets salt 0, so the
-plan is the ordinary shuffle join plus one generator.
-
-* The hot-key table is broadcast with a proven bound: it is cut to the
-  ``max_hot_keys`` largest keys (any key left out is simply not split; the
-  result does not change).
+One key of an equi-join makes (its left rows) x (its right rows) rows, and
+without help all of them in one task.  A key that makes more than
+``amity.skew.hotRows`` rows is dealt over a grid: its left rows are split into
+``_sl`` groups, its right rows into ``_sr`` groups, every left group meets every
+right group in a task of its own, and _sl x _sr tasks of about the target size
+share the work however large either side is.  Every other key keeps its one cell.
+
+* Which keys are hot is counted over all rows (partial aggregates), without a
+  cap.  A join of n output rows has at most n / hotRows hot keys; no broadcast is
+  forced, Spark picks the join with that table by its real size.
 * Salts come from ``xxhash64`` of the row, never from ``rand()``: a task that is
-  re-run after an executor loss puts every row into the same sub-group again.
-* AQE's own skew-join split stays enabled and handles what is left.
+  re-run after an executor loss puts every row into the same cell again.
 """
 
 from __future__ import annotations
@@ -22,129 +21,82 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_HOT_ROWS = 200_000
-DEFAULT_MAX_HOT_KEYS = 10_000
-DEFAULT_MAX_SPLITS = 1_024
+#: rows of one key that one task may make
+DEFAULT_HOT_ROWS = 4_000_000
 
 
-def _conf_int(df: DataFrame, key: str, default: int) -> int:
-    try:
-        return int(df.sparkSession.conf.get(key, str(default)))
-    except Exception:  # pragma: no cover - conf access is best effort
-        return default
+def hot_rows_setting(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("amity.skew.hotRows", str(DEFAULT_HOT_ROWS)))
 
 
-def hot_keys(left: DataFrame, right: DataFrame, on: Sequence[str], hot_rows: int,
-             max_hot_keys: int, max_splits: int, split_left_only: bool) -> DataFrame:
-    """Keys whose larger side exceeds ``hot_rows``: (on..., _splits, _salt_left).
+def split_table(counts: DataFrame, on: Sequence[str], left_rows: Column, right_rows: Column,
+                hot_rows: int) -> DataFrame:
+    """(on..., _sl, _sr) of the keys that make more than ``hot_rows`` rows, from
+    their rows on both sides.  The grid is as wide as the sides are uneven, so
+    the fewest rows are copied."""
+    ln, rn = left_rows.cast("double"), right_rows.cast("double")
+    cells = F.ceil(ln * rn / F.lit(float(hot_rows))).cast("double")
+    wide = F.least(ln, F.greatest(F.lit(1.0), F.ceil(F.sqrt(cells * ln / rn)).cast("double")))
+    return (counts.where(ln * rn > F.lit(float(hot_rows)))
+            .select(*on, wide.cast("int").alias("_sl"), F.ceil(cells / wide).cast("int").alias("_sr")))
 
-    Both counts are partial aggregates (map-side combine), so a hot key costs
-    one row per map task here."""
+
+def hot_keys(left: DataFrame, right: DataFrame, on: Sequence[str], hot_rows: int,
+             semi: bool = False) -> DataFrame:
+    """``split_table`` of two sides, counted.  A semi join makes at most its left
+    rows, and only those are split."""
     lc = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_ln"))
     rc = right.groupBy(*on).agg(F.count(F.lit(1)).alias("_rn"))
-    big = F.greatest("_ln", "_rn") if not split_left_only else F.col("_ln")
-    stats = (
-        lc.join(rc, list(on), "inner")
-        .where(big > F.lit(hot_rows))
-        .select(
-            *on,
-            F.least(F.lit(max_splits), F.ceil(big / F.lit(hot_rows))).cast("int").alias("_splits"),
-            (F.lit(True) if split_left_only else (F.col("_ln") >= F.col("_rn"))).alias("_salt_left"),
-            big.alias("_big"),
-        )
-    )
-    # a limit that is a size bound, not a row filter: keys past it are joined unsplit
-    return stats.orderBy(F.desc("_big")).limit(max_hot_keys).drop("_big")
-
-
-def _salts(split_side: bool, hash_cols: Sequence[str]) -> Column:
-    """Array of salts for a row: its own sub-group on the split side, all
-    sub-groups on the copied side, [0] for keys that are not hot."""
-    own = F.array(F.pmod(F.xxhash64(*hash_cols), F.col("_splits")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("_splits") - F.lit(1))
-    mine = F.col("_salt_left") if split_side else ~F.col("_salt_left")
-    return F.when(F.col("_splits").isNull(), F.array(F.lit(0))).when(mine, own).otherwise(every)
+    right_rows = F.lit(1) if semi else F.col("_rn")
+    return split_table(lc.join(rc, list(on)), on, F.col("_ln"), right_rows, hot_rows)
 
 
-def hot_rows_setting(df: DataFrame) -> int:
-    return _conf_int(df, "amity.skew.hotRows", DEFAULT_HOT_ROWS)
-
-
-def degree_hot_keys(edges: DataFrame, src: str, dst: str, hot_rows: int | None = None,
-                    max_hot_keys: int | None = None) -> DataFrame:
-    """Accounts of an edge table whose in- or out-degree exceeds ``hot_rows``:
-    (account, indeg, outdeg), at most ``max_hot_keys`` rows (the largest).
-    Computed once per snapshot and reused by every join on an account."""
+def degree_hot_keys(edges: DataFrame, src: str, dst: str, hot_rows: int | None = None) -> DataFrame:
+    """Accounts of an edge table through which more than ``hot_rows`` two-hop
+    paths lead (in-degree x out-degree): (account, indeg, outdeg).  Computed once
+    per snapshot and reused by every join on an account."""
     hot_rows = hot_rows or hot_rows_setting(edges)
-    max_hot_keys = max_hot_keys or _conf_int(edges, "amity.skew.maxHotKeys", DEFAULT_MAX_HOT_KEYS)
     indeg = edges.groupBy(F.col(dst).alias("account")).agg(F.count(F.lit(1)).alias("indeg"))
     outdeg = edges.groupBy(F.col(src).alias("account")).agg(F.count(F.lit(1)).alias("outdeg"))
-    big = F.greatest(F.coalesce("indeg", F.lit(0)), F.coalesce("outdeg", F.lit(0)))
-    return (indeg.join(outdeg, "account", "full_outer")
-            .where(big > F.lit(hot_rows))
-            .select("account", F.coalesce("indeg", F.lit(0)).alias("indeg"),
-                    F.coalesce("outdeg", F.lit(0)).alias("outdeg"), big.alias("_big"))
-            .orderBy(F.desc("_big")).limit(max_hot_keys).drop("_big"))
+    paths = F.col("indeg").cast("double") * F.col("outdeg").cast("double")
+    return indeg.join(outdeg, "account").where(paths > F.lit(float(hot_rows)))
 
 
-def split_table(hot_degrees: DataFrame, key: str, left_rows: Column, right_rows: Column,
-                hot_rows: int, max_splits: int = DEFAULT_MAX_SPLITS) -> DataFrame:
-    """Turn (account, indeg, outdeg) into the (key, _splits, _salt_left) form
-    for one join, given the per-key row counts of its two sides."""
-    big = F.greatest(left_rows, right_rows)
-    return (hot_degrees.where(big > F.lit(hot_rows))
-            .select(F.col("account").alias(key),
-                    F.least(F.lit(max_splits), F.ceil(big / F.lit(hot_rows))).cast("int").alias("_splits"),
-                    (left_rows >= right_rows).alias("_salt_left")))
+def _dealt(df: DataFrame, hot: DataFrame, on: list[str], own: str, other: str,
+           own_splits: str, other_splits: str) -> DataFrame:
+    """A row's own group on its side, and a copy for every group of the other."""
+    rest = [c for c in df.columns if c not in on] or on
+    mine = F.pmod(F.xxhash64(*rest), F.coalesce(own_splits, F.lit(1))).cast("int")
+    every = F.sequence(F.lit(0), F.coalesce(other_splits, F.lit(1)) - F.lit(1))
+    return (df.join(hot, on, "left").withColumn(own, mine).withColumn(other, F.explode(every))
+            .drop("_sl", "_sr"))
 
 
 def skew_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner",
-              hot_rows: int | None = None, max_hot_keys: int | None = None,
-              max_splits: int | None = None, hot: DataFrame | None = None) -> DataFrame:
+              hot_rows: int | None = None, hot: DataFrame | None = None) -> DataFrame:
     """Equi-join on same-named columns ``on`` with hot keys split.
 
-    ``hot`` (on..., _splits, _salt_left) may be given from statistics kept
-    with the data; otherwise it is computed from both sides.  ``how`` is
-    ``inner`` or ``left_semi``; a semi join only ever splits the left side,
-    so no left row can be emitted twice."""
+    ``hot`` (on..., _sl, _sr) may be given from statistics kept with the data;
+    otherwise both sides are counted.  ``how`` is ``inner`` or ``left_semi``; a
+    semi join only ever splits the left side, so no left row is emitted twice."""
     if how not in ("inner", "left_semi"):
         raise ValueError(f"skew_join supports inner and left_semi, not {how}")
-    on = list(on)
-    hot_rows = hot_rows or hot_rows_setting(left)
-    max_hot_keys = max_hot_keys or _conf_int(left, "amity.skew.maxHotKeys", DEFAULT_MAX_HOT_KEYS)
-    max_splits = max_splits or _conf_int(left, "amity.skew.maxSplits", DEFAULT_MAX_SPLITS)
+    on, semi = list(on), how == "left_semi"
     if hot is None:
-        hot = hot_keys(left, right, on, hot_rows, max_hot_keys, max_splits,
-                       split_left_only=(how == "left_semi"))
-    elif how == "left_semi":
-        hot = hot.withColumn("_salt_left", F.lit(True))
-    hot = F.broadcast(hot)
-
-    lcols = [c for c in left.columns if c not in on] or on
-    rcols = [c for c in right.columns if c not in on] or on
-    ls = (left.join(hot, on, "left")
-          .withColumn("_salt", F.explode(_salts(True, lcols)))
-          .drop("_splits", "_salt_left"))
-    rs = (right.join(hot, on, "left")
-          .withColumn("_salt", F.explode(_salts(False, rcols)))
-          .drop("_splits", "_salt_left"))
-    return ls.join(rs, on + ["_salt"], how).drop("_salt")
+        hot = hot_keys(left, right, on, hot_rows or hot_rows_setting(left), semi)
+    elif semi:
+        hot = hot.withColumn("_sr", F.lit(1))
+    ls = _dealt(left, hot, on, "_a", "_b", "_sl", "_sr")
+    rs = _dealt(right, hot, on, "_b", "_a", "_sr", "_sl")
+    return ls.join(rs, on + ["_a", "_b"], how).drop("_a", "_b")
 
 
 def split_hot_join(left: DataFrame, right: DataFrame, on: Sequence[str], hot: DataFrame) -> DataFrame:
-    """Inner equi-join that keeps the inputs' partitioning for ordinary keys.
-
-    The hot table (on..., _splits, _salt_left) is bounded, so whether it is
-    empty is checked first (one tiny job).  Without hot keys this is the plain
-    join on ``on``: inputs already hash- or bucket-partitioned on ``on`` join
-    without a shuffle.  Otherwise the join is done in two parts: keys
-    outside ``hot`` join on ``on`` alone, hot keys take the salted
-    ``skew_join``; the filters are broadcast joins against the hot table,
-    which keep the inputs' partitioning."""
+    """Inner equi-join that keeps the inputs' partitioning for ordinary keys:
+    keys outside ``hot`` (on..., _sl, _sr) join on ``on`` alone, so inputs bucketed
+    on it need no shuffle; hot keys take ``skew_join``."""
     on = list(on)
-    if hot.isEmpty():
-        return left.join(right, on)
-    keys = F.broadcast(hot.select(*on))
+    keys = hot.select(*on)
     cold = left.join(keys, on, "left_anti").join(right.join(keys, on, "left_anti"), on)
     hot_part = skew_join(left.join(keys, on, "left_semi"), right.join(keys, on, "left_semi"), on, hot=hot)
     return cold.unionByName(hot_part)

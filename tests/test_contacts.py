@@ -81,12 +81,12 @@ def test_pages(spark):
     assert [i["userID"] for i in res["items"]] == expect and len(expect) == 3
 
 
-def test_deep_page_uses_global_rank(spark, monkeypatch):
+def test_pages_join_to_the_whole_list(spark):
     m = ct.contacts_by_prestige(contacts(spark), roster(spark), 99, 0)
     order = ct.prestige_order()
-    expect = rows(ct.page(m, order, 2, 2))
-    monkeypatch.setattr(ct, "TOP_K_LIMIT", 0)
-    assert rows(ct.page(m, order, 2, 2)) == expect
+    whole = rows(ct.page(m, order, 1, 1000))
+    parts = [r for p in range(1, 20) for r in rows(ct.page(m, order, p, 2))]
+    assert sorted(parts) == sorted(whole)
 
 
 def _brute(spark, callers, page_no, size):
@@ -102,10 +102,10 @@ def _brute(spark, callers, page_no, size):
     return out
 
 
-@pytest.mark.parametrize("pool_limit", [200_000, 0])
+@pytest.mark.parametrize("per_copy", [1_000_000, 2])
 @pytest.mark.parametrize("page_no,size", [(1, 2), (2, 2), (3, 2), (4, 2), (1, 10)])
-def test_many_callers_match_brute_force(spark, monkeypatch, pool_limit, page_no, size):
-    monkeypatch.setattr(ct, "POOL_LIMIT", pool_limit)
+def test_many_callers_match_brute_force(spark, monkeypatch, per_copy, page_no, size):
+    monkeypatch.setattr(ct, "CALLERS_PER_COPY", per_copy)
     callers = [1, 2, 6, 7, 42]
     cdf = spark.createDataFrame([(c,) for c in callers], "caller bigint")
     pages, counts = ct.contacts_page_many(contacts(spark), roster(spark), cdf, page_no, size, prestige_amount=0)
