@@ -1,8 +1,8 @@
 """Oracle SQL (DuckDB dialect) for the registered queries.
 
-Each text restates the reference's own per-request SQL literally - ``IN`` /
-``NOT IN`` lists, ``count(distinct ...)`` - over the fixture views, so it is
-an independent check of the set-based plans, not a copy of them.
+Each text states the set algebra of an operator over the fixture views:
+distinct edges without self-loops, their composition, differences by EXCEPT and
+exclusions by anti joins.
 """
 
 from __future__ import annotations
@@ -42,28 +42,38 @@ def _bounds(page: tuple[int, int]) -> tuple[int, int]:
     return (p - 1) * n + 1, p * n
 
 
-ONE = (f"select distinct loginAccount from ofroster where username = {ME} and username <> loginAccount")
-LAS = (f"select distinct loginAccount from ofroster where username = {ME} and loginAccount <> {ME}")
-TWO_STRICT = (f"select distinct loginAccount from ofroster where username <> loginAccount "
-              f"and loginAccount <> {ME} and username in (select loginAccount from las) "
-              f"and loginAccount not in (select loginAccount from las)")
-
-PRESTIGE_MATCHES = (
-    f"select * from industry_contacts where userID <> {CALLER_ID} and loginAccount is not null "
-    f"and prestigeAmount > {PRESTIGE_THRESHOLD} "
-    f"and loginAccount not in (select username from ofroster where userID = {CALLER_ID})")
-LISTS_MATCHES = (
-    f"select * from industry_contacts where userID <> {CALLER_ID} and loginAccount is not null "
-    f"and industryCode in ({', '.join(map(str, LISTS_INDUSTRIES))}) "
-    f"and areaCode in ({', '.join(map(str, LISTS_AREAS))}) "
-    f"and prestigeAmount > {LISTS_THRESHOLD} "
-    f"and loginAccount not in (select username from ofroster where userID = {CALLER_ID})")
+# distinct edges without self-loops, and the sets around the one caller
+EDGES = ("edge", "select distinct username as a, loginAccount as b from ofroster where username <> loginAccount")
+FIRST = ("first_hop", f"select b from edge where a = {ME}")
+BEYOND = ("beyond", f"select y.b from first_hop x join edge y on y.a = x.b where y.b <> {ME} "
+                    "except select b from first_hop")
+NEAR = ("near", "select b from first_hop union select b from beyond")
+SHARED = ("shared", "select y.a, count(*) as n from first_hop x join edge y using (b) group by y.a")
+AROUND = (EDGES, FIRST, BEYOND, NEAR, SHARED)
+# numeric ids met on the first hop and on edges from it to accounts beyond
+DEGREES = ("degrees", f"select cast(userID as varchar) as userID, min(hop) as friendType from ("
+                      f"select userID, 1 as hop from ofroster join first_hop on b = loginAccount "
+                      f"where username = {ME} union all "
+                      "select r.userID, 2 from first_hop x join ofroster r on r.username = x.b "
+                      "semi join beyond z on z.b = r.loginAccount) where userID is not null group by 1")
+
+# who may appear for the caller: not itself, nobody who lists it
+VISIBLE = (f"industry_contacts c anti join (select username as loginAccount from ofroster "
+           f"where userID = {CALLER_ID}) i using (loginAccount) "
+           f"where c.userID <> {CALLER_ID} and c.loginAccount is not null")
+
+
+def _codes(codes) -> str:
+    return f"({', '.join(map(str, codes))})"
+
+
+PRESTIGE_MATCHES = f"select c.* from {VISIBLE} and c.prestigeAmount > {PRESTIGE_THRESHOLD}"
+LISTS_MATCHES = (f"select c.* from {VISIBLE} and c.prestigeAmount > {LISTS_THRESHOLD} "
+                 f"and c.industryCode in {_codes(LISTS_INDUSTRIES)} and c.areaCode in {_codes(LISTS_AREAS)}")
 AFFINITY_MATCHES = (
-    f"select *, case when industryCode = {AFFINITY_MY_INDUSTRY} then 1 else 0 end as sameIndustry, "
-    f"case when areaCode = {AFFINITY_AREA} then 1 else 0 end as sameArea "
-    f"from industry_contacts where industryCode in ({CODES}) and userID <> {CALLER_ID} "
-    f"and loginAccount is not null "
-    f"and loginAccount not in (select username from ofroster where userID = {CALLER_ID})")
+    f"select c.*, coalesce(c.industryCode = {AFFINITY_MY_INDUSTRY}, false)::int as sameIndustry, "
+    f"coalesce(c.areaCode = {AFFINITY_AREA}, false)::int as sameArea "
+    f"from {VISIBLE} and c.industryCode in ({CODES})")
 
 # per-caller forms for every roster owner: the same steps with a caller key
 ALL_ONE = ("select distinct username as caller, loginAccount as u from ofroster "
@@ -219,52 +229,19 @@ def _oracle_sql() -> dict[str, str]:
     return {
         "roster_scan": _r("select rosterID, username, loginAccount, userID from ofroster"),
         "contacts_denorm": with_fixtures("select * from industry_contacts", "industry_contacts"),
-        "friends_one_hop": _r(ONE),
-        "friends_two_hop_raw": _r(
-            f"select distinct loginAccount from ofroster where username in (select loginAccount from one)",
-            ("one", ONE)),
-        "friends_two_hop_strict": _r(TWO_STRICT, ("las", LAS)),
-        "reachable_within_two": _r(
-            "select loginAccount from las union select loginAccount from two", ("las", LAS), ("two", TWO_STRICT)),
+        "friends_one_hop": _r("select b as loginAccount from first_hop", *AROUND),
+        "friends_two_hop_raw": _r("select distinct r.loginAccount from first_hop x "
+                                  "join ofroster r on r.username = x.b", *AROUND),
+        "friends_two_hop_strict": _r("select b as loginAccount from beyond", *AROUND),
+        "reachable_within_two": _r("select b as loginAccount from near", *AROUND),
         "common_friend_count": _r(
-            "select c.pos, c.username, cast(coalesce(n.num, 0) as int) as comm_friend_num "
-            "from cands c left join cnt n on n.username = c.username",
-            ("cands", "select o_orderkey as pos, c_name as username from orders "
-                      "join customer on c_custkey = o_custkey"),
-            ("cnt", f"select username, count(distinct loginAccount) as num from ofroster "
-                    f"where username in (select username from cands) and loginAccount <> {ME} "
-                    f"and username <> loginAccount and loginAccount in "
-                    f"(select loginAccount from ofroster where username = {ME}) group by username")),
-        "common_friend_table": _r(
-            f"select username as userName, cast(count(distinct loginAccount) as int) as comFriendsNum "
-            f"from ofroster where username in (select loginAccount from reach) "
-            f"and loginAccount <> {ME} and username <> loginAccount "
-            f"and loginAccount in (select loginAccount from las) group by username",
-            ("las", LAS), ("two", TWO_STRICT),
-            ("reach", "select loginAccount from las union select loginAccount from two")),
-        "relation_table": _r(
-            "select userID, 1 as friendType from one_ids union all "
-            "select userID, 2 as friendType from (select userID from two_ids except select userID from one_ids)",
-            ("las", LAS),
-            ("one_ids", f"select distinct cast(userID as varchar) as userID from ofroster "
-                        f"where username = {ME} and loginAccount <> {ME} and userID is not null"),
-            ("two_ids", f"select distinct cast(userID as varchar) as userID from ofroster "
-                        f"where username <> loginAccount and loginAccount <> {ME} "
-                        f"and username in (select loginAccount from las) "
-                        f"and loginAccount not in (select loginAccount from las) and userID is not null")),
-        "person_relation": _r(
-            "select userID as user_id, friendType as type from rel "
-            "where userID in (select cast(c_custkey as varchar) from customer)",
-            ("las", LAS),
-            ("one_ids", f"select distinct cast(userID as varchar) as userID from ofroster "
-                        f"where username = {ME} and loginAccount <> {ME} and userID is not null"),
-            ("two_ids", f"select distinct cast(userID as varchar) as userID from ofroster "
-                        f"where username <> loginAccount and loginAccount <> {ME} "
-                        f"and username in (select loginAccount from las) "
-                        f"and loginAccount not in (select loginAccount from las) and userID is not null"),
-            ("rel", "select userID, 1 as friendType from one_ids union all "
-                    "select userID, 2 as friendType from "
-                    "(select userID from two_ids except select userID from one_ids)")),
+            "select o_orderkey as pos, c_name as username, cast(coalesce(n, 0) as int) as comm_friend_num "
+            "from orders join customer on c_custkey = o_custkey left join shared on shared.a = c_name", *AROUND),
+        "common_friend_table": _r("select a as userName, cast(n as int) as comFriendsNum "
+                                  "from shared semi join near on near.b = shared.a", *AROUND),
+        "relation_table": _r("select userID, friendType from degrees", *AROUND, DEGREES),
+        "person_relation": _r("select userID as user_id, friendType as type from degrees "
+                              "semi join customer on cast(c_custkey as varchar) = userID", *AROUND, DEGREES),
         "common_friend_all_callers": _r(
             "select re.caller, re.u as userName, cast(count(distinct o.loginAccount) as int) as comFriendsNum "
             "from reach re join ofroster o on o.username = re.u "
@@ -287,6 +264,10 @@ def _oracle_sql() -> dict[str, str]:
             f"select rank, {ITEMS} from (select *, row_number() over (order by {PRESTIGE_ORDER}) as rank "
             f"from m) where {_page(plo, phi)}",
             ("m", PRESTIGE_MATCHES)),
+        "contacts_result": _c(
+            f"select (select count(*) from m) as count, cast(rank - {plo} as int) as pos, {ITEMS} from "
+            f"(select *, row_number() over (order by {PRESTIGE_ORDER}) as rank from m) where {_page(plo, phi)}",
+            ("m", PRESTIGE_MATCHES)),
         "contacts_by_prestige_count": _c("select count(*) as count from m", ("m", PRESTIGE_MATCHES)),
         "contacts_by_prestige_lists_page": _c(
             f"select rank, {ITEMS} from (select *, row_number() over (order by {PRESTIGE_ORDER}) as rank "

@@ -237,7 +237,9 @@ def contacts_by_affinity_count(spark, sf):
 
 
 def contacts_result(spark, sf):
-    return ct.result(_prestige_matches(spark, sf), ct.prestige_order(), *PRESTIGE_PAGE)
+    """Page and total of one result, its items as rows."""
+    one = ct.result(_prestige_matches(spark, sf), ct.prestige_order(), *PRESTIGE_PAGE)
+    return one.select("count", F.posexplode("items").alias("pos", "item")).select("count", "pos", "item.*")
 
 
 def _contact_callers(spark, sf):

@@ -59,20 +59,3 @@ def partitioned_jdbc_scan(spark: SparkSession, url: str, dbtable: str, column: s
         bounds = source_bounds(spark, url, dbtable, column, driver) or (0, 0)
     opts = partitioned_jdbc_options(url, dbtable, column, bounds[0], bounds[1], num_partitions, driver)
     return spark.read.format("jdbc").options(**opts).load()
-
-
-# fixed values: the two source queries of the refresh jobs (source schema
-# names), as subqueries for ``dbtable``
-ROSTER_SOURCE = ("(select rosterID, username, loginAccount, userID from view_ofroster "
-                 "where sub = 3 and userID is not null) roster")
-CONTACTS_SOURCE = (
-    "(select user.ID as userID, user.LOGIN_ACCOUNT as loginAccount, user.HEADIMGURL as headImgUrl, "
-    "user.CERTIFY as certify, user.NICKNAME as nickname, prestige.AMOUNT as prestigeAmount, "
-    "business_card.POSITION as position, business_card.COMPANY_NAME as companyName, "
-    "business_card.V_AREA_NAME as areaName, business_card.INDUSTRY_PROVIDE as industryProvide, "
-    "business_card.INDUSTRY_REQUIREMENT as industryRequirement, "
-    "business_card.INDUSTRY_CODE as industryCode, business_card.V_AREA_CODE as areaCode, "
-    "user.CREATE_TIME as createTime "
-    "from business_card inner join user on business_card.USER_ID = user.ID "
-    "inner join prestige on prestige.USER_ID = business_card.USER_ID "
-    "where business_card.STATUS = 1 and user.STATUS = 1) industry_contacts")
