@@ -10,7 +10,7 @@ with a ``caller`` column, or as ``None`` for every owner, so one job serves
 any number of callers.  Results always carry the ``caller`` column.
 
 A ``FriendGraph`` holds the raw roster and what every query derives from
-it, built once per snapshot (``amity.plans.loaded``) or lazily with
+it, built once per snapshot (``amity.plans.loaded``) or for one session with
 ``FriendGraph.of(roster)``:
 
 * ``accounts``: every account name with a dense ``long`` id (``aid``), from a
@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from amity.plans.ranking import global_rank
 from amity.plans.skew import degree_hot_keys, hot_rows_setting, split_hot_join, split_table
+from amity.session import checkpoint_root
 
 ROSTER_COLUMNS = ("rosterID", "username", "loginAccount", "userID")
 NO_ACCOUNT = -1  # id of a caller that is not in the dictionary: matches nothing
@@ -81,8 +82,11 @@ class FriendGraph:
 
     @classmethod
     def of(cls, roster: DataFrame) -> "FriendGraph":
+        """Codes the roster once, in the shared folder; everything else derives
+        from that."""
+        checkpoint_root(roster.sparkSession)
         accounts = account_dictionary(roster)
-        return cls.from_coded(roster, accounts, encode_roster(roster, accounts))
+        return cls.from_coded(roster, accounts, encode_roster(roster, accounts).checkpoint(eager=True))
 
     @classmethod
     def from_coded(cls, roster: DataFrame, accounts: DataFrame, coded: DataFrame) -> "FriendGraph":

@@ -2,6 +2,7 @@
 edges, a caller without edges, duplicate candidates)."""
 
 from conftest import rows
+from pyspark.sql import functions as F
 
 from amity.operators import common_friends as cf
 from amity.operators import relations as rel
@@ -118,3 +119,16 @@ def test_hot_keys_split_same_result(spark):
     assert all_salted == rel_salted  # every caller of the test graph is an owner
     for c, u, n in plain:
         assert n == _brute_common(pairs, c, u)
+
+
+def test_hub_is_dealt_over_a_grid(spark):
+    """A hub with 300 owners and 300 friends: 90,000 two-hop rows of one key, in
+    cells of about the target size, and the same rows as the plain join."""
+    from amity.plans.skew import hot_keys, skew_join
+    left = spark.range(300).select(F.lit(1).alias("k"), F.col("id").alias("l")).union(
+        spark.range(5).select(F.lit(2), F.col("id")))
+    right = left.withColumnRenamed("l", "r")
+    grid = hot_keys(left, right, ["k"], 1000).collect()
+    assert [(g["k"], g["_sl"], g["_sr"]) for g in grid] == [(1, 10, 9)]
+    got = skew_join(left, right, ["k"], hot_rows=1000)
+    assert got.count() == 300 * 300 + 25 == got.distinct().count()
