@@ -12,9 +12,12 @@ again with the marks that stand inside known sentences (``INNER_MARKS``: the
 colon of an SPDX tag, 'v. 2.0', 'Foundation; either') as spaces. Each reading
 gives a sequence, all are tried; of readings that the same rule fits the first counts.
 
-``OP5_SQL`` has the first two readings only: it knows no sentence that holds
-such a mark before white space, so the query finds licences there that the SQL
-text does not.
+A fifth reading also ends sentences at lines without a letter or digit (blank
+ones, ``*`` of a comment) and around copyright lines, so a wrapped grant does
+not run together with an unpunctuated title or copyright line above it.
+
+``OP5_SQL`` has the first two readings only, so the query finds licences in
+such texts that the SQL text does not.
 
 Only texts that hold one of ``TRIGGERS`` are cut; every known sentence holds
 one, so nothing is lost (a test asserts it). The table of sentences is a fixed
@@ -143,6 +146,9 @@ OTHER = r"[^a-z0-9]+"
 INNER_MARKS = (r"(\bspdx[^a-z0-9]+license[^a-z0-9]+identifier\s*):(?=\s)"
                r"|(\bmozilla[^a-z0-9]+public[^a-z0-9]+license[^a-z0-9]+v)\.(?=\s+2\.0)"
                r"|(\bfree[^a-z0-9]+software[^a-z0-9]+foundation)[;:](?=[^a-z0-9]+either\b)")
+#: A line without a letter or digit, and a copyright line: ends of a paragraph.
+BLANK_LINE = r"\n[^\p{L}\p{N}\n]*\n"
+COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright\s*(?:\(c\)|©|[0-9]{4})|\(c\)\s*[0-9]{4}|©)[^\n]*$"
 
 
 def normalised(sentence: Column) -> Column:
@@ -169,6 +175,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     whole = F.regexp_replace("low", INNER_MARKS, "$1$2$3 ")
     cuts = [cut for low in (F.col("low"), whole) for cut in (
         F.split(low, SENTENCE_END + r"|\n"), F.split(F.replace(low, F.lit("\n"), F.lit(" ")), SENTENCE_END))]
+    cuts.append(F.split(F.regexp_replace(whole, COPYRIGHT_LINE, "\n$0\n"), SENTENCE_END + "|" + BLANK_LINE))
     found = reduce(DataFrame.union, [_sequence(likely, cut, i + 1) for i, cut in enumerate(cuts)]).distinct()
     sequences = found.groupBy("doc_id", "tkey", "reading").agg(
         F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("s")).select(

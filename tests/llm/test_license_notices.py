@@ -63,3 +63,15 @@ def test_usual_notices(spark):
     got = scanned(spark, [text for text, _ in NOTICES])
     assert [(got[i], text) for i, (text, _) in enumerate(NOTICES)] == [(name, text) for text, name in NOTICES]
     assert {name for _, name in NOTICES} == {name for _, name in license_scan.RULES}
+
+
+def test_grants_below_title_and_copyright(spark):
+    heads = ["A Tool\n\nCopyright (c) 2020 A B\n\n%s", "Copyright (c) 2020 A B <a@b.org>\n\n%s", "A Tool\nCopyright 2020, A B\n%s",
+             "A Tool\r\n\r\nCopyright © 2020 A B\r\n \t\r\n%s"]
+    grants = [(MIT, "MIT"), (ISC, "ISC"), (BSD2, "BSD-2-Clause"), (GPL2 + HOPE, "GPL-2.0-or-later"), (GPL3, "GPL-3.0-or-later"),
+              (APACHE, "Apache-2.0")]
+    cases = [(h % g, name) for h in heads for g, name in grants]
+    cases += [("/*\n" + "".join(f" * {x}".rstrip() + "\n" for x in (heads[0] % g).split("\n")) + " */\n", name) for g, name in grants]
+    cases.append((BSD2.replace("\n\n", "\n").replace("\n", "\n\n"), "BSD-2-Clause"))  # double-spaced
+    got = scanned(spark, [text for text, _ in cases])
+    assert [(got[i], text) for i, (text, _) in enumerate(cases)] == [(name, text) for text, name in cases]
