@@ -19,8 +19,9 @@ not run together with an unpunctuated title or copyright line above it.
 ``OP5_SQL`` has the first two readings only, so the query finds licences in
 such texts that the SQL text does not.
 
-Only texts that hold one of ``TRIGGERS`` are cut; every known sentence holds
-one, so nothing is lost (a test asserts it). The table of sentences is a fixed
+Only texts that hold one of ``TRIGGERS`` are cut. Each is part of one word, so a
+raw text holds it however its words are spaced or wrapped; every known sentence
+holds one, so nothing is lost (a test asserts it on raw texts). The table of sentences is a fixed
 list and is broadcast. Sequences are put together from the known sentences of a
 document alone.
 
@@ -139,7 +140,7 @@ RULES = (
     (r",PublicDomain,", "public-domain"),
     (r",AllRights,", "proprietary"),
 )
-TRIGGERS = ("licen", "permission", "redistribut", "copyright", "warrant", "rights reserved", "public domain")
+TRIGGERS = ("licen", "permission", "redistribut", "copyright", "warrant", "reserved", "domain")
 SENTENCE_END = r"[.!?;:]+(\s+|$)"
 OTHER = r"[^a-z0-9]+"
 #: Marks before white space inside known sentences; they do not end one.

@@ -1,5 +1,8 @@
 """The usual raw notices of the licences, through license_scan."""
 
+import duckdb
+import pandas as pd
+
 from amity.llm import license_scan
 
 LATER = "version %s of the License, or (at your option) any later version.\n"
@@ -75,3 +78,15 @@ def test_grants_below_title_and_copyright(spark):
     cases.append((BSD2.replace("\n\n", "\n").replace("\n", "\n\n"), "BSD-2-Clause"))  # double-spaced
     got = scanned(spark, [text for text, _ in cases])
     assert [(got[i], text) for i, (text, _) in enumerate(cases)] == [(name, text) for text, name in cases]
+
+
+def test_wrapped_and_double_spaced_sentences_equal_oracle(spark):
+    texts = ["All rights\nreserved.", "All  rights  reserved.", "Released into the public\ndomain."]
+    for sentence, _ in license_scan.SENTENCES:
+        texts += [gap.join(sentence.split()) for gap in ("\n", "  ", " \t", "\n * ")]
+    documents = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    got = {tuple(r) for r in license_scan.license_scan(spark.createDataFrame(documents)).collect()}
+    con = duckdb.connect()
+    con.register("documents", documents)
+    assert got == set(con.execute(license_scan.OP5_SQL).fetchall())
+    assert all(n > 0 for *_, n in got)
