@@ -17,6 +17,12 @@ all lines of all but its first occurrence (smallest doc_id, then text key, then
 line) are deleted, so a longer maximal repeat is deleted as the union of its
 windows. Decisions are made on the input, not on what is left.
 
+With ``min_words`` an interval of fewer lines is a repeated run too when its
+lines have that many words together; depths then go up by one line at a time.
+The first occurrence of a line is in no later copy of any run, so it stays. The
+pipeline uses ``MIN_WORDS``; ``op7_line_dedup`` does not, as ``OP7_SQL`` defines
+runs by their number of lines alone.
+
 Defined cases: null texts stay null and have no lines; equal rows (doc_id and
 text) are one document and keep the same lines; null doc_ids come last; a text
 that loses all its lines becomes empty; an empty table gives an empty result;
@@ -24,6 +30,8 @@ other columns are carried through untouched."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,15 +40,20 @@ from amity.llm.common import documents, text_key, written
 
 #: Shortest run of lines that counts as repeated.
 MIN_LINES = 3
+#: Words that make a run of fewer lines count, where asked for; as many as a
+#: repeated passage has at least in ``substring_dedup``.
+MIN_WORDS = 20
 NOT_BLANK = r"[^\x20\x09-\x0D]"
+WORD = NOT_BLANK + "+"
 BLANKS = " \t\n\x0b\x0c\r"
 
 
 def _lines(rows: DataFrame) -> DataFrame:
-    """(doc_id, tkey, at: number of the line among the lines with a word, id)."""
+    """(doc_id, tkey, at: number of the line among the lines with a word, id,
+    n_words)."""
     kept = F.filter(F.split("text", "\n"), lambda x: x.rlike(NOT_BLANK))
     return rows.select("doc_id", "tkey", F.posexplode(kept).alias("at", "line")).select(
-        "doc_id", "tkey", "at", F.xxhash64("line").alias("id"))
+        "doc_id", "tkey", "at", F.xxhash64("line").alias("id"), F.regexp_count("line", F.lit(WORD)).alias("n_words"))
 
 
 def _ranked(keyed: DataFrame, name: str) -> DataFrame:
@@ -59,22 +72,29 @@ def _ranked(keyed: DataFrame, name: str) -> DataFrame:
     return written(keyed.join(ranks, ["k1", "k2"]).drop("k1", "k2"), name)
 
 
-def repeated_runs(rows: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """(doc_id, tkey, at, rank) of every suffix whose first ``min_lines`` lines
-    occur elsewhere too; equal rank: equal lines. ``rows``: doc_id, tkey, text."""
-    lines = _lines(rows).distinct().select(
-        "doc_id", "tkey", "at", F.col("id").alias("k1"), F.lit(0).cast("long").alias("k2"))
-    now, depth = _ranked(written(lines, "lines-0"), "lines-1"), 1
+def repeated_runs(rows: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
+    """(doc_id, tkey, at, rank, depth) of every suffix whose first ``depth``
+    lines occur elsewhere too: ``min_lines``, or fewer with ``min_words`` words;
+    equal depth and rank: equal lines. ``rows``: doc_id, tkey, text."""
+    sizes = [] if min_words is None else ["n_words", "run_words"]
+    lines = _lines(rows).withColumn("run_words", F.col("n_words")).select(
+        "doc_id", "tkey", "at", *sizes, F.col("id").alias("k1"), F.lit(0).cast("long").alias("k2")).distinct()
+    now, depth, short = _ranked(written(lines, "lines-0"), "lines-1"), 1, []
+    runs = lambda depth: now.select("doc_id", "tkey", "at", "rank", F.lit(depth).alias("depth"))
     while depth < min_lines:
-        step = min(depth, min_lines - depth)
+        if sizes:
+            short.append(runs(depth).where(now["run_words"] >= min_words))
+        step = 1 if sizes else min(depth, min_lines - depth)
         then = now.select(F.col("doc_id").alias("d"), F.col("tkey").alias("t"), (F.col("at") - step).alias("a"),
-                          F.col("rank").alias("k2"))
+                          F.col("rank").alias("k2"), *[F.col("run_words").alias("then_words") for _ in sizes[:1]])
         pairs = now.join(then, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tkey") == F.col("t"))
                          & (F.col("at") == F.col("a")))
+        if sizes:
+            pairs = pairs.withColumn("run_words", F.col("n_words") + F.col("then_words"))
         depth += step
-        now = _ranked(written(pairs.select("doc_id", "tkey", "at", F.col("rank").alias("k1"), "k2"),
+        now = _ranked(written(pairs.select("doc_id", "tkey", "at", *sizes, F.col("rank").alias("k1"), "k2"),
                               f"lines-pairs-{depth}"), f"lines-{depth}")
-    return now
+    return reduce(DataFrame.union, short, runs(depth))
 
 
 def _place() -> Column:
@@ -82,18 +102,19 @@ def _place() -> Column:
 
 
 def later_copies(runs: DataFrame) -> DataFrame:
-    """(doc_id, tkey, starts): where the later copies of repeated runs start."""
-    first = written(runs.groupBy("rank").agg(F.min(_place()).alias("first")), "lines-first")
-    return (runs.join(first, "rank").where(_place() > F.col("first"))
-            .groupBy("doc_id", "tkey").agg(F.collect_list("at").alias("starts")))
+    """(doc_id, tkey, gone): the lines of the later copies of repeated runs."""
+    first = written(runs.groupBy("depth", "rank").agg(F.min(_place()).alias("first")), "lines-first")
+    covered = F.sequence(F.col("at"), F.col("at") + F.col("depth") - 1)
+    return (runs.join(first, ["depth", "rank"]).where(_place() > F.col("first"))
+            .groupBy("doc_id", "tkey").agg(F.array_distinct(F.flatten(F.collect_list(covered))).alias("gone")))
 
 
-def cut_lines(text: str | None, starts, min_lines: int) -> tuple[str | None, int, int]:
-    """The text without the runs that start at ``starts``, the number of its
-    lines with a word, and how many of them went."""
+def cut_lines(text: str | None, gone) -> tuple[str | None, int, int]:
+    """The text without the lines ``gone``, the number of its lines with a word,
+    and how many of them went."""
     if text is None:
         return None, 0, 0
-    gone = {int(s) + j for s in (() if starts is None else starts) for j in range(min_lines)}
+    gone = set() if gone is None else {int(x) for x in gone}
     kept, at, removed = [], 0, 0
     for line in text.split("\n"):
         if line.strip(BLANKS):
@@ -109,31 +130,31 @@ def cut_lines(text: str | None, starts, min_lines: int) -> tuple[str | None, int
     return "\n".join(kept), at, removed
 
 
-def _cut(docs: DataFrame, min_lines: int) -> DataFrame:
+def _cut(docs: DataFrame, min_lines: int, min_words: int | None) -> DataFrame:
     """(row: all columns of docs, cut: text, n_lines, n_removed)."""
     rows = docs.select(F.struct("*").alias("row"), "doc_id", "text", text_key().alias("tkey"))
-    starts = later_copies(repeated_runs(rows.drop("row"), min_lines)).select(
-        F.col("doc_id").alias("sid"), F.col("tkey").alias("skey"), "starts")
+    gone = later_copies(repeated_runs(rows.drop("row"), min_lines, min_words)).select(
+        F.col("doc_id").alias("sid"), F.col("tkey").alias("skey"), "gone")
 
     @F.pandas_udf("text string, n_lines long, n_removed long")
-    def cut(text: pd.Series, starts: pd.Series) -> pd.DataFrame:
-        out = [cut_lines(t, s, min_lines) for t, s in zip(text, starts)]
+    def cut(text: pd.Series, gone: pd.Series) -> pd.DataFrame:
+        out = [cut_lines(t, g) for t, g in zip(text, gone)]
         return pd.DataFrame(out, columns=["text", "n_lines", "n_removed"])
 
     same = F.col("doc_id").eqNullSafe(F.col("sid")) & (F.col("tkey") == F.col("skey"))
-    return rows.join(starts, same, "left").select("row", cut("text", "starts").alias("cut"))
+    return rows.join(gone, same, "left").select("row", cut("text", "gone").alias("cut"))
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
     """``docs`` with the later copies of repeated line runs cut from its text."""
-    return _cut(docs, min_lines).select(
+    return _cut(docs, min_lines, min_words).select(
         *[F.col("cut.text").alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
-def line_report(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def line_report(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
     """Per row of ``docs``: doc_id, n_lines, n_removed, sha256 of the text left
     (of the empty text for null)."""
-    return _cut(docs, min_lines).select(
+    return _cut(docs, min_lines, min_words).select(
         F.col("row.doc_id").alias("doc_id"), "cut.n_lines", "cut.n_removed",
         F.sha2(F.coalesce(F.col("cut.text"), F.lit("")), 256).alias("kept_sha256"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from amity.llm.common import documents, written
-from amity.llm.line_dedup import dedup_lines
+from amity.llm.line_dedup import MIN_WORDS, dedup_lines
 from amity.llm.mixing import mixed_documents
 from amity.llm.packing import default_tokenizer, pack
 from amity.llm.quality_rules import quality_filter
@@ -29,8 +29,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs go; every document stays."""
-    return _counted(dedup_lines(docs))
+    """Later copies of repeated line runs go, short runs of many words included;
+    every document stays."""
+    return _counted(dedup_lines(docs, min_words=MIN_WORDS))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
