@@ -7,13 +7,13 @@ A, which is symmetric in ``c`` and ``u``; a candidate equal to the caller gets
 the caller's own degree.
 
 Plan for many callers (no pairs are formed inside a friend group), on ids:
-1. attach both out-degrees to each distinct request;
-2. expand only the side with the smaller degree (the pivot) through its
-   edges, giving Σ min(deg c, deg u) rows in total; a pivot that many
-   requests share is dealt over several tasks;
-3. keep the rows whose (other side, f) is an edge - a semi join on the
-   unique edge key;
-4. count per request.
+1. attach both out-degrees to each distinct request, written once;
+2. fetch the friends of the account with fewer of them, then those of the other,
+   as packed arrays from the bucketed adjacency table, and count what they share.
+   The edges are never shuffled, and only the smaller array travels;
+3. requests with a hub (more friends than an array holds), or with an account that
+   very many requests name, expand the smaller side and look its friends up among
+   the edges of the accounts named.
 
 One caller needs no pivot: the candidates' edges, read on their bucket key,
 are kept where they lead to one of the caller's friends.
@@ -24,9 +24,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from amity.operators.roster import (FriendGraph, as_graph, caller_ids, name_of, reachable_ids,
+from amity.operators.roster import (PACKED_FRIENDS, FriendGraph, as_graph, caller_ids, name_of, reachable_ids,
                                     with_caller)
 from amity.plans.skew import hot_rows_setting, skew_join, split_table
+from amity.session import staged
+
+
+def _hot(req: DataFrame, key: str) -> DataFrame:
+    """Accounts that requests name so often that their friends are too much for
+    one task: (key)."""
+    per_key = req.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.max("_few").alias("_m"))
+    rows = F.col("_n").cast("double") * F.col("_m").cast("double")
+    return per_key.where(rows > F.lit(float(hot_rows_setting(req)))).select(key, F.lit(True).alias("_hot" + key))
 
 
 def counts_by_id(g: FriendGraph, req: DataFrame) -> DataFrame:
@@ -35,18 +44,33 @@ def counts_by_id(g: FriendGraph, req: DataFrame) -> DataFrame:
     req = req.join(deg.select(F.col("src").alias("cid"), F.col("degree").alias("_dc")), "cid")
     req = req.join(deg.select(F.col("src").alias("uid"), F.col("degree").alias("_du")), "uid")
     small_is_caller = F.col("_dc") <= F.col("_du")
-    req = req.select(
+    req = staged(req.select(
         "cid", "uid",
-        F.when(small_is_caller, F.col("cid")).otherwise(F.col("uid")).alias("src"),
-        F.when(small_is_caller, F.col("uid")).otherwise(F.col("cid")).alias("_other"),
-        F.least("_dc", "_du").alias("_deg"),
-    )
-    # work of a pivot: its requests x its degree
-    pivots = req.groupBy("src").agg(F.count(F.lit(1)).alias("_n"), F.max("_deg").alias("_deg"))
-    hot = split_table(pivots, ["src"], F.col("_n"), F.col("_deg"), hot_rows_setting(req))
-    expanded = skew_join(req.drop("_deg"), g.edges, ["src"], hot=hot).drop("src")
-    hits = expanded.join(g.edges.select(F.col("src").alias("_other"), "dst"),
-                         ["_other", "dst"], "left_semi")
+        F.when(small_is_caller, F.col("cid")).otherwise(F.col("uid")).alias("_small"),
+        F.when(small_is_caller, F.col("uid")).otherwise(F.col("cid")).alias("_big"),
+        F.least("_dc", "_du").alias("_few"), F.greatest("_dc", "_du").alias("_many")), "friend-requests")
+    split = (F.col("_many") > PACKED_FRIENDS) | F.col("_hot_small").isNotNull() | F.col("_hot_big").isNotNull()
+    marked = (req.join(_hot(req, "_small"), "_small", "left").join(_hot(req, "_big"), "_big", "left")
+              .withColumn("_split", split))
+    mine = g.packed.select(F.col("src").alias("_small"), F.col("ids").alias("_mine"))
+    theirs = g.packed.select(F.col("src").alias("_big"), F.col("ids").alias("_theirs"))
+    shared = F.size(F.array_intersect("_mine", "_theirs"))
+    packed = (marked.where(~F.col("_split")).join(mine, "_small").join(theirs, "_big")
+              .select("cid", "uid", shared.alias("comm_friend_num")).where(F.col("comm_friend_num") > 0))
+    return packed.unionByName(_split_counts(g, marked.where("_split")))
+
+
+def _split_counts(g: FriendGraph, req: DataFrame) -> DataFrame:
+    """The same for requests with a hub, whose friends are no single array, or with
+    an account that very many requests name: the friends of the smaller side are
+    expanded, a pivot that many requests share is dealt over several tasks, and
+    they are looked up among the edges of the other accounts named."""
+    pivots = req.groupBy("_small").agg(F.count(F.lit(1)).alias("_n"), F.max("_few").alias("_m"))
+    hot = split_table(pivots, ["_small"], F.col("_n"), F.col("_m"), hot_rows_setting(req))
+    named = lambda key: (g.edges.join(req.select(F.col(key).alias("src")).distinct(), "src", "left_semi")
+                         .withColumnRenamed("src", key))
+    expanded = skew_join(req.select("cid", "uid", "_small", "_big"), named("_small"), ["_small"], hot=hot)
+    hits = expanded.join(named("_big"), ["_big", "dst"], "left_semi")
     return hits.groupBy("cid", "uid").agg(F.count(F.lit(1)).cast("int").alias("comm_friend_num"))
 
 

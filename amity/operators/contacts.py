@@ -21,8 +21,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from amity.plans.ranking import global_rank_with_total, index_in_group
-from amity.session import checkpoint_root
+from amity.operators.paging import page_slots, rank_directory, seek, segment_lists
+from amity.plans.ranking import global_rank
+from amity.session import staged
 
 CONTACT_COLUMNS = ("userID", "loginAccount", "headImgUrl", "certify", "nickname",
                    "prestigeAmount", "position", "companyName", "areaName",
@@ -60,6 +61,19 @@ def contacts_denorm(cards: DataFrame, users: DataFrame, prestige: DataFrame) ->
             ))
 
 
+#: columns of a person record that a search cannot do without
+REQUIRED_COLUMNS = ("userID", "loginAccount", "certify", "prestigeAmount")
+
+
+def check_required(contacts: DataFrame, columns: Sequence[str] = REQUIRED_COLUMNS) -> None:
+    """Raises ValueError if a required column holds a null, with the number of
+    rows for each; one aggregate over the table, run when a snapshot is loaded."""
+    bad = contacts.agg(*[F.count(F.when(F.col(c).isNull(), F.lit(1))).alias(c) for c in columns]).first()
+    found = {c: bad[c] for c in columns if bad[c]}
+    if found:
+        raise ValueError(f"null values in required columns: {found}")
+
+
 def _check_user(user_id) -> int:
     if user_id is None:
         raise ValueError("user_id is required")
@@ -71,6 +85,11 @@ def _check_page(page_no: int, page_size: int) -> None:
         raise ValueError("page_no and page_size must be >= 1")
 
 
+def _bounds(page_no: int, page_size: int) -> tuple[int, int]:
+    """First and last position of a page."""
+    return (page_no - 1) * page_size + 1, page_no * page_size
+
+
 def inbound_owners(roster: DataFrame, user_id: int) -> DataFrame:
     """Accounts whose roster lists ``user_id`` as a friend (``loginAccount``)."""
     return (roster.where(F.col("userID") == F.lit(int(user_id)))
@@ -163,53 +182,69 @@ def count_matches(matches: DataFrame) -> DataFrame:
     return matches.agg(F.count(F.lit(1)).alias("count"))
 
 
-def result(matches: DataFrame, order: Sequence[Column], page_no: int, page_size: int) -> DataFrame:
-    """Page and total as one row: (count bigint, items array<struct>) with
-    items in rank order.  Built as a union of two one-row aggregates, so no
-    join is needed."""
-    pg = page(matches, order, page_no, page_size)
+def _one_row(total: DataFrame, pg: DataFrame) -> DataFrame:
+    """Page and total as one row: (count bigint, items array<struct>) with items
+    in rank order; a union of two one-row aggregates, so no join is needed."""
     fields = [c for c in pg.columns if c != "rank"]
     packed = pg.agg(F.collect_list(F.struct("rank", *fields)).alias("_items"))
     items_col = F.transform(F.array_sort("_items"), lambda x: F.struct(*[x[c].alias(c) for c in fields]))
-    total = count_matches(matches)
     both = (total.select(F.col("count"), F.lit(None).alias("items0"))
             .unionByName(packed.select(F.lit(None).cast("bigint").alias("count"),
                                        items_col.alias("items0"))))
     return both.agg(F.max("count").alias("count"), F.first("items0", ignorenulls=True).alias("items"))
 
 
-# ---------------------------------------------------------------- many callers
+def result(matches: DataFrame, order: Sequence[Column], page_no: int, page_size: int) -> DataFrame:
+    """Page and total of any matches as one row (count, items)."""
+    return _one_row(count_matches(matches), page(matches, order, page_no, page_size))
 
-# callers that may share one copy of a ranked row in the final join
-CALLERS_PER_COPY = 1_000_000
 
+#: the flags that stand before the order by prestige in the affinity ranking
+AFFINITY_FLAGS = ("sameIndustry", "sameArea")
 
-def _inbound(roster: DataFrame, callers: DataFrame) -> DataFrame:
-    """(caller, loginAccount): accounts listing each caller as a friend."""
-    return (roster.select(F.col("userID").alias("caller"), F.col("username").alias("loginAccount"))
-            .join(callers, "caller", "left_semi").distinct())
 
+def seek_page(matches: DataFrame, page_no: int, page_size: int, flags: Sequence[str] = ()) -> DataFrame:
+    """``page`` of contacts that lie in parts by prestige (column ``part``), for
+    either ranking: matches are counted by part, and only the parts of the page are
+    read again and sorted, however deep it lies."""
+    _check_page(page_no, page_size)
+    rows = seek(matches, rank_directory(matches, flags), prestige_order(), *_bounds(page_no, page_size), flags)
+    return rows.select("rank", *items(rows))
 
-def _excluded_counts(matches: DataFrame, inbound: DataFrame, callers: DataFrame) -> DataFrame:
-    """(caller, _k): shared matches each caller must not see, counted by key -
-    rows of accounts that list the caller, plus the caller's own rows."""
-    per_account = matches.groupBy("loginAccount").agg(F.count(F.lit(1)).alias("_n"))
-    by_owner = (inbound.join(per_account, "loginAccount")
-                .groupBy("caller").agg(F.sum("_n").alias("_a")))
-    own = (matches.select(F.col("userID").alias("caller"), "loginAccount")
-           .join(callers, "caller", "left_semi")
-           .join(inbound, ["caller", "loginAccount"], "left_anti")
-           .groupBy("caller").agg(F.count(F.lit(1)).alias("_b")))
-    return (callers.join(by_owner, "caller", "left").join(own, "caller", "left")
-            .select("caller", (F.coalesce("_a", F.lit(0)) + F.coalesce("_b", F.lit(0))).alias("_k")))
+
+def seek_result(matches: DataFrame, page_no: int, page_size: int, flags: Sequence[str] = ()) -> DataFrame:
+    """Page and total as one row (count, items). Both come from the counts by
+    part, whose shuffle is shared: the matches are evaluated once, but for the
+    parts of the page."""
+    _check_page(page_no, page_size)
+    directory = rank_directory(matches, flags)
+    total = directory.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("count"))
+    rows = seek(matches, directory, prestige_order(), *_bounds(page_no, page_size), flags)
+    return _one_row(total, rows.select("rank", *items(rows)))
 
 
-def _exclusion_ranks(ranked: DataFrame, inbound: DataFrame, callers: DataFrame) -> DataFrame:
-    """(caller, x): ranks (within ``ranked``) of rows a caller must not see."""
-    by_owner = inbound.join(ranked.select("loginAccount", "rank"), "loginAccount").select("caller", "rank")
-    own = (callers.join(ranked.select(F.col("userID").alias("caller"), "rank"), "caller")
+# ---------------------------------------------------------------- many callers
+
+def _caller_ids(callers: DataFrame, *more: str) -> DataFrame:
+    return callers.select(F.col("caller").cast("bigint").alias("caller"), *more).dropDuplicates(["caller"])
+
+
+def _left_out(ranked: DataFrame, roster: DataFrame, callers: DataFrame) -> DataFrame:
+    """(caller, rank): the ranked rows a caller must not see - its own and those
+    of accounts that list it. ``ranked``: rank, userID, loginAccount."""
+    listing = (roster.select(F.col("userID").alias("caller"), F.col("username").alias("loginAccount"))
+               .join(callers.select("caller"), "caller", "left_semi"))
+    by_owner = listing.join(ranked.select("loginAccount", "rank"), "loginAccount").select("caller", "rank")
+    own = (callers.select("caller").join(ranked.select(F.col("userID").alias("caller"), "rank"), "caller")
            .select("caller", "rank"))
-    return by_owner.unionByName(own).distinct().withColumnRenamed("rank", "x")
+    return by_owner.unionByName(own).distinct()
+
+
+def _counts(callers: DataFrame, left_out: DataFrame, total: Column) -> DataFrame:
+    """(caller, count): all ranked rows less those the caller must not see."""
+    k = left_out.groupBy("caller").agg(F.count(F.lit(1)).alias("_k"))
+    return (callers.select("caller").join(k, "caller", "left")
+            .select("caller", (total - F.coalesce("_k", F.lit(0))).cast("bigint").alias("count")))
 
 
 def paged_many(matches: DataFrame, order: Sequence[Column], roster: DataFrame, callers: DataFrame,
@@ -219,62 +254,39 @@ def paged_many(matches: DataFrame, order: Sequence[Column], roster: DataFrame, c
     ``callers``: column ``caller`` (user id).  Returns (pages, counts):
     pages (caller, rank, 11 item fields), counts (caller, count).
 
-    With the shared matches ranked 1..N, a caller's list is 1..N minus its
-    excluded ranks x_1 < .. < x_k.  After x_i come the free ranks
-    x_i+1 .. x_(i+1)-1, which are list positions g_i+1 .. g_(i+1) with
-    g_i = x_i - i, each at rank position + i.  A page therefore touches at
-    most page_size + 1 such runs, found by equi-joins on (caller, i); no
-    caller is ever paired with the whole match list.
-
-    The match list gets one distributed global rank.  Only ranks up to
-    page_no * page_size + max_c k_c can appear on a page (k_c = rows excluded
-    for caller c, counted by key first); the joins read no others.  Callers
-    share the top ranks, so those rows are copied per million callers."""
+    The shared matches get one distributed global rank; what each caller must not
+    see is one table of (caller, rank). ``page_slots`` turns it into the ranks of
+    the caller's page, and only those ranks are joined with the items. No caller
+    is ever paired with the match list, and one caller with many exclusions
+    widens nobody else's work."""
     _check_page(page_no, page_size)
-    lo, hi = (page_no - 1) * page_size + 1, page_no * page_size
-    callers = callers.select(F.col("caller").cast("bigint").alias("caller")).distinct()
-    inbound = _inbound(roster, callers)
-    checkpoint_root(matches.sparkSession)
-    # one row per caller, used by the depth check and by every run below
-    k = _excluded_counts(matches, inbound, callers).checkpoint(eager=True)
-    deepest, n_callers = k.agg(F.max("_k"), F.count(F.lit(1))).first()
-    ranked, n_total = global_rank_with_total(matches, order)
-    ranked = ranked.where(F.col("rank") <= F.lit(hi + int(deepest or 0)))
-    counts = k.select("caller", (F.lit(n_total) - F.col("_k")).cast("bigint").alias("count"))
-
-    x = _exclusion_ranks(ranked, inbound, callers)
-    xi = index_in_group(x, ["caller"], "x", idx_col="i")
-    xi = xi.withColumn("g", F.col("x") - F.col("i"))
-    nxt = xi.select("caller", (F.col("i") - 1).alias("i"), F.col("g").alias("g_next"))
-    runs_after = (xi.join(nxt, ["caller", "i"], "left").join(counts, "caller")
-                  .select("caller", (F.col("g") + 1).alias("start"),
-                          F.coalesce("g_next", F.col("count")).alias("end"), F.col("i").alias("shift")))
-    first_g = xi.where(F.col("i") == 1).select("caller", F.col("g").alias("g1"))
-    run0 = (counts.join(first_g, "caller", "left")
-            .select("caller", F.lit(1).cast("bigint").alias("start"),
-                    F.coalesce("g1", F.col("count")).alias("end"), F.lit(0).cast("bigint").alias("shift")))
-    runs = (runs_after.unionByName(run0)
-            .where((F.col("start") <= F.col("end")) & (F.col("start") <= hi) & (F.col("end") >= lo)))
-    slots = runs.select(
-        "caller", "shift",
-        F.explode(F.sequence(F.greatest("start", F.lit(lo).cast("bigint")),
-                             F.least("end", F.lit(hi).cast("bigint")))).alias("pos"))
-    picked = slots.select("caller", F.col("pos").alias("_pos"),
-                          (F.col("pos") + F.col("shift")).alias("rank"))
-    copies = max(1, -(-n_callers // CALLERS_PER_COPY))
-    picked = picked.withColumn("_copy", F.pmod(F.xxhash64("caller"), F.lit(copies)).cast("int"))
-    ranked = ranked.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    pages = (picked.join(ranked, ["rank", "_copy"])
-             .select("caller", F.col("_pos").alias("rank"), *items(ranked)))
-    return pages, counts
+    callers = _caller_ids(callers)
+    ranked = global_rank(matches, order)
+    total = ranked.agg(F.count(F.lit(1))).scalar()
+    left_out = staged(_left_out(ranked, roster, callers), "left-out")
+    slots = page_slots(left_out.withColumnRenamed("rank", "x"), callers, total, *_bounds(page_no, page_size))
+    # callers share the top ranks: the adaptive skew join splits those of the slots
+    pages = (slots.withColumnRenamed("x", "_rank").join(ranked.withColumnRenamed("rank", "_rank"), "_rank")
+             .select("caller", F.col("pos").alias("rank"), *items(ranked)))
+    return pages, _counts(callers, left_out, total)
 
 
 def count_many(matches: DataFrame, roster: DataFrame, callers: DataFrame) -> DataFrame:
     """Total of a shared search for every caller, (caller, count), without
-    ranking anything: the shared total minus each caller's excluded rows."""
-    callers = callers.select(F.col("caller").cast("bigint").alias("caller")).distinct()
-    k = _excluded_counts(matches, _inbound(roster, callers), callers)
-    return k.select("caller", (F.lit(matches.count()) - F.col("_k")).cast("bigint").alias("count"))
+    ranking anything: the shared total minus each caller's excluded rows, which
+    are counted by account."""
+    callers = _caller_ids(callers)
+    per_account = matches.groupBy("loginAccount").agg(F.count(F.lit(1)).alias("_n"))
+    listing = (roster.select(F.col("userID").alias("caller"), F.col("username").alias("loginAccount"))
+               .join(callers, "caller", "left_semi").distinct())
+    own = (matches.select(F.col("userID").alias("caller"), "loginAccount")
+           .join(callers, "caller", "left_semi").join(listing, ["caller", "loginAccount"], "left_anti")
+           .select("caller", F.lit(1).cast("bigint").alias("_n")))
+    k = (listing.join(per_account, "loginAccount").select("caller", "_n").unionByName(own)
+         .groupBy("caller").agg(F.sum("_n").alias("_k")))
+    total = matches.agg(F.count(F.lit(1))).scalar()
+    return (callers.join(k, "caller", "left")
+            .select("caller", (total - F.coalesce("_k", F.lit(0))).cast("bigint").alias("count")))
 
 
 def contacts_page_many(contacts: DataFrame, roster: DataFrame, callers: DataFrame, page_no: int,
@@ -292,3 +304,39 @@ def contacts_page_many(contacts: DataFrame, roster: DataFrame, callers: DataFram
         m = prestige_filter(contacts, prestige_amount, area_codes, industry_codes)
         order = prestige_order()
     return paged_many(m, order, roster, callers, page_no, page_size)
+
+
+def affinity_page_own_codes(contacts: DataFrame, roster: DataFrame, callers: DataFrame, page_no: int,
+                            page_size: int, industry_codes: Sequence[int]) -> tuple[DataFrame, DataFrame]:
+    """The affinity search of many callers, each with its own industry and area.
+
+    ``callers``: caller, my_industry_code, area_code (either code may be null: then
+    nothing matches it); of rows with the same caller one counts. Returns (pages,
+    counts) as ``paged_many``.
+
+    The matches are ranked once, by prestige. A caller's list is four segments of
+    that ranking one after another: rows of its industry and area, of its industry,
+    of its area, the rest. ``segment_lists`` takes from it, for each pair of codes
+    that occurs, as many rows as the deepest page of its callers needs; positions
+    in that list are then treated like ranks of a shared search."""
+    _check_page(page_no, page_size)
+    lo, hi = _bounds(page_no, page_size)
+    codes = [F.col("my_industry_code").cast("bigint").alias("my_industry_code"),
+             F.col("area_code").cast("bigint").alias("area_code")]
+    callers = _caller_ids(callers, *codes).withColumn("pair", F.concat_ws(
+        "|", F.coalesce(F.col("my_industry_code").cast("string"), F.lit("-")),
+        F.coalesce(F.col("area_code").cast("string"), F.lit("-"))))
+    ranked = global_rank(affinity_filter(contacts, None, None, industry_codes), prestige_order())
+    total = ranked.agg(F.count(F.lit(1))).scalar()
+    left_out = staged(_left_out(ranked, roster, callers), "left-out")
+    k = left_out.groupBy("caller").agg(F.count(F.lit(1)).alias("_k"))
+    pairs = (callers.join(k, "caller", "left").groupBy("pair", "my_industry_code", "area_code")
+             .agg((F.max(F.coalesce("_k", F.lit(0))) + F.lit(hi)).alias("depth")))
+    lists = staged(segment_lists(ranked, staged(pairs, "code-pairs")), "code-lists")
+    of = callers.select("caller", "pair")
+    hidden = left_out.join(of, "caller").join(lists, ["pair", "rank"]).select("caller", "x")
+    slots = page_slots(hidden, callers, total, lo, hi)
+    pages = (slots.join(of, "caller").join(lists, ["pair", "x"]).withColumnRenamed("rank", "_rank")
+             .select("caller", "pos", "_rank").join(ranked.withColumnRenamed("rank", "_rank"), "_rank")
+             .select("caller", F.col("pos").alias("rank"), *items(ranked)))
+    return pages, _counts(callers, left_out, total)

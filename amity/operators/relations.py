@@ -7,7 +7,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from amity.operators.roster import as_graph, caller_ids, expand, one_hop_ids, scope_ids, with_caller
+from amity.operators.roster import (FriendGraph, as_graph, caller_ids, one_hop_ids, scope_ids, second_hop,
+                                    with_caller)
+from amity.plans.skew import hot_rows_setting, skew_join, split_table
+from amity.session import staged
 
 FRIEND = 1
 FRIEND_OF_FRIEND = 2
@@ -24,9 +27,9 @@ def relation_table_many(graph, callers) -> DataFrame:
     cids = caller_ids(g, callers)
     e = g.edges_ids.where(F.col("userID").isNotNull())
     first = scope_ids(e, cids).select("cid", "userID", F.lit(FRIEND).alias("friendType"))
-    one = one_hop_ids(g, cids)
-    second = (expand(one, e, g.hot, g.has_hot).where(F.col("dst") != F.col("cid"))
-              .join(one, ["cid", "dst"], "left_anti")
+    second = (second_hop(g, cids, e).where((F.col("dst") != F.col("cid")) & F.col("userID").isNotNull())
+              .select("cid", "dst", "userID").distinct()   # before the anti join: far fewer rows
+              .join(one_hop_ids(g, cids), ["cid", "dst"], "left_anti")
               .select("cid", "userID", F.lit(FRIEND_OF_FRIEND).alias("friendType")))
     both = (first.unionByName(second)
             .groupBy("cid", "userID").agg(F.min("friendType").alias("friendType")))
@@ -40,28 +43,73 @@ def relation_table(graph, caller: str) -> DataFrame:
     return relation_table_many(graph, caller).select("userID", "friendType")
 
 
+def _meeting(g: FriendGraph, req: DataFrame, own: DataFrame) -> DataFrame:
+    """(cid, uid, dst): edges to an asked id ``uid`` owned by one of the caller's
+    friends. ``req``: cid, uid; ``own``: the callers' edges (cid, via).
+
+    Either the caller's friends or the edges into the asked id are expanded,
+    whichever are fewer for that request, and looked up on the other side: no
+    caller's two-hop set is ever built."""
+    out = g.degrees.select(F.col("src").alias("cid"), F.col("degree").alias("_out"))
+    into = g.in_degrees.select(F.col("userID").alias("uid"), F.col("indegree").alias("_in"))
+    req = staged(req.join(out, "cid").join(into, "uid"), "relation-requests")
+    edge = g.ids_in.select(F.col("userID").alias("uid"), F.col("src").alias("via"), "dst")
+    forth, back = req.where(F.col("_out") <= F.col("_in")), req.where(F.col("_out") > F.col("_in"))
+    forth = skew_join(forth.select("cid", "uid"), own, ["cid"], hot=_pivots(forth, "cid", "_out")).join(edge, ["uid", "via"])
+    back = (skew_join(back.select("cid", "uid"), edge, ["uid"], hot=_pivots(back, "uid", "_in"))
+            .join(own, ["cid", "via"], "left_semi"))
+    return forth.select("cid", "uid", "dst").unionByName(back.select("cid", "uid", "dst"))
+
+
+def _pivots(req: DataFrame, key: str, degree: str) -> DataFrame:
+    """The keys whose requests times edges are too much for one task."""
+    per_key = req.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.max(degree).alias("_m"))
+    return split_table(per_key, [key], F.col("_n"), F.col("_m"), hot_rows_setting(req))
+
+
+def _relations(g: FriendGraph, req: DataFrame, cids) -> DataFrame:
+    """(cid, uid, type) of the distinct requests ``req`` (cid, uid) that are a
+    friend or a friend of a friend."""
+    own = scope_ids(g.edges, cids).select("cid", F.col("dst").alias("via"))
+    named = scope_ids(g.edges_ids.where(F.col("userID").isNotNull()), cids)
+    first = req.join(named.select("cid", F.col("userID").alias("uid")).distinct(), ["cid", "uid"], "left_semi")
+    second = (_meeting(g, req, own).where(F.col("dst") != F.col("cid")).distinct()
+              .join(own.withColumnRenamed("via", "dst"), ["cid", "dst"], "left_anti"))
+    both = (first.select("cid", "uid", F.lit(FRIEND).alias("type"))
+            .unionByName(second.select("cid", "uid", F.lit(FRIEND_OF_FRIEND).alias("type"))))
+    return both.groupBy("cid", "uid").agg(F.min("type").alias("type"))
+
+
+def _answered(req: DataFrame, found: DataFrame, key: list[str], include_strangers: bool) -> DataFrame:
+    kind = F.coalesce("type", F.lit(STRANGER)) if include_strangers else F.col("type")
+    return req.join(found, key, "left" if include_strangers else "inner").select(*key, kind.cast("int").alias("type"))
+
+
+def _as_id(user_id: str = "user_id"):
+    """The numeric id of a text; null where it is not one as the ids are written."""
+    n = F.col(user_id).try_cast("bigint")
+    return F.when(n.cast("string") == F.col(user_id), n)
+
+
 def person_relation_many(graph, requests: DataFrame, include_strangers: bool = False) -> DataFrame:
     """C7 for many callers. ``requests``: (caller, user_id string).
     Duplicate requests collapse; strangers are absent unless asked for, then
     they get type 3."""
+    g = as_graph(graph)
     req = requests.select("caller", F.col("user_id").cast("string").alias("user_id")).distinct()
-    callers = req.select("caller").distinct()
-    rel = relation_table_many(graph, callers).select(
-        "caller", F.col("userID").alias("user_id"), F.col("friendType").alias("type"))
-    if include_strangers:
-        return (req.join(rel, ["caller", "user_id"], "left")
-                .select("caller", "user_id",
-                        F.coalesce("type", F.lit(STRANGER)).cast("int").alias("type")))
-    return rel.join(req, ["caller", "user_id"], "left_semi")
+    cids = caller_ids(g, req.select("caller"))
+    coded = (req.join(cids, "caller").withColumn("uid", _as_id()).where(F.col("uid").isNotNull()))
+    found = (_relations(g, coded.select("cid", "uid"), cids).join(cids, "cid")
+             .select("caller", F.col("uid").cast("string").alias("user_id"), "type"))
+    return _answered(req, found, ["caller", "user_id"], include_strangers)
 
 
 def person_relation(graph, caller: str, user_ids: DataFrame,
                     include_strangers: bool = False) -> DataFrame:
     """``searchPersonRelation``: ids (column ``user_id``) -> (user_id, type)."""
-    rel = relation_table_many(graph, caller).select(
-        F.col("userID").alias("user_id"), F.col("friendType").alias("type"))
-    ids = user_ids.select(F.col("user_id").cast("string").alias("user_id")).distinct()
-    if include_strangers:
-        return (ids.join(rel, "user_id", "left")
-                .select("user_id", F.coalesce("type", F.lit(STRANGER)).cast("int").alias("type")))
-    return rel.join(ids, "user_id", "left_semi")
+    g = as_graph(graph)
+    cid = caller_ids(g, caller)
+    req = user_ids.select(F.col("user_id").cast("string").alias("user_id")).distinct()
+    coded = req.select(F.lit(cid).cast("bigint").alias("cid"), _as_id().alias("uid")).where(F.col("uid").isNotNull())
+    found = _relations(g, coded, cid).select(F.col("uid").cast("string").alias("user_id"), "type")
+    return _answered(req, found, ["user_id"], include_strangers)

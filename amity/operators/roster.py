@@ -13,8 +13,8 @@ A ``FriendGraph`` holds the raw roster and what every query derives from
 it, built once per snapshot (``amity.plans.loaded``) or for one session with
 ``FriendGraph.of(roster)``:
 
-* ``accounts``: every account name with a dense ``long`` id (``aid``), from a
-  distributed global rank - exact, no hash collisions;
+* ``accounts``: every account name with a ``long`` id (``aid``) of its own - exact,
+  no hash collisions;
 * ``edges`` (src, dst): distinct friend edges without self-loops, in ids;
 * ``edges_ids`` (src, dst, userID) and ``raw_edges`` (with self-loops);
 * ``degrees`` (src, degree) and ``hot`` (account = aid, indeg, outdeg) for the
@@ -32,9 +32,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from amity.plans.ranking import global_rank
 from amity.plans.skew import degree_hot_keys, hot_rows_setting, split_hot_join, split_table
-from amity.session import checkpoint_root
+from amity.session import staged
 
 ROSTER_COLUMNS = ("rosterID", "username", "loginAccount", "userID")
 NO_ACCOUNT = -1  # id of a caller that is not in the dictionary: matches nothing
@@ -47,18 +46,14 @@ def load_roster(view: DataFrame) -> DataFrame:
             .select(*ROSTER_COLUMNS))
 
 
-def friend_edges(roster: DataFrame) -> DataFrame:
-    """A by name: distinct (username, loginAccount) without self-loops."""
-    return (roster.where(F.col("username") != F.col("loginAccount"))
-            .select("username", "loginAccount").distinct())
-
-
 def account_dictionary(roster: DataFrame) -> DataFrame:
-    """(account, aid): every owner and friend account with a dense id."""
+    """(account, aid): every owner and friend account with an id of its own. Ids
+    are given out where the rows stand, so the table is to be written once and
+    read from there."""
     names = (roster.select(F.col("username").alias("account"))
              .union(roster.select(F.col("loginAccount").alias("account")))
              .where(F.col("account").isNotNull()).distinct())
-    return global_rank(names, [F.asc("account")], "aid")
+    return names.withColumn("aid", F.monotonically_increasing_id())
 
 
 def encode_roster(roster: DataFrame, accounts: DataFrame) -> DataFrame:
@@ -77,16 +72,21 @@ class FriendGraph:
     raw_edges: DataFrame   # src, dst: distinct, self-loops kept
     degrees: DataFrame     # src, degree (out-degree over edges)
     hot: DataFrame         # account (an aid), indeg, outdeg: hot accounts only
+    ids_in: DataFrame      # userID, src, dst of edges_ids (loaded graphs: bucketed by userID)
+    in_degrees: DataFrame  # userID, indegree (edges that carry the id)
+    packed: DataFrame      # src, ids: the friends of every owner but hubs as one array
     edges_in: DataFrame | None = None  # the edges again, bucketed by dst (loaded graphs)
     has_hot: bool | None = None        # known at load: whether any account is hot
+    has_hubs: bool | None = None       # known at load: whether any owner is a hub
+    hops: DataFrame | None = None      # src, dst, userID, part: raw edges in folders by pmod(src, hop_parts)
+    hop_parts: int = 0
 
     @classmethod
     def of(cls, roster: DataFrame) -> "FriendGraph":
         """Codes the roster once, in the shared folder; everything else derives
         from that."""
-        checkpoint_root(roster.sparkSession)
-        accounts = account_dictionary(roster)
-        return cls.from_coded(roster, accounts, encode_roster(roster, accounts).checkpoint(eager=True))
+        accounts = staged(account_dictionary(roster), "accounts")
+        return cls.from_coded(roster, accounts, staged(encode_roster(roster, accounts), "coded"))
 
     @classmethod
     def from_coded(cls, roster: DataFrame, accounts: DataFrame, coded: DataFrame) -> "FriendGraph":
@@ -94,7 +94,10 @@ class FriendGraph:
         raw = coded.select("src", "dst").distinct()
         edges = raw.where(F.col("src") != F.col("dst"))
         edges_ids = coded.where(F.col("src") != F.col("dst")).distinct()
-        return cls(roster, accounts, edges, edges_ids, raw, degrees_of(edges), hot_degrees(edges))
+        degrees = degrees_of(edges)
+        ids_in = edges_ids.where(F.col("userID").isNotNull()).select("userID", "src", "dst")
+        return cls(roster, accounts, edges, edges_ids, raw, degrees, hot_degrees(edges), ids_in,
+                   ids_in.groupBy("userID").agg(F.count(F.lit(1)).alias("indegree")), packed_friends(edges, degrees))
 
 
 def degrees_of(edges: DataFrame) -> DataFrame:
@@ -102,6 +105,17 @@ def degrees_of(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
 
 
+#: friends one array holds; an owner with more is a hub and has no array
+PACKED_FRIENDS = 4_096
+
+
+def packed_friends(edges: DataFrame, degrees: DataFrame) -> DataFrame:
+    """(src, ids): the sorted friends of every owner with at most
+    ``PACKED_FRIENDS`` of them."""
+    few = degrees.where(F.col("degree") <= PACKED_FRIENDS).select("src")
+    return edges.join(few, "src", "left_semi").groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("ids"))
+
+
 def hot_degrees(edges: DataFrame) -> DataFrame:
     """(account, indeg, outdeg) of the accounts whose two-hop paths exceed the
     hot-row setting."""
@@ -176,10 +190,10 @@ def expand(first: DataFrame, edges: DataFrame, hot: DataFrame, has_hot: bool | N
     return split_hot_join(left, right, ["_via"], table).drop("_via")
 
 
-def two_hop_candidate_ids(g: FriendGraph, one: DataFrame) -> DataFrame:
+def two_hop_candidate_ids(g: FriendGraph, cids) -> DataFrame:
     """Friends of one-hop friends other than the caller (not distinct, may
     include direct friends): (cid, dst)."""
-    return expand(one, g.edges, g.hot, g.has_hot).where(F.col("dst") != F.col("cid"))
+    return second_hop(g, cids, g.edges).where(F.col("dst") != F.col("cid"))
 
 
 def reachable_ids(g: FriendGraph, cids) -> DataFrame:
@@ -187,7 +201,41 @@ def reachable_ids(g: FriendGraph, cids) -> DataFrame:
     distinct union of one-hop accounts and all two-hop candidates, which
     needs no anti join.  (cid, dst)."""
     one = one_hop_ids(g, cids)
-    return one.unionByName(two_hop_candidate_ids(g, one)).distinct()
+    return one.unionByName(two_hop_candidate_ids(g, cids)).distinct()
+
+
+#: callers' friends that a broadcast may hold (two longs a row: about 16 MB)
+BROADCAST_FRIENDS = 1_000_000
+
+
+def second_hop_of_one(g: FriendGraph, cid: int) -> DataFrame | None:
+    """(cid, src, dst, userID): the roster rows owned by one caller's friends, or
+    None where the graph has no hop table or the caller has more friends than a
+    broadcast may hold (its degree is looked up). Rows lie in folders by owner, and
+    the friends' folders are the only ones read (dynamic partition pruning)."""
+    if g.hops is None:
+        return None
+    row = g.degrees.where(F.col("src") == F.lit(cid)).select("degree").first()
+    if row is not None and row[0] > BROADCAST_FRIENDS:
+        return None
+    part = lambda c: F.pmod(F.col(c), F.lit(g.hop_parts))
+    own = g.hops.where((F.col("part") == F.lit(cid % g.hop_parts)) & (F.col("src") == F.lit(cid)))
+    friends = (own.where(F.col("dst") != F.lit(cid)).select(F.col("dst").alias("src")).distinct()
+               .withColumn("part", part("src").cast("int")))
+    return (g.hops.join(F.broadcast(friends), ["part", "src"])
+            .select(F.lit(cid).cast("bigint").alias("cid"), "src", "dst", "userID"))
+
+
+def second_hop(g: FriendGraph, cids, edges: DataFrame) -> DataFrame:
+    """Rows of ``edges`` (src, dst, ...: raw edges or edges of the graph) owned by
+    the callers' friends: (cid, dst, ...)."""
+    if isinstance(cids, int):
+        near = second_hop_of_one(g, cids)
+        if near is not None:
+            if edges is not g.raw_edges:
+                near = near.where(F.col("src") != F.col("dst"))
+            return near.select("cid", *[c for c in edges.columns if c != "src"])
+    return expand(one_hop_ids(g, cids), edges, g.hot, g.has_hot)
 
 
 # ------------------------------------------------------------ named operators
@@ -211,7 +259,7 @@ def two_hop_raw(graph, callers) -> DataFrame:
     by its own self-loop."""
     g = as_graph(graph)
     cids = caller_ids(g, callers)
-    ids = expand(one_hop_ids(g, cids), g.raw_edges, g.hot, g.has_hot).select("cid", "dst").distinct()
+    ids = second_hop(g, cids, g.raw_edges).select("cid", "dst").distinct()
     return _named(g, ids, callers, cids)
 
 
@@ -220,8 +268,7 @@ def two_hop_strict(graph, callers) -> DataFrame:
     direct friend."""
     g = as_graph(graph)
     cids = caller_ids(g, callers)
-    one = one_hop_ids(g, cids)
-    ids = two_hop_candidate_ids(g, one).join(one, ["cid", "dst"], "left_anti").distinct()
+    ids = two_hop_candidate_ids(g, cids).distinct().join(one_hop_ids(g, cids), ["cid", "dst"], "left_anti")
     return _named(g, ids, callers, cids)
 
 
@@ -248,9 +295,3 @@ def friends_two_hop_strict(graph, caller: str) -> DataFrame:
 
 def friends_reachable(graph, caller: str) -> DataFrame:
     return reachable_within_two(graph, caller).select("loginAccount")
-
-
-def out_degrees(graph) -> DataFrame:
-    """(username, degree) over the distinct friend edges."""
-    g = as_graph(graph)
-    return name_of(g, g.degrees, "src", "username").select("username", "degree")

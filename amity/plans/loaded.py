@@ -3,8 +3,10 @@
 Loading is the refresh step: the fixture views are computed once from the
 given tables and written as parquet snapshots under the shared checkpoint
 folder, together with what every graph query shares - the account
-dictionary, the id-coded edge tables (bucketed by owner, plus a copy
-bucketed by friend), degrees and the hot-account table.  Every query then
+dictionary, the id-coded edge tables (bucketed by owner, by friend and by
+numeric id, packed as arrays, and in folders for one caller's second hop),
+degrees and the hot-account table; the contacts lie in parts of the order by
+prestige.  Every query then
 reads those snapshots: scans have real sizes for the optimizer, equality
 lookups prune buckets and row groups, and the two-hop join needs no
 exchange.  A session loads a directory once; a new session loads it again.
@@ -18,24 +20,27 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from amity.operators.contacts import contacts_denorm
-from amity.operators.roster import FriendGraph, account_dictionary, encode_roster, load_roster
+from amity.operators.contacts import check_required, contacts_denorm, prestige_order
+from amity.operators.paging import write_rank_parts
+from amity.operators.roster import (PACKED_FRIENDS, FriendGraph, account_dictionary, encode_roster, load_roster,
+                                    packed_friends)
 from amity.plans import fixtures as fx
-from amity.session import scratch_path
+from amity.session import scratch_path, staged
 from amity.sources.snapshots import latest_snapshot, mark_complete, snapshot_write
 
 _LOCK = threading.Lock()
-_LOADED: dict[tuple[str, str], dict[str, str]] = {}
+_LOADED: dict[tuple[str, str], dict] = {}
 
 # fixed snapshot key of a fixture load (any epoch-ms value would do)
 FIXTURE_SNAPSHOT_MS = 1469664000000
 
 
-GRAPH_PARTS = ("accounts", "edges", "edges_ids", "raw_edges", "degrees", "hot")
-# edge tables written as bucketed tables: (name, bucket column)
-# (the edges without self-loops are the raw edges with src <> dst: a filter
-# keeps the bucketing, so they are not written twice)
-BUCKETED = (("edges_ids", "src"), ("raw_edges", "src"), ("edges_in", "dst"))
+GRAPH_PARTS = ("accounts", "degrees", "in_degrees", "hot")
+# tables written bucketed and sorted: (name, bucket column); edges without
+# self-loops are the raw edges with src <> dst: a filter keeps the bucketing, so
+# they are not written twice
+BUCKETED = (("edges_ids", "src"), ("raw_edges", "src"), ("edges_in", "dst"), ("ids_in", "userID"), ("packed", "src"),
+            ("inbound", "userID"))
 
 
 ROWS_PER_BUCKET = 4_000_000  # two longs a row: about 64 MB of ids per bucket
@@ -54,58 +59,87 @@ def graph_buckets(spark: SparkSession, rows: int) -> int:
     return min(most, max(spark.sparkContext.defaultParallelism, -(-int(rows) // ROWS_PER_BUCKET)))
 
 
-def _write_bucketed(spark: SparkSession, df: DataFrame, root: str, key: str, buckets: int) -> str:
-    """One file per bucket, sorted by the key, under the snapshot folder;
-    registered as an external table so scans know the bucketing (joins on
-    the key need no shuffle; an equality filter skips other row groups)."""
+def hub_rows(spark: SparkSession) -> int:
+    """Rows of one account that one writer task takes (``amity.graph.hubRows``)."""
+    return int(spark.conf.get("amity.graph.hubRows", str(ROWS_PER_BUCKET)))
+
+
+def write_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> str:
+    """``df`` as an external table bucketed and sorted by ``key``: scans know the
+    bucketing (joins on the key need no shuffle; an equality filter skips other
+    row groups).
+
+    Rows go to their writer by (bucket, chunk): an ordinary account has one
+    chunk, so its bucket is one file; the rows of a hub are dealt into chunks of
+    about ``hub_rows`` by their hash, so that many tasks write them, as files of
+    the same bucket, and many tasks read them where no join needs the bucket."""
+    spark = df.sparkSession
+    limit = hub_rows(spark)
+    hubs = (df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+            .select(key, F.ceil(F.col("_n") / limit).cast("int").alias("_chunks")))
+    dealt = (df.join(hubs, key, "left")
+             .withColumn("_chunk", F.pmod(F.xxhash64(*df.columns), F.coalesce("_chunks", F.lit(1))).cast("int")))
     name = f"amity_{key}_{uuid.uuid4().hex[:12]}"
-    (df.repartition(buckets, key).write.mode("overwrite")
-     .bucketBy(buckets, key).sortBy(key)
-     .option("path", f"{root}/snapshot_ms={FIXTURE_SNAPSHOT_MS}")
-     .saveAsTable(name))
+    # Spark's bucket of a key is its Murmur3 hash, modulo the buckets
+    (dealt.repartition(buckets, F.pmod(F.hash(key), F.lit(buckets)), "_chunk").select(*df.columns)
+     .write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name))
     return name
 
 
-def _build(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+HOP_PART_ROWS = 1_000_000
+
+
+def write_hops(coded: DataFrame, path: str, parts: int) -> None:
+    """The raw edges in folders ``part = pmod(src, parts)``, for one caller's
+    second hop: only the folders of its friends are read."""
+    (coded.distinct().withColumn("part", F.pmod("src", F.lit(parts)).cast("int"))
+     .repartition(parts, "part").sortWithinPartitions("part", "src")
+     .write.mode("overwrite").partitionBy("part").parquet(path))
+
+
+def _build(spark: SparkSession, sf_dir: str) -> dict:
     """Load step: the roster snapshot, the account dictionary and the id-coded
     edge, degree and hot-account tables derived from it (clustered by owner
     id), and the contact table."""
-    roots = {k: scratch_path(spark, k) for k in ("roster", "contacts", "coded") + GRAPH_PARTS}
+    roots: dict = {k: scratch_path(spark, k) for k in ("roster", "contacts", "coded", "hops") + GRAPH_PARTS}
+    at = lambda k: f"{roots[k]}/snapshot_ms={FIXTURE_SNAPSHOT_MS}"
     snapshot_write(load_roster(fx.view_ofroster(spark, sf_dir)), roots["roster"],
                    FIXTURE_SNAPSHOT_MS, sort_by=("username",))
     roster_df = latest_snapshot(spark, roots["roster"]).drop("snapshot_ms")
-    snapshot_write(account_dictionary(roster_df), roots["accounts"], FIXTURE_SNAPSHOT_MS,
-                   sort_by=("account",))
+    snapshot_write(account_dictionary(roster_df), roots["accounts"], FIXTURE_SNAPSHOT_MS)
     accounts = latest_snapshot(spark, roots["accounts"]).drop("snapshot_ms")
     # the roster in ids, written once; every graph table derives from it
     snapshot_write(encode_roster(roster_df, accounts), roots["coded"], FIXTURE_SNAPSHOT_MS)
     coded = latest_snapshot(spark, roots["coded"]).drop("snapshot_ms")
     g = FriendGraph.from_coded(roster_df, accounts, coded)
-    buckets = graph_buckets(spark, coded.count())  # a parquet count: footers only
-    for name, key in BUCKETED:
-        part = g.edges if name == "edges_in" else getattr(g, name)
-        roots["table:" + name] = _write_bucketed(spark, part, roots.setdefault(name, scratch_path(spark, name)),
-                                                 key, buckets)
-    snapshot_write(g.degrees.repartition("src"), roots["degrees"], FIXTURE_SNAPSHOT_MS, sort_by=("src",))
-    # inbound index for the contact searches: who lists a user id, bucketed
-    # and sorted by that id, so a search's equality lookup skips the rest
+    rows = coded.count()  # a parquet count: footers only
+    buckets = graph_buckets(spark, rows)
+    snapshot_write(g.degrees, roots["degrees"], FIXTURE_SNAPSHOT_MS, sort_by=("src",))
+    degrees = latest_snapshot(spark, roots["degrees"]).drop("snapshot_ms")
+    roots["has_hubs"] = not degrees.where(F.col("degree") > PACKED_FRIENDS).isEmpty()
+    snapshot_write(g.in_degrees, roots["in_degrees"], FIXTURE_SNAPSHOT_MS, sort_by=("userID",))
     inbound_df = roster_df.select("userID", "username").where(F.col("userID").isNotNull()).distinct()
-    roots["table:inbound"] = _write_bucketed(spark, inbound_df, scratch_path(spark, "inbound"), "userID",
-                                             graph_buckets(spark, inbound_df.count()))
+    parts = {"edges_in": g.edges, "packed": packed_friends(g.edges, degrees), "inbound": inbound_df}
+    for name, key in BUCKETED:
+        part = parts.get(name) or getattr(g, name)
+        roots["table:" + name] = write_bucketed(part, f"{scratch_path(spark, name)}/snapshot_ms={FIXTURE_SNAPSHOT_MS}",
+                                                key, buckets)
+    roots["hop_parts"] = max(buckets, -(-rows // HOP_PART_ROWS))
+    write_hops(coded, at("hops"), roots["hop_parts"])
+    mark_complete(spark, roots["hops"], FIXTURE_SNAPSHOT_MS)
     # usually empty: written into its partition folder directly, so the
     # schema-only file still marks the snapshot
-    (g.hot.coalesce(1).write.mode("overwrite")
-     .parquet(f"{roots['hot']}/snapshot_ms={FIXTURE_SNAPSHOT_MS}"))
+    g.hot.coalesce(1).write.mode("overwrite").parquet(at("hot"))
     mark_complete(spark, roots["hot"], FIXTURE_SNAPSHOT_MS)
-    card = fx.business_cards(spark, sf_dir)
-    user = fx.users(spark, sf_dir)
-    pres = fx.prestige(spark, sf_dir)
-    snapshot_write(contacts_denorm(card, user, pres), roots["contacts"], FIXTURE_SNAPSHOT_MS,
-                   sort_by=("userID",))
+    people = staged(contacts_denorm(fx.business_cards(spark, sf_dir), fx.users(spark, sf_dir), fx.prestige(spark, sf_dir)),
+                    "people")
+    check_required(people)
+    write_rank_parts(people, prestige_order(), at("contacts"))
+    mark_complete(spark, roots["contacts"], FIXTURE_SNAPSHOT_MS)
     return roots
 
 
-def loaded_roots(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+def loaded_roots(spark: SparkSession, sf_dir: str) -> dict:
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     with _LOCK:
         if key not in _LOADED:
@@ -133,17 +167,23 @@ def graph(spark: SparkSession, sf_dir: str) -> FriendGraph:
         roots["has_hot"] = not hot_df.isEmpty()
     return FriendGraph(roster(spark, sf_dir), _latest(spark, sf_dir, "accounts"), edges,
                        table["edges_ids"], table["raw_edges"], _latest(spark, sf_dir, "degrees"),
-                       hot_df, edges_in=table["edges_in"], has_hot=roots["has_hot"])
+                       hot_df, table["ids_in"], _latest(spark, sf_dir, "in_degrees"), table["packed"],
+                       edges_in=table["edges_in"], has_hot=roots["has_hot"], has_hubs=roots["has_hubs"],
+                       hops=_latest(spark, sf_dir, "hops"), hop_parts=roots["hop_parts"])
 
 
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Newest contacts snapshot: the 14 columns of the person record."""
+    return contacts_in_parts(spark, sf_dir).drop("part")
+
+
+def contacts_in_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with ``part``, the folder of a row in the order by prestige."""
     return _latest(spark, sf_dir, "contacts")
 
 
 def hot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hot accounts of the newest roster snapshot: (account, indeg, outdeg);
-    bounded in size, so it is broadcast into every expansion."""
+    """Hot accounts of the newest roster snapshot: (account, indeg, outdeg)."""
     return _latest(spark, sf_dir, "hot")
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from amity.plans.fixtures import all_industry_codes, with_fixtures
 from amity.plans.registry import (AFFINITY_AREA, AFFINITY_MY_INDUSTRY, AFFINITY_PAGE, CALLER,
                                   CALLER_ID, COGROUP_DEFAULT, KEEP_SNAPSHOTS, LISTS_AREAS,
-                                  LISTS_INDUSTRIES, LISTS_PAGE, LISTS_THRESHOLD, MANY_PAGE,
+                                  LISTS_INDUSTRIES, LISTS_PAGE, LISTS_THRESHOLD, MANY_PAGE, NO_INDUSTRY_EVERY,
                                   PRESTIGE_PAGE, PRESTIGE_THRESHOLD, SNAPSHOT_KEYS)
 
 ME = f"'{CALLER}'"
@@ -305,5 +305,16 @@ def _oracle_sql() -> dict[str, str]:
             ("cand", "select c.caller, m.* from callers c join m on m.userID <> c.caller "
                      "where not exists (select 1 from ofroster r where r.userID = c.caller "
                      "and r.username = m.loginAccount)")),
+        "affinity_page_own_codes": _c(
+            f"select caller, rank, {ITEMS} from (select *, row_number() over "
+            f"(partition by caller order by {AFFINITY_ORDER}) as rank from cand) where {_page(alo, ahi)}",
+            ("callers", f"select userID as caller, areaCode as area, case when userID % {NO_INDUSTRY_EVERY} <> 0 "
+                        "then industryCode end as industry from industry_contacts"),
+            ("m", f"select * from industry_contacts where industryCode in ({CODES}) and loginAccount is not null"),
+            ("cand", "select c.caller, m.*, coalesce(m.industryCode = c.industry, false)::int as sameIndustry, "
+                     "coalesce(m.areaCode = c.area, false)::int as sameArea "
+                     "from callers c join m on m.userID <> c.caller "
+                     "where not exists (select 1 from ofroster r where r.userID = c.caller "
+                     "and r.username = m.loginAccount)")),
         **_functions_sql(),
     }

@@ -9,40 +9,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from amity.session import checkpoint_root
+from amity.session import staged
 
 _PART_BITS = 33  # monotonically_increasing_id: partition index above bit 33
 
 
-def global_rank_with_total(df: DataFrame, order: Sequence[Column],
-                           rank_col: str = "rank") -> tuple[DataFrame, int]:
-    """``df`` with a 1-based ``rank_col`` following ``order`` (a total order),
-    and the number of rows.
-
-    A range-partitioned sort numbers rows inside each partition; running sums
-    of the per-partition counts (one small row per partition, never per data
-    row) are joined back as offsets.  The numbered sort is checkpointed to the
-    shared folder so every later use sees the same numbers, also after an
-    executor loss."""
-    checkpoint_root(df.sparkSession)
-    numbered = (df.orderBy(*order)
-                .withColumn("_mid", F.monotonically_increasing_id())
-                .withColumn("_part", F.shiftright("_mid", _PART_BITS))
-                .checkpoint(eager=True))
+def global_rank(df: DataFrame, order: Sequence[Column], rank_col: str = "rank") -> DataFrame:
+    """``df`` with a 1-based ``rank_col`` following ``order`` (a total order).
+
+    A range-partitioned sort numbers rows inside each partition and is written
+    once, so every later use sees the same numbers, also after an executor loss;
+    running sums of the per-partition counts (one small row per partition, never
+    per data row) are joined back as offsets."""
+    numbered = staged(df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id())
+                      .withColumn("_part", F.shiftright("_mid", _PART_BITS)), "ranked")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
                .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")))
     local = F.col("_mid") - F.shiftleft("_part", _PART_BITS)
-    # broadcast: one row per partition of the sort, whatever the data
-    ranked = (numbered.join(F.broadcast(offsets), "_part")
-              .withColumn(rank_col, (F.col("_off") + local + F.lit(1)).cast("bigint"))
-              .drop("_mid", "_part", "_off"))
-    return ranked, numbered.count()
-
-
-def global_rank(df: DataFrame, order: Sequence[Column], rank_col: str = "rank") -> DataFrame:
-    """``df`` with a 1-based ``rank_col`` following ``order``."""
-    return global_rank_with_total(df, order, rank_col)[0]
+    return (numbered.join(offsets, "_part")
+            .withColumn(rank_col, (F.col("_off") + local + F.lit(1)).cast("bigint"))
+            .drop("_mid", "_part", "_off"))
 
 
 def index_in_group(df: DataFrame, group: Sequence[str], order_col: str,

@@ -38,6 +38,7 @@ AFFINITY_MY_INDUSTRY = 100001000
 AFFINITY_AREA = 330002
 AFFINITY_PAGE = (2, 50)
 MANY_PAGE = (1, 20)
+NO_INDUSTRY_EVERY = 17
 LISTS_THRESHOLD = 5
 LISTS_INDUSTRIES = (100001000, 100002000, 100003000)
 LISTS_AREAS = (330001, 330002, 330003, 330004, 330005, 330006, 330007, 330008)
@@ -198,22 +199,22 @@ def derived_missing_callers(spark, sf):
 # ------------------------------------------------------------ contact search
 
 def _prestige_matches(spark, sf):
-    return ct.contacts_by_prestige(_contacts(spark, sf), _inbound(spark, sf), CALLER_ID,
+    return ct.contacts_by_prestige(loaded.contacts_in_parts(spark, sf), _inbound(spark, sf), CALLER_ID,
                                    PRESTIGE_THRESHOLD, (), ())
 
 
 def _affinity_matches(spark, sf):
-    return ct.contacts_by_affinity(_contacts(spark, sf), _inbound(spark, sf), CALLER_ID,
+    return ct.contacts_by_affinity(loaded.contacts_in_parts(spark, sf), _inbound(spark, sf), CALLER_ID,
                                    AFFINITY_MY_INDUSTRY, AFFINITY_AREA, fx.all_industry_codes())
 
 
 def _prestige_lists_matches(spark, sf):
-    return ct.contacts_by_prestige(_contacts(spark, sf), _inbound(spark, sf), CALLER_ID,
+    return ct.contacts_by_prestige(loaded.contacts_in_parts(spark, sf), _inbound(spark, sf), CALLER_ID,
                                    LISTS_THRESHOLD, LISTS_AREAS, LISTS_INDUSTRIES)
 
 
 def contacts_by_prestige_lists_page(spark, sf):
-    return ct.page(_prestige_lists_matches(spark, sf), ct.prestige_order(), *LISTS_PAGE)
+    return ct.seek_page(_prestige_lists_matches(spark, sf), *LISTS_PAGE)
 
 
 def contacts_by_prestige_lists_count(spark, sf):
@@ -221,7 +222,7 @@ def contacts_by_prestige_lists_count(spark, sf):
 
 
 def contacts_by_prestige_page(spark, sf):
-    return ct.page(_prestige_matches(spark, sf), ct.prestige_order(), *PRESTIGE_PAGE)
+    return ct.seek_page(_prestige_matches(spark, sf), *PRESTIGE_PAGE)
 
 
 def contacts_by_prestige_count(spark, sf):
@@ -229,7 +230,7 @@ def contacts_by_prestige_count(spark, sf):
 
 
 def contacts_by_affinity_page(spark, sf):
-    return ct.page(_affinity_matches(spark, sf), ct.affinity_order(), *AFFINITY_PAGE)
+    return ct.seek_page(_affinity_matches(spark, sf), *AFFINITY_PAGE, flags=ct.AFFINITY_FLAGS)
 
 
 def contacts_by_affinity_count(spark, sf):
@@ -238,7 +239,7 @@ def contacts_by_affinity_count(spark, sf):
 
 def contacts_result(spark, sf):
     """Page and total of one result, its items as rows."""
-    one = ct.result(_prestige_matches(spark, sf), ct.prestige_order(), *PRESTIGE_PAGE)
+    one = ct.seek_result(_prestige_matches(spark, sf), *PRESTIGE_PAGE)
     return one.select("count", F.posexplode("items").alias("pos", "item")).select("count", "pos", "item.*")
 
 
@@ -265,6 +266,18 @@ def affinity_page_all_callers(spark, sf):
     return pages
 
 
+def affinity_page_own_codes(spark, sf):
+    """Every contact searches with its own industry and area; one in
+    ``NO_INDUSTRY_EVERY`` leaves its industry out."""
+    c = _contacts(spark, sf)
+    callers = c.select(F.col("userID").alias("caller"),
+                       F.when(F.col("userID") % NO_INDUSTRY_EVERY != 0, F.col("industryCode")).alias("my_industry_code"),
+                       F.col("areaCode").alias("area_code"))
+    pages, _ = ct.affinity_page_own_codes(c, _inbound(spark, sf), callers, *AFFINITY_PAGE,
+                                          industry_codes=fx.all_industry_codes())
+    return pages
+
+
 # ------------------------------------------------------------ column functions
 
 def _t(spark, sf, name):
@@ -495,6 +508,7 @@ QUERIES: dict[str, Query] = {
     "contacts_page_all_callers": contacts_page_all_callers,
     "contacts_count_all_callers": contacts_count_all_callers,
     "affinity_page_all_callers": affinity_page_all_callers,
+    "affinity_page_own_codes": affinity_page_own_codes,
     "round_half_up": round_half_up,
     "truncate_decimal": truncate_decimal,
     "trim_array": trim_array,

@@ -6,7 +6,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
@@ -58,6 +58,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back: the lineage ends at
+    files that outlive any executor, and later joins see real sizes. The folder is
+    dropped when the session's JVM ends."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    fs, p = hadoop_fs(spark, path)
+    fs.deleteOnExit(p)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def hadoop_fs(spark: SparkSession, path: str):
     """Hadoop FileSystem for ``path`` (HDFS, S3A, local, ...)."""
     jvm = spark.sparkContext._jvm
