@@ -14,6 +14,7 @@ from amity.plans.registry import (AFFINITY_AREA, AFFINITY_MY_INDUSTRY, AFFINITY_
                                   PRESTIGE_PAGE, PRESTIGE_THRESHOLD, SNAPSHOT_KEYS)
 
 ME = f"'{CALLER}'"
+KEPT_KEYS = sorted(SNAPSHOT_KEYS)[-KEEP_SNAPSHOTS:]
 CODES = ", ".join(str(c) for c in all_industry_codes())
 
 ITEMS = ("userID, loginAccount, coalesce(headImgUrl, '') as headImgUrl, certify, "
@@ -180,6 +181,17 @@ def _functions_sql() -> dict[str, str]:
                     "and o.username <> o.loginAccount "
                     "join ofroster m on m.username = r.caller and m.loginAccount = o.loginAccount "
                     "group by r.caller, r.candidate")),
+        "derived_after_refresh": _r(
+            f"select cast(k as bigint) as snapshot_ms, friendType, count(*) as n_rows from rel, "
+            f"(values {', '.join(f'({k})' for k in KEPT_KEYS)}) t(k) group by 1, 2",
+            ("one", ALL_ONE), ("two", ALL_TWO), *ALL_RELATIONS),
+        "generation_tables": _c(
+            "select t.name as table, cast(k as bigint) as generation, t.n as n_rows from "
+            "(select 'roster' as name, (select count(*) from ofroster) as n union all "
+            "select 'contacts', (select count(*) from industry_contacts) union all "
+            "select 'contacts_with_friends', (select count(*) from industry_contacts "
+            "where loginAccount in (select username from ofroster))) t, "
+            f"(values {', '.join(f'({k})' for k in KEPT_KEYS)}) g(k)"),
         "person_relation_many": _r(
             "select q.caller, q.user_id, cast(coalesce(x.friendType, 3) as int) as type from req q "
             "left join rel x on x.caller = q.caller and x.userID = q.user_id",
@@ -189,6 +201,16 @@ def _functions_sql() -> dict[str, str]:
         "cogroup_n": with_fixtures(
             "select key, " + ", ".join(f"count(*) filter (where side = {i}) as n{i}" for i in range(6))
             + " from g group by key", "ofroster", "fx_prestige", extra=(("g", COGROUP_SIDES),)),
+        "cogroup_values": with_fixtures(
+            "select key, pos, max(value) filter (where side = 0) as v0, max(value) filter (where side = 1) as v1, "
+            "max(value) filter (where side = 2) as v2, cast(max(id) filter (where side = 3) as int) as v3, "
+            "max(id) filter (where side = 4) as v4, max(value) filter (where side = 5) as v5 "
+            "from (select *, row_number() over (partition by key, side order by ord) as pos from typed) "
+            "group by key, pos", "ofroster", "fx_prestige",
+            extra=(("g", COGROUP_SIDES),
+                   ("typed", "select key, side, value, ord, cast(null as bigint) as id from g where side not in (3, 4) "
+                             "union all select user_id, 3, null, user_id, cast(amount as bigint) from fx_prestige "
+                             "union all select userID, 4, null, rosterID, rosterID from ofroster"))),
         "first_or_default": with_fixtures(
             "select key, " + ", ".join(
                 f"coalesce({_half_up(f'arg_min(value, ord) filter (where side = {i})')}, "
@@ -218,6 +240,10 @@ def oracle_sql() -> dict[str, str]:
     out["common_friend_table_cached"] = out["common_friend_table"]
     out["relation_table_cached"] = out["relation_table"]
     out["derived_missing_callers"] = out["relation_all_callers"]
+    out["whole_text_scan"] = out["text_scan"]
+    # brought over from an older roster: what the newer one gives
+    out["relation_table_after_edits"] = out["relation_all_callers"]
+    out["common_friend_table_after_edits"] = out["common_friend_all_callers"]
     return out
 
 

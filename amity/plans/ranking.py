@@ -32,24 +32,37 @@ def global_rank(df: DataFrame, order: Sequence[Column], rank_col: str = "rank")
             .drop("_mid", "_part", "_off"))
 
 
-def index_in_group(df: DataFrame, group: Sequence[str], order_col: str,
-                   idx_col: str = "_idx", bucket: int = 65_536) -> DataFrame:
-    """1-based position of each row inside its group by ``order_col`` (a
-    non-negative integer, unique inside the group).
-
-    Two levels, so no task sorts a whole group: rows are counted per
-    (group, order_col div bucket); a running sum over those counts (at most
-    one row per occupied bucket) gives each bucket's offset; a row number
-    inside (group, bucket) - at most ``bucket`` rows - adds the rest."""
-    group = list(group)
-    b = F.floor(F.col(order_col) / F.lit(bucket)).cast("bigint")
-    with_b = df.withColumn("_b", b)
+def _index_by_bucket(with_b: DataFrame, group: list[str], order: Sequence, idx_col: str) -> DataFrame:
+    """1-based position inside the group by (``_b``, ``order``), where ``_b``
+    follows ``order``: rows are counted per (group, _b), a running sum over those
+    counts gives each bucket's offset, a row number inside (group, _b) adds the
+    rest."""
     counts = with_b.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = (Window.partitionBy(*group).orderBy("_b")
               .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select(*group, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    local = F.row_number().over(Window.partitionBy(*group, "_b").orderBy(order_col))
-    return (with_b.withColumn("_loc", local)
-            .join(offsets, group + ["_b"])
+    offsets = counts.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], F.col("_b").alias("_ob"),
+                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    local = F.row_number().over(Window.partitionBy(*group, "_b").orderBy(*order))
+    same = F.col("_b") == F.col("_ob")
+    for i, c in enumerate(group):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    return (with_b.withColumn("_loc", local).join(offsets, same)
             .withColumn(idx_col, (F.col("_off") + F.col("_loc")).cast("bigint"))
-            .drop("_b", "_loc", "_off"))
+            .drop("_b", "_loc", "_off", "_ob", *[f"_g{i}" for i in range(len(group))]))
+
+
+def index_in_group(df: DataFrame, group: Sequence[str], order_col: str,
+                   idx_col: str = "_idx", bucket: int = 65_536) -> DataFrame:
+    """1-based position of each row inside its group by ``order_col`` (a
+    non-negative integer, unique inside the group). No task sorts a whole
+    group: at most ``bucket`` rows of it at a time."""
+    b = F.floor(F.col(order_col) / F.lit(bucket)).cast("bigint")
+    return _index_by_bucket(df.withColumn("_b", b), list(group), [order_col], idx_col)
+
+
+def position_in_group(df: DataFrame, group: Sequence[str], order: Sequence[str], idx_col: str = "_idx") -> DataFrame:
+    """The same for any sortable ``order`` columns: the rows are range partitioned by
+    them (written once, so that the ranges stay what they are), which cuts a group
+    of any size into as many ranges. Null keys are a group."""
+    ranges = staged(df.repartitionByRange(*[F.asc(c) for c in order]).withColumn("_b", F.spark_partition_id()), "ranges")
+    return _index_by_bucket(ranges, list(group), order, idx_col)

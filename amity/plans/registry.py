@@ -11,6 +11,7 @@ customer, every customer id), so request volume grows with the data.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +26,10 @@ from amity.operators import relations as rel
 from amity.operators import roster as ro
 from amity.plans import fixtures as fx
 from amity.plans import loaded
-from amity.session import scratch_path
+from amity.session import scratch_path, staged
 from amity.sources import files as fl
+from amity.sources import fills
+from amity.sources import generations as gens
 from amity.sources import snapshots as sn
 
 # fixed request parameters of the registered queries
@@ -45,6 +48,7 @@ LISTS_AREAS = (330001, 330002, 330003, 330004, 330005, 330006, 330007, 330008)
 LISTS_PAGE = (2, 25)
 SNAPSHOT_KEYS = (1469664000000, 1469707200000, 1469750400000)  # 720 minutes apart
 KEEP_SNAPSHOTS = 2
+EDIT_ONE_IN = 23
 COGROUP_DEFAULT = -1.0
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -159,17 +163,11 @@ def person_relation_many(spark, sf):
                                     include_strangers=True)
 
 
-def _add_missing(spark, root: str, asked: DataFrame, build) -> None:
-    """Add to a derived table the asked callers that it does not answer for."""
-    missing = sn.missing_callers(spark, root, loaded.FIXTURE_SNAPSHOT_MS, asked)
-    sn.materialize_derived(build(missing), root, loaded.FIXTURE_SNAPSHOT_MS, callers=missing)
-
-
 def _derived_lookup(spark, sf, name: str, build) -> DataFrame:
     """Materialise a per-caller table for the caller asked for, as far as it is
     missing, and read that caller's rows back."""
     root = scratch_path(spark, name)
-    _add_missing(spark, root, spark.createDataFrame([(CALLER,)], "caller string"), build)
+    fills.fill_missing(spark, root, loaded.FIXTURE_SNAPSHOT_MS, spark.createDataFrame([(CALLER,)], "caller string"), build)
     return sn.derived_for(spark, root, loaded.FIXTURE_SNAPSHOT_MS, CALLER)
 
 
@@ -185,15 +183,73 @@ def relation_table_cached(spark, sf):
                            ).select("userID", "friendType")
 
 
+def _owners(spark, sf) -> DataFrame:
+    return _roster(spark, sf).select(F.col("username").alias("caller")).distinct()
+
+
 def derived_missing_callers(spark, sf):
     """A relation table filled in two steps: one caller first, then every roster
     owner that is still missing; the rows of all of them."""
     g, root = _graph(spark, sf), scratch_path(spark, "derived-two-steps")
-    owners = _roster(spark, sf).select(F.col("username").alias("caller")).distinct()
     build = lambda callers: rel.relation_table_many(g, callers)
-    _add_missing(spark, root, spark.createDataFrame([(CALLER,)], "caller string"), build)
-    _add_missing(spark, root, owners, build)
-    return sn.derived_for(spark, root, loaded.FIXTURE_SNAPSHOT_MS, owners).drop(sn.SNAPSHOT_COL)
+    for asked in (spark.createDataFrame([(CALLER,)], "caller string"), _owners(spark, sf)):
+        fills.fill_missing(spark, root, loaded.FIXTURE_SNAPSHOT_MS, asked, build)
+    return sn.derived_for(spark, root, loaded.FIXTURE_SNAPSHOT_MS, _owners(spark, sf)).drop(sn.SNAPSHOT_COL)
+
+
+def _edited(roster: DataFrame) -> DataFrame:
+    """An older roster: without the rows of one friend id in ``EDIT_ONE_IN``, and
+    with some rows that the newer one has no more."""
+    kept = roster.where(F.col("userID") % EDIT_ONE_IN != 0)
+    gone = roster.where(F.col("userID") % EDIT_ONE_IN == 1).select(
+        "rosterID", F.col("loginAccount").alias("username"), F.col("username").alias("loginAccount"), "userID")
+    return kept.unionByName(gone)
+
+
+def _carried(spark, sf, name: str, hops: int, build) -> DataFrame:
+    """A derived table of all owners at an older roster, brought to the newer one
+    by rebuilding the affected callers only."""
+    new, root = _roster(spark, sf), scratch_path(spark, name)
+    old = staged(_edited(new), "older-roster")
+    then, now = SNAPSHOT_KEYS[:2]
+    owners = new.select(F.col("username").alias("caller")).distinct()
+    g = ro.FriendGraph.of(old)
+    fills.fill_missing(spark, root, then, owners, lambda callers: build(g, callers))
+    fills.carry_over(spark, root, then, now, fills.affected_callers(old, new, hops),
+                     lambda callers: build(_graph(spark, sf), callers))
+    return sn.derived_for(spark, root, now, owners).drop(sn.SNAPSHOT_COL)
+
+
+def relation_table_after_edits(spark, sf):
+    return _carried(spark, sf, "derived-edited-relations", 1, rel.relation_table_many)
+
+
+def common_friend_table_after_edits(spark, sf):
+    return _carried(spark, sf, "derived-edited-friends", 2, cf.common_friend_table)
+
+
+def derived_after_refresh(spark, sf):
+    """A derived table of three snapshots after a refresh that keeps two: rows by
+    snapshot that it still answers with."""
+    g, root, table = _graph(spark, sf), scratch_path(spark, "roster-refreshed"), scratch_path(spark, "derived-refreshed")
+    owners = _owners(spark, sf)
+    for k in SNAPSHOT_KEYS:
+        fills.fill_missing(spark, table, k, owners, lambda callers: rel.relation_table_many(g, callers))
+        sn.refresh(spark, _roster(spark, sf), root, k, keep=KEEP_SNAPSHOTS, derived=(table,))
+    rows = [sn.derived_for(spark, table, k, owners) for k in SNAPSHOT_KEYS if sn.done_callers(spark, table, k) is not None]
+    return reduce(DataFrame.unionByName, rows).groupBy("snapshot_ms", "friendType").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def generation_tables(spark, sf):
+    """Three refreshes of roster, contacts and a table built from both, two kept:
+    the rows of every table of the published generations."""
+    root = scratch_path(spark, "generations")
+    listed = lambda now: (now.table("contacts").join(
+        now.table("roster").select(F.col("username").alias("loginAccount")).distinct(), "loginAccount", "left_semi"))
+    for k in SNAPSHOT_KEYS:
+        gens.refresh_generation(spark, root, k, {"roster": _roster(spark, sf), "contacts": _contacts(spark, sf)},
+                                {"contacts_with_friends": listed}, keep=KEEP_SNAPSHOTS)
+    return gens.generation_sizes(spark, root)
 
 
 # ------------------------------------------------------------ contact search
@@ -434,6 +490,16 @@ def cogroup_sizes(spark, sf):
     return cg.cogroup_sizes(cg.cogroup_n(sides, order="ord"), len(sides))
 
 
+def cogroup_values(spark, sf):
+    """The values of six sides, each with its own type."""
+    sides = _cogroup_sides(spark, sf)
+    sides[3] = fx.prestige(spark, sf).select(F.col("user_id").alias("key"), F.col("amount").alias("value"),
+                                             F.col("user_id").alias("ord"))
+    sides[4] = _roster(spark, sf).select(F.col("userID").alias("key"), F.col("rosterID").alias("value"),
+                                         F.col("rosterID").alias("ord"))
+    return cg.cogroup_values(cg.cogroup_n(sides, order="ord"), len(sides), order="ord")
+
+
 def first_or_default(spark, sf):
     sides = _cogroup_sides(spark, sf)
     return cg.first_or_default(cg.cogroup_n(sides, order="ord"), len(sides), order="ord",
@@ -454,6 +520,13 @@ def text_scan(spark, sf):
     return fl.text_scan(spark, path)
 
 
+def whole_text_scan(spark, sf):
+    """Files of all documents, read back as chunks of whole lines: their lines."""
+    path = scratch_path(spark, "whole-text")
+    fl.write_text(_t(spark, sf, "documents"), path, column="text")
+    return fl.whole_text_chunks(spark, path).select(F.explode(F.split("value", "\n")).alias("value"))
+
+
 def delimited_roundtrip(spark, sf):
     path = scratch_path(spark, "delimited")
     fl.write_delimited(fx.view_ofroster(spark, sf), path, sep="\t")
@@ -497,6 +570,10 @@ QUERIES: dict[str, Query] = {
     "common_friend_table_cached": common_friend_table_cached,
     "relation_table_cached": relation_table_cached,
     "derived_missing_callers": derived_missing_callers,
+    "relation_table_after_edits": relation_table_after_edits,
+    "common_friend_table_after_edits": common_friend_table_after_edits,
+    "derived_after_refresh": derived_after_refresh,
+    "generation_tables": generation_tables,
     "person_relation_many": person_relation_many,
     "contacts_by_prestige_page": contacts_by_prestige_page,
     "contacts_by_prestige_count": contacts_by_prestige_count,
@@ -531,9 +608,11 @@ QUERIES: dict[str, Query] = {
     "quarter_start": quarter_start,
     "cogroup_n": cogroup_sizes,
     "cogroup_ten": cogroup_ten,
+    "cogroup_values": cogroup_values,
     "first_or_default": first_or_default,
     "csv_scan": csv_scan,
     "text_scan": text_scan,
+    "whole_text_scan": whole_text_scan,
     "delimited_roundtrip": delimited_roundtrip,
     "latest_snapshot": latest_snapshot,
     "retained_snapshots": retained_snapshots,

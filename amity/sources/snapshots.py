@@ -121,11 +121,12 @@ def materialize_derived(df: DataFrame, root: str, snapshot_ms: int,
     present even without a row. By default those that have rows. They are
     recorded after the rows, so a batch that failed in between is not read."""
     batch = "b" + uuid.uuid4().hex
-    tags = {SNAPSHOT_COL: F.lit(int(snapshot_ms)).cast("bigint"), BATCH_COL: F.lit(batch)}
-    (df.repartition(key).sortWithinPartitions(key).withColumns(tags)
-     .write.mode("append").partitionBy(SNAPSHOT_COL, BATCH_COL).parquet(root))
+    # each batch has folders of its own: jobs that write to one folder at a time
+    # would clear away each other's unfinished files
+    folder = f"{SNAPSHOT_COL}={int(snapshot_ms)}/{BATCH_COL}={batch}"
+    df.repartition(key).sortWithinPartitions(key).write.parquet(f"{root.rstrip('/')}/{folder}")
     done = (df if callers is None else callers).select(key).distinct()
-    done.withColumns(tags).write.mode("append").partitionBy(SNAPSHOT_COL).parquet(_done_root(root))
+    done.write.parquet(f"{_done_root(root)}/{folder}")
     return root
 
 
@@ -137,6 +138,12 @@ def _done(spark: SparkSession, root: str, snapshot_ms: int) -> DataFrame | None:
     return done.groupBy("caller").agg(F.min(BATCH_COL).alias(BATCH_COL))
 
 
+def done_callers(spark: SparkSession, root: str, snapshot_ms: int) -> DataFrame | None:
+    """(caller): whom a derived table answers for at a snapshot; None for nobody."""
+    done = _done(spark, root, snapshot_ms)
+    return None if done is None else done.select("caller")
+
+
 def derived_for(spark: SparkSession, root: str, snapshot_ms: int, callers) -> DataFrame:
     """Rows of a derived table for one snapshot and the given callers (a name or
     a frame with ``caller``). Of a caller added twice one batch is read."""

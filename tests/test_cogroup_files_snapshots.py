@@ -91,3 +91,83 @@ def test_failed_refresh_leaves_the_old_snapshot(spark):
     # a source that reads the same root
     sn.refresh(spark, sn.latest_snapshot(spark, root).drop(sn.SNAPSHOT_COL), root, 300, keep=1)
     assert sn.snapshot_keys(spark, root) == [300] and sn.latest_snapshot(spark, root).count() == 2
+
+
+def test_whole_text_in_chunks(spark, tmp_path):
+    """Small byte ranges: lines of one and of many bytes, longer than a range, empty
+    ones; every file is its chunks joined."""
+    texts = {"a": "\n".join(f"é line {i} " + "x" * (i % 40) for i in range(300)), "b": "one", "c": "y" * 3000 + "\n\nend",
+             "d": ""}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.txt").write_text(text, encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = fl.whole_text_chunks(spark, str(tmp_path)).orderBy("path", "chunk").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    files = {}
+    for r in got:
+        files.setdefault(r["path"][-5], []).append((r["chunk"], r["value"]))
+    assert {k: "\n".join(v for _, v in c) for k, c in files.items()} == {k: t for k, t in texts.items() if t}
+    assert len(files["a"]) > 5 and [n for n, _ in files["a"]] == list(range(len(files["a"])))
+    assert fl.whole_text_scan(spark, str(tmp_path / "b.txt")).collect()[0]["value"] == "one"
+
+
+# ------------------------------------------------------------ cogroup: types, values, streams
+
+def test_cogroup_keeps_the_type_of_every_side(spark):
+    a = spark.createDataFrame([(1, 2, 1)], "key bigint, value int, ord bigint")
+    b = spark.createDataFrame([(1, 2.75, 1), (1, 1.005, 2), (2, None, 1)], "key bigint, value double, ord bigint")
+    c = spark.createDataFrame([(1, "x", 1), (None, "y", 2)], "key bigint, value string, ord bigint")
+    g = cg.cogroup_n([a, b, c], order="ord")
+    assert [g.schema[f"v{i}"].dataType.simpleString() for i in range(3)] == ["int", "double", "string"]
+    values = cg.cogroup_values(g, 3, order="ord")
+    got = sorted(map(tuple, values.collect()), key=repr)
+    assert got == sorted([(1, 1, 2, 2.75, "x"), (1, 2, None, 1.005, None), (2, 1, None, None, None),
+                          (None, 1, None, None, "y")], key=repr)
+    first = {r["key"]: tuple(r)[1:] for r in cg.first_or_default(g, 3, order="ord", round_bits=2).collect()}
+    assert first[1] == (2, 2.75, "x")
+    assert cg.cogroup_values(g.limit(0), 3, order="ord").collect() == []
+
+
+def test_cogroup_values_of_a_hot_key(spark):
+    """A key with a third of all rows: its values come in order, from several
+    ranges of the order column."""
+    big = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("key"),
+                                     (F.col("id") * 2).alias("value"), (-F.col("id")).alias("ord"))
+    small = spark.createDataFrame([(7, 0.5, 1)], "key bigint, value double, ord bigint")
+    got = cg.cogroup_values(cg.cogroup_n([big, small], order="ord"), 2, order="ord")
+    hot = got.where("key = 7").orderBy("pos").collect()
+    ids = sorted([i for i in range(30_000) if i % 3 == 0 or i == 7], reverse=True)
+    assert [r["v0"] for r in hot] == [2 * i for i in ids] and [r["pos"] for r in hot] == list(range(1, len(ids) + 1))
+    assert [r["v1"] for r in hot if r["v1"] is not None] == [0.5]
+    assert got.where("key <> 7").count() == 20_000 - 1
+
+
+def test_cogroup_apply_streams_groups(spark):
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+    big = spark.range(9_000).select((F.col("id") % 3).alias("key"), F.col("id").alias("value"), F.col("id").alias("ord"))
+    names = spark.createDataFrame([(0, "zero", 1), (5, "five", 1), (None, "none", 1), (0, "again", 2)],
+                                  "key bigint, value string, ord bigint")
+    schema = StructType([StructField("key", LongType()), StructField("what", StringType())])
+
+    def describe(key, values):
+        count, last = 0, None
+        for side, v in values:
+            if side == 0:
+                assert last is None or v > last      # in order
+                count, last = count + 1, v
+            else:
+                yield key, f"{v} of {count}"
+        yield key, f"{count} in all"
+
+    def peek(key, values):
+        yield key, str(next(values))                 # the rest is not read
+
+    got = sorted(map(tuple, cg.cogroup_apply([big, names], describe, schema, order="ord", batch=2).collect()), key=repr)
+    assert got == sorted([(0, "zero of 3000"), (0, "again of 3000"), (0, "3000 in all"), (1, "3000 in all"), (2, "3000 in all"),
+                          (5, "five of 0"), (5, "0 in all"), (None, "none of 0"), (None, "0 in all")], key=repr)
+    first = {r["key"]: r["what"] for r in cg.cogroup_apply([big, names], peek, schema, order="ord").collect()}
+    assert first == {0: "(0, 0)", 1: "(0, 1)", 2: "(0, 2)", 5: "(1, 'five')", None: "(1, 'none')"}
