@@ -19,9 +19,10 @@ windows. Decisions are made on the input, not on what is left.
 
 With ``min_words`` an interval of fewer lines is a repeated run too when its
 lines have that many words together; depths then go up by one line at a time.
-The first occurrence of a line is in no later copy of any run, so it stays. The
-pipeline uses ``MIN_WORDS``; ``op7_line_dedup`` does not, as ``OP7_SQL`` defines
-runs by their number of lines alone.
+A maximal run counts by either, so it is the union of the intervals that do: its
+windows of ``min_lines`` lines, or itself if it is shorter. The first occurrence of
+a line is in no later copy of any run, so it stays. The query and the pipeline
+use ``MIN_WORDS``; None leaves runs to their number of lines alone.
 
 Defined cases: null texts stay null and have no lines; equal rows (doc_id and
 text) are one document and keep the same lines; null doc_ids come last; a text
@@ -49,11 +50,12 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 
 def _lines(rows: DataFrame) -> DataFrame:
-    """(doc_id, tkey, at: number of the line among the lines with a word, id,
-    n_words)."""
+    """(doc_id, tkey, at: number of the line among the lines with a word, k1 and
+    k2: two 64-bit hashes that name the line, n_words)."""
     kept = F.filter(F.split("text", "\n"), lambda x: x.rlike(NOT_BLANK))
     return rows.select("doc_id", "tkey", F.posexplode(kept).alias("at", "line")).select(
-        "doc_id", "tkey", "at", F.xxhash64("line").alias("id"), F.regexp_count("line", F.lit(WORD)).alias("n_words"))
+        "doc_id", "tkey", "at", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"),
+        F.regexp_count("line", F.lit(WORD)).alias("n_words"))
 
 
 def _ranked(keyed: DataFrame, name: str) -> DataFrame:
@@ -78,7 +80,7 @@ def repeated_runs(rows: DataFrame, min_lines: int = MIN_LINES, min_words: int |
     equal depth and rank: equal lines. ``rows``: doc_id, tkey, text."""
     sizes = [] if min_words is None else ["n_words", "run_words"]
     lines = _lines(rows).withColumn("run_words", F.col("n_words")).select(
-        "doc_id", "tkey", "at", *sizes, F.col("id").alias("k1"), F.lit(0).cast("long").alias("k2")).distinct()
+        "doc_id", "tkey", "at", *sizes, "k1", "k2").distinct()
     now, depth, short = _ranked(written(lines, "lines-0"), "lines-1"), 1, []
     runs = lambda depth: now.select("doc_id", "tkey", "at", "rank", F.lit(depth).alias("depth"))
     while depth < min_lines:
@@ -160,7 +162,7 @@ def line_report(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | No
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_report(documents(spark, sf_dir).select("doc_id", "text"))
+    return line_report(documents(spark, sf_dir).select("doc_id", "text"), min_words=MIN_WORDS)
 
 
 OP7_SQL = f"""
@@ -169,16 +171,22 @@ with raw as (
          generate_subscripts(string_split(text, chr(10)), 1) as pos
   from documents),
 ln as (
-  select *, row_number() over (partition by doc_id order by pos) as a
+  select *, row_number() over (partition by doc_id order by pos) as a,
+         len(regexp_extract_all(line, '[^ 	-]+')) as n_words
   from raw where regexp_matches(line, '[^\x20\x09-\x0D]')),
 win as (
-  select x.doc_id, x.a, x.line || chr(10) || y.line || chr(10) || z.line as g
+  select doc_id, a, 1 as k, line as g from ln where n_words >= {MIN_WORDS}
+  union all
+  select x.doc_id, x.a, 2, x.line || chr(10) || y.line
+  from ln x join ln y on y.doc_id = x.doc_id and y.a = x.a + 1 where x.n_words + y.n_words >= {MIN_WORDS}
+  union all
+  select x.doc_id, x.a, 3, x.line || chr(10) || y.line || chr(10) || z.line
   from ln x join ln y on y.doc_id = x.doc_id and y.a = x.a + 1
             join ln z on z.doc_id = x.doc_id and z.a = x.a + 2),
 later as (
-  select doc_id, a from (select doc_id, a, row_number() over (partition by g order by doc_id, a) as k from win)
-  where k > 1),
-gone as (select distinct doc_id, a + j as a from later, (values (0), (1), (2)) v(j)),
+  select doc_id, a, k from (select *, row_number() over (partition by k, g order by doc_id, a) as nth from win)
+  where nth > 1),
+gone as (select distinct doc_id, a + j as a from later, (values (0), (1), (2)) v(j) where j < k),
 flagged as (
   select raw.doc_id, raw.pos, raw.line, ln.a is not null as has_word, gone.a is not null as is_gone
   from raw left join ln on ln.doc_id = raw.doc_id and ln.pos = raw.pos
