@@ -41,6 +41,8 @@ CAPACITY = 2048
 END_ID = 0
 NODE_BUDGET = 400
 FILLINGS_PER_NODE = 8
+#: Fillings looked at for each that a node may branch into; the first is never dominated.
+SEEN_PER_FILLING = 16
 #: Words whose ids a Python worker remembers in each of two generations.
 CACHE_WORDS = 1 << 18
 
@@ -203,39 +205,54 @@ def _dominated(items: tuple[int, ...], by: tuple[int, ...]) -> bool:
     return True
 
 
+def _reachable(sizes: list[int], copies: list[int], free: int) -> list[int]:
+    """For every i the sums up to ``free`` that pieces of sizes[i:] can make, as the
+    bits of a number."""
+    sums, mask = [1] * (len(sizes) + 1), (1 << (free + 1)) - 1
+    for i in reversed(range(len(sizes))):
+        bits, n, k = sums[i + 1], min(copies[i], free // sizes[i]), 1
+        while n:
+            k = min(k, n)
+            bits |= bits << (k * sizes[i])
+            n, k = n - k, 2 * k
+        sums[i] = bits & mask
+    return sums
+
+
 def fillings(counts: dict[int, int], largest: int, capacity: int, most_waste: int, limit: int) -> list[tuple[int, ...]]:
     """Undominated fillings around one piece of length ``largest`` that waste at
-    most ``most_waste``, least waste first, at most ``limit`` of them."""
-    sizes = sorted((s for s in counts if counts[s] > (s == largest)), reverse=True)
-    found: list[tuple[int, tuple[int, ...]]] = []
-    steps = 0
-
-    def extend(at: int, free: int, items: tuple[int, ...]) -> None:
-        nonlocal steps
-        while at < len(sizes) and sizes[at] > free:
-            at += 1
-        if at == len(sizes):
-            if free <= most_waste:
-                found.append((free, items))
+    most ``most_waste``, least waste first, at most ``limit`` of them.
+
+    They are enumerated by waste: the sums that the remaining pieces can make are
+    known, so every step leads to a filling, and none is returned only if there is
+    none within the waste. Of one waste, fillings of large pieces come first."""
+    free = capacity - largest
+    sizes = sorted((s for s in counts if s <= free and counts[s] > (s == largest)), reverse=True)
+    copies = [counts[s] - (s == largest) for s in sizes]
+    sums = _reachable(sizes, copies, free)
+
+    def exactly(at: int, left: int, items: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
+        if not left:
+            yield items
             return
-        while at < len(sizes) and steps < 64 * limit and not (found and found[-1][0] == 0 and len(found) >= limit):
-            size = sizes[at]
-            steps += 1
-            used = items.count(size) + (size == largest)
-            if used < counts[size]:
-                extend(at if used + 1 < counts[size] else at + 1, free - size, (*items, size))
-            else:
-                extend(at + 1, free, items)
+        for i in range(at, len(sizes)):
+            if not sums[i] >> left & 1:
                 return
-            at += 1
+            for k in range(min(copies[i], left // sizes[i]), 0, -1):
+                if sums[i + 1] >> (left - k * sizes[i]) & 1:
+                    yield from exactly(i + 1, left - k * sizes[i], items + (sizes[i],) * k)
 
-    extend(0, capacity - largest, ())
     out: list[tuple[int, ...]] = []
-    for _, items in sorted(set(found), key=lambda f: (f[0], [-x for x in f[1]])):
-        if not any(len(o) <= len(items) and _dominated(items, o) for o in out):
-            out.append(items)
-        if len(out) == limit:
-            break
+    seen = 0
+    for waste in range(min(most_waste, free) + 1):
+        if not sums[0] >> (free - waste) & 1:
+            continue
+        for items in exactly(0, free - waste, ()):
+            seen += 1
+            if not any(len(o) <= len(items) and _dominated(items, o) for o in out):
+                out.append(items)
+            if len(out) == limit or seen == SEEN_PER_FILLING * limit:
+                return out
     return out
 
 
