@@ -72,11 +72,12 @@ class TestSuffixes:
 class SuffixArray:
     """Suffix array over word numbers; 0 ends a run. ``order`` holds the places
     of all suffixes that start in a run, sorted by their words up to the end of
-    the run."""
+    the run, or by their first ``limit`` words. ``new`` marks where a suffix differs
+    from the one before it, ``left`` are its words up to the end of its run."""
 
-    def __init__(self, ids: np.ndarray, words: int) -> None:
+    def __init__(self, ids: np.ndarray, words: int, limit: int | None = None) -> None:
         bits = max(int(words).bit_length(), 1)
-        self.bits, self.packed = bits, max(62 // bits, 1)
+        self.bits, self.packed = bits, min(max(62 // bits, 1), limit or 62)
         self.ids = np.concatenate([ids, np.zeros(self.packed + 1, ids.dtype)])
         places = np.flatnonzero(ids)
         stops = np.flatnonzero(self.ids == 0)
@@ -85,27 +86,28 @@ class SuffixArray:
         for j in range(self.packed):
             key = (key << bits) | np.where(j < left, self.ids[np.minimum(places + j, len(ids))], 0)
         by = np.argsort(key, kind="stable")
-        self.order, self.key, left = places[by], key[by], left[by]
-        self._refine(left)
+        self.order, self.key, self.left = places[by], key[by], left[by]
+        self.new = np.ones(len(self.order), bool)
+        self.new[1:] = self.key[1:] != self.key[:-1]
+        self._refine(limit)
 
-    def _refine(self, left: np.ndarray) -> None:
-        n, depth = len(self.order), self.packed
-        new = np.ones(n, bool)
-        new[1:] = self.key[1:] != self.key[:-1]
+    def _refine(self, limit: int | None) -> None:
+        n, depth, new, left = len(self.order), self.packed, self.new, self.left
         rank = np.zeros(len(self.ids), np.int64)                 # 0 outside of runs
-        while n:
+        while n and (limit is None or depth < limit):
             first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
             rank[self.order] = first + 1
             alone = new & np.append(new[1:], True)
             open_ = np.flatnonzero(~alone & (left >= depth))     # still equal, and not yet at their end
             if not len(open_):
                 return
+            step = depth if limit is None else min(depth, limit - depth)
             places = self.order[open_]
-            then = np.where(left[open_] > depth, rank[np.minimum(places + depth, len(rank) - 1)], 0)
+            then = np.where(left[open_] > step, rank[np.minimum(places + step, len(rank) - 1)], 0)
             by = np.lexsort((then, first[open_]))
             self.order[open_], left[open_], then = places[by], left[open_][by], then[by]
             new[open_[1:]] |= (first[open_][1:] == first[open_][:-1]) & (then[1:] != then[:-1])
-            depth *= 2
+            depth += step
 
     def search(self, test: TestSuffixes) -> tuple[np.ndarray, ...]:
         """For every test suffix that occurs with at least its window: its number,

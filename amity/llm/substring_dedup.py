@@ -11,8 +11,9 @@ windows mostly share theirs, so anchors are few. Anchors are the prefixes that
 partition the suffixes: a window belongs to the group of its anchor's gram, and
 a gram that occurs once holds no repeat and is dropped, text and all.
 
-1. Windows that already occurred earlier within a task's block of documents are
-   marked there (pre-aggregation: of a group of copies one is passed on).
+1. Each task's block of documents is a subtree of its own: its suffixes are sorted by
+   their words, the nodes a window deep give the repeats within the block, and all
+   but their first places are marked there (of a group of copies one is passed on).
 2. Anchors are sorted by gram; grams that occur twice or more stay.
 3. The words around those anchors are cut from the texts and grouped by gram.
    Prefix lengths vary: a gram of more than ``GROUP`` occurrences is too large
@@ -26,7 +27,8 @@ a gram that occurs once holds no repeat and is dropped, text and all.
    occurrence are marked.
 5. The marks of a document meet its text again.
 
-Groups compare the words themselves; whole-window groups a 128-bit digest.
+Blocks and groups compare the words themselves; whole-window groups a 128-bit
+digest.
 
 Defined cases: a null text has no words; a text of fewer words than a window
 keeps all; equal rows (doc_id and text) are one document; rows that share a
@@ -44,13 +46,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from amity.llm.common import documents, text_key, written
+from amity.llm.decontamination import SuffixArray
 from amity.llm.fingerprints import _mixed, word_hashes
 
 WINDOW = 20
 GRAM = 8
 #: Most occurrences of a gram that one tree takes.
 GROUP = 2000
-#: Words of a block in which step 1 looks for copies.
+#: Words of a block in which step 1 looks for repeats.
 BLOCK_WORDS = 2_000_000
 #: The sample for step 3: one document in so many, by hash; grams with at least
 #: this many and this share of the sampled anchors are frequent.
@@ -68,10 +71,12 @@ def _rolling(h: np.ndarray, size: int, factor: int) -> np.ndarray:
 
 
 class Block:
-    """The documents of a block, in order, as one array of word hashes."""
+    """The documents of a block, in order, as one array of word hashes and one of
+    word numbers (``words`` of them, a 0 after each document)."""
 
-    def __init__(self, rows: list[tuple[int, int, np.ndarray]], window: int, gram: int):
+    def __init__(self, rows: list[tuple[int, int, np.ndarray, np.ndarray]], window: int, gram: int, words: int):
         rows.sort(key=lambda r: r[:2])
+        self.numbers, self.words, self.size = np.concatenate([np.append(r[3], 0) for r in rows]), words, window
         self.ids = np.array([r[0] for r in rows], np.int64)
         self.tks = np.array([r[1] for r in rows], np.int32)
         sizes = np.array([len(r[2]) for r in rows], np.int64)
@@ -81,17 +86,17 @@ class Block:
         n = max(0, len(h) - window + 1)
         self.doc = np.repeat(np.arange(len(rows)), sizes)[:n]
         self.valid = np.arange(n) + window <= (self.first + sizes)[self.doc] if n else np.zeros(0, bool)
-        self.window = _rolling(h, window, 0x9E3779B97F4A7C15), _rolling(h, window, 0xD6E8FEB86659FD93)
 
     def repeated(self) -> np.ndarray:
-        """Valid windows that occur earlier in the block."""
-        at = np.flatnonzero(self.valid)
-        a, b = (w[at] for w in self.window)
-        order = np.argsort(a, kind="stable")
-        a, b = a[order], b[order]
-        same = np.concatenate(([False], (a[1:] == a[:-1]) & (b[1:] == b[:-1])))
+        """Valid windows that occur earlier in the block: of each node of the
+        block's suffix tree that lies a window deep, all places but the first.
+        The suffixes are sorted by their words; equal ones stay in the order of
+        their places."""
+        tree = SuffixArray(self.numbers, self.words, limit=self.size)
+        again = tree.order[~tree.new & (tree.left >= self.size)]
         out = np.zeros(len(self.valid), bool)
-        out[at[order[same]]] = True
+        # a place counts the ends of the documents before it, a window does not
+        out[again - np.searchsorted(self.first + np.arange(len(self.first)), again, "right") + 1] = True
         return out
 
     def anchors(self, starts: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,7 +115,7 @@ class Block:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], window: int, gram: int, block: int) -> Iterator[Block]:
-    rows, held, seen = [], 0, set()
+    rows, held, seen, number = [], 0, set(), {}
     for b in batches:
         for doc_id, tk, text in zip(b.column("doc_id").to_pylist(), b.column("tk").to_pylist(), b.column("text")):
             doc_id = LAST if doc_id is None else doc_id
@@ -120,13 +125,15 @@ def _blocks(batches: Iterator[pa.RecordBatch], window: int, gram: int, block: in
             if len(words) < window:
                 continue
             seen.add((doc_id, tk))
-            rows.append((doc_id, tk, word_hashes(words)))
+            for w in set(words).difference(number):
+                number[w] = len(number) + 1
+            rows.append((doc_id, tk, word_hashes(words), np.fromiter(map(number.__getitem__, words), np.int64, len(words))))
             held += len(words)
             if held > block:
-                yield Block(rows, window, gram)
-                rows, held, seen = [], 0, set()
+                yield Block(rows, window, gram, len(number))
+                rows, held, seen, number = [], 0, set(), {}
     if rows:
-        yield Block(rows, window, gram)
+        yield Block(rows, window, gram, len(number))
 
 
 def _packed(place: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:

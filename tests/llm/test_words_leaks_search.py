@@ -144,6 +144,23 @@ def test_suffix_array_sorts_suffixes_within_runs():
         assert got == sorted(run(p) for p in np.flatnonzero(ids).tolist())
 
 
+def test_suffix_array_up_to_a_depth():
+    """Groups of suffixes that agree in their first words, in the order of their places."""
+    rng = np.random.default_rng(8)
+    for words_, limit in ((1, 20), (2, 7), (3, 20), (50, 2), (9, 1), (70_000, 5)):
+        ids = np.concatenate([rng.integers(0 if i % 2 else 1, words_ + 1, 60) for i in range(12)])
+        ids = np.concatenate([ids, ids[100:300], np.zeros(1, ids.dtype)])
+        array = leak.SuffixArray(ids, words_, limit)
+        ends = np.flatnonzero(ids == 0)
+
+        def head(p):
+            return tuple(ids[p:min(p + limit, ends[np.searchsorted(ends, p)])])
+        heads = [head(p) for p in array.order.tolist()]
+        assert heads == sorted(heads)
+        assert array.new.tolist() == [i == 0 or heads[i] != heads[i - 1] for i in range(len(heads))]
+        assert all(array.new[i] or array.order[i] > array.order[i - 1] for i in range(1, len(heads)))
+
+
 def test_query_columns_of_leaks(spark, docs, items, tmp_path):
     docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
     items.write.parquet(f"{tmp_path}/benchmark.parquet")
