@@ -25,8 +25,11 @@ WINDOW = 8
 OTHER_BLANKS = "\t\x0b\x0c\r"
 NOT_BLANK = r"[^\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
-#: A line is boilerplate of a host when more distinct texts than both hold it:
-#: this number, and this share of the host's distinct texts.
+#: A line is boilerplate of a host when it is certain that more than this share of
+#: the host's texts hold it: when the texts that do, less the root of them times
+#: ``MAX_LINE_TEXTS`` (the lower bound of a count at so many squared deviations),
+#: exceed the share. One rule for hosts of every size; however small a host, more
+#: than ``MAX_LINE_TEXTS`` distinct texts must hold the line.
 MAX_LINE_TEXTS = 20
 MAX_LINE_PERCENT = 1
 #: A document is depleted when less than this share of its words is left.
@@ -71,8 +74,8 @@ def with_window_hashes(rows: DataFrame, w: str, out: str) -> DataFrame:
     return rows.withColumn(out, F.slice(out, 1, F.greatest(F.size(out) - (WINDOW - 1), F.lit(0))))
 
 
-def line_limit(host_texts: Column, max_texts: int, max_percent: int) -> Column:
-    return F.greatest(F.lit(max_texts).cast("long"), F.floor(host_texts * max_percent / 100))
+def is_boilerplate(texts: Column, host_texts: Column, max_texts: int, max_percent: int) -> Column:
+    return texts - host_texts * max_percent / 100 > F.sqrt(max_texts * texts)
 
 
 def base_metrics(rows: DataFrame, min_words: int = MIN_WORDS,
@@ -122,7 +125,7 @@ def boilerplate(lines: DataFrame, rows: DataFrame, max_texts: int, max_percent:
     hosts = (rows.select(F.col("host").alias("of"), "tkey").distinct()
              .groupBy("of").agg(F.count("*").alias("host_texts")))
     return (counts.join(hosts, counts["host"].eqNullSafe(hosts["of"]))
-            .where(F.col("texts") > line_limit(F.col("host_texts"), max_texts, max_percent))
+            .where(is_boilerplate(F.col("texts"), F.col("host_texts"), max_texts, max_percent))
             .select("host", "line"))
 
 
@@ -216,7 +219,7 @@ hosts as (select source, count(distinct coalesce(text, chr(1))) texts from docum
 above as (
   select l.source, l.norm from (select source, norm, count(distinct text) c from ln group by source, norm) l
   join hosts h on h.source is not distinct from l.source
-  where c > greatest({MAX_LINE_TEXTS}, floor(texts * {MAX_LINE_PERCENT} / 100.0))),
+  where c - texts * {MAX_LINE_PERCENT} / 100 > sqrt({MAX_LINE_TEXTS} * c)),
 rem as (
   select doc_id, sum(len(string_split(l.norm, ' '))) n_removed_words
   from ln l join above a on a.norm = l.norm and a.source is not distinct from l.source group by doc_id),
