@@ -241,6 +241,8 @@ def oracle_sql() -> dict[str, str]:
     out["relation_table_cached"] = out["relation_table"]
     out["derived_missing_callers"] = out["relation_all_callers"]
     out["whole_text_scan"] = out["text_scan"]
+    out["relation_all_callers_split"] = out["relation_all_callers"]
+    out["common_friend_all_callers_split"] = out["common_friend_all_callers"]
     # brought over from an older roster: what the newer one gives
     out["relation_table_after_edits"] = out["relation_all_callers"]
     out["common_friend_table_after_edits"] = out["common_friend_all_callers"]

@@ -49,6 +49,7 @@ LISTS_PAGE = (2, 25)
 SNAPSHOT_KEYS = (1469664000000, 1469707200000, 1469750400000)  # 720 minutes apart
 KEEP_SNAPSHOTS = 2
 EDIT_ONE_IN = 23
+SPLIT_ROWS = 200
 COGROUP_DEFAULT = -1.0
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,6 +139,25 @@ def relation_all_callers(spark, sf):
     return rel.relation_table_many(_graph(spark, sf), None)
 
 
+def _split_small(spark, sf, build) -> DataFrame:
+    """``build`` on a graph in which accounts of ``SPLIT_ROWS`` two-hop paths are
+    already hot, so that joins through them are dealt over a grid of tasks."""
+    before = spark.conf.get("amity.skew.hotRows", None)
+    spark.conf.set("amity.skew.hotRows", str(SPLIT_ROWS))
+    try:
+        return build(ro.FriendGraph.of(_roster(spark, sf)), None)
+    finally:
+        spark.conf.set("amity.skew.hotRows", before) if before else spark.conf.unset("amity.skew.hotRows")
+
+
+def relation_all_callers_split(spark, sf):
+    return _split_small(spark, sf, rel.relation_table_many)
+
+
+def common_friend_all_callers_split(spark, sf):
+    return _split_small(spark, sf, cf.common_friend_table)
+
+
 def edge_requests(roster: DataFrame) -> DataFrame:
     """Every roster edge as a request: the owner asks for its common friends
     with each listed account (self-loop rows ask about the owner itself)."""
@@ -565,6 +585,8 @@ QUERIES: dict[str, Query] = {
     "person_relation": person_relation,
     "common_friend_all_callers": common_friend_all_callers,
     "relation_all_callers": relation_all_callers,
+    "relation_all_callers_split": relation_all_callers_split,
+    "common_friend_all_callers_split": common_friend_all_callers_split,
     "two_hop_raw_all_callers": two_hop_raw_all_callers,
     "common_friend_count_many": common_friend_count_many,
     "common_friend_table_cached": common_friend_table_cached,
