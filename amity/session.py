@@ -53,19 +53,22 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, never reused sub-folder of the shared checkpoint folder."""
-    root = checkpoint_root(spark).rstrip("/")
-    return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh, never reused sub-folder of the application's own folder in the
+    shared checkpoint folder. The application's folder is dropped when its driver's
+    JVM ends."""
+    base = f"{checkpoint_root(spark).rstrip('/')}/amity-{spark.sparkContext.applicationId}"
+    fs, p = hadoop_fs(spark, base)
+    if not fs.exists(p):
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)   # takes folders that exist only
+    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: the lineage ends at
-    files that outlive any executor, and later joins see real sizes. The folder is
-    dropped when the session's JVM ends."""
+    files that outlive any executor, and later joins see real sizes."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    fs, p = hadoop_fs(spark, path)
-    fs.deleteOnExit(p)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
