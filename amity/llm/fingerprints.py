@@ -15,7 +15,7 @@ doc_id. Documents are dealt by ranges of doc_id in one shuffle; the largest id
 of each range is known beforehand, and its document is sent to the range above
 too, so that a task meets every neighbour it needs and streams its rows.
 
-Defined cases: a null text is an empty one; a text without words has one
+Defined cases: doc_ids are integers where edits are made; a null text is an empty one; a text without words has one
 shingle, the empty one; with fewer words than a shingle its whole sequence is
 the shingle; rows of equal doc_id follow each other in the order of their text
 keys, null doc_ids come last; a single row is its own next; an empty table
@@ -44,7 +44,16 @@ RANGE_BYTES = 4 << 20
 MAX_RANGES = 100_000
 CACHE_WORDS = 1 << 18
 
-_WORDS: dict[bytes, int] = {}
+
+class WordHashes(dict):
+    """Word -> 64-bit hash, made at the first lookup."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh64_intdigest(word, SEED)
+        return h
+
+
+_WORDS = WordHashes()
 _ORDERS: dict[int, np.ndarray] = {}
 
 
@@ -52,13 +61,7 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of words; the worker remembers those it has met."""
     if len(_WORDS) > CACHE_WORDS:
         _WORDS.clear()
-    try:
-        return np.array([_WORDS[w] for w in words], np.uint64)
-    except KeyError:
-        for w in words:
-            if w not in _WORDS:
-                _WORDS[w] = xxhash.xxh64_intdigest(w, SEED)
-        return np.array([_WORDS[w] for w in words], np.uint64)
+    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
