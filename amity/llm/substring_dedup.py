@@ -30,7 +30,7 @@ a gram that occurs once holds no repeat and is dropped, text and all.
 Blocks and groups compare the words themselves; whole-window groups a 128-bit
 digest.
 
-Defined cases: a null text has no words; a text of fewer words than a window
+Defined cases: doc_ids are integers; a null text has no words; a text of fewer words than a window
 keeps all; equal rows (doc_id and text) are one document; rows that share a
 doc_id and differ in text come in the order of their text keys; null doc_ids
 come last; an empty table gives an empty result."""
@@ -42,12 +42,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from amity.llm.common import documents, text_key, written
 from amity.llm.decontamination import SuffixArray
-from amity.llm.fingerprints import _mixed, word_hashes
+from amity.llm.fingerprints import SEED, _mixed
 
 WINDOW = 20
 GRAM = 8
@@ -70,18 +71,30 @@ def _rolling(h: np.ndarray, size: int, factor: int) -> np.ndarray:
     return _mixed(out)
 
 
+class WordNumbers(dict):
+    """Word -> number from 1 in the order of first lookup, and their hashes."""
+
+    def __init__(self) -> None:
+        self.hashes: list[int] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self) + 1
+        self.hashes.append(xxhash.xxh64_intdigest(word, SEED))
+        return n
+
+
 class Block:
     """The documents of a block, in order, as one array of word hashes and one of
     word numbers (``words`` of them, a 0 after each document)."""
 
-    def __init__(self, rows: list[tuple[int, int, np.ndarray, np.ndarray]], window: int, gram: int, words: int):
+    def __init__(self, rows: list[tuple[int, int, np.ndarray]], window: int, gram: int, hashes: list[int]):
         rows.sort(key=lambda r: r[:2])
-        self.numbers, self.words, self.size = np.concatenate([np.append(r[3], 0) for r in rows]), words, window
+        self.numbers, self.words, self.size = np.concatenate([np.append(r[2], 0) for r in rows]), len(hashes), window
         self.ids = np.array([r[0] for r in rows], np.int64)
         self.tks = np.array([r[1] for r in rows], np.int32)
         sizes = np.array([len(r[2]) for r in rows], np.int64)
         self.first = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-        h = np.concatenate([r[2] for r in rows])
+        h = np.array(hashes, np.uint64)[self.numbers[self.numbers > 0] - 1]
         self.gram = _rolling(h, gram, 0x9E3779B97F4A7C15)
         n = max(0, len(h) - window + 1)
         self.doc = np.repeat(np.arange(len(rows)), sizes)[:n]
@@ -115,7 +128,7 @@ class Block:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], window: int, gram: int, block: int) -> Iterator[Block]:
-    rows, held, seen, number = [], 0, set(), {}
+    rows, held, seen, number = [], 0, set(), WordNumbers()
     for b in batches:
         for doc_id, tk, text in zip(b.column("doc_id").to_pylist(), b.column("tk").to_pylist(), b.column("text")):
             doc_id = LAST if doc_id is None else doc_id
@@ -125,15 +138,13 @@ def _blocks(batches: Iterator[pa.RecordBatch], window: int, gram: int, block: in
             if len(words) < window:
                 continue
             seen.add((doc_id, tk))
-            for w in set(words).difference(number):
-                number[w] = len(number) + 1
-            rows.append((doc_id, tk, word_hashes(words), np.fromiter(map(number.__getitem__, words), np.int64, len(words))))
+            rows.append((doc_id, tk, np.fromiter(map(number.__getitem__, words), np.int64, len(words))))
             held += len(words)
             if held > block:
-                yield Block(rows, window, gram, len(number))
-                rows, held, seen, number = [], 0, set(), {}
+                yield Block(rows, window, gram, number.hashes)
+                rows, held, seen, number = [], 0, set(), WordNumbers()
     if rows:
-        yield Block(rows, window, gram, len(number))
+        yield Block(rows, window, gram, number.hashes)
 
 
 def _packed(place: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
