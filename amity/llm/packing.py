@@ -43,7 +43,7 @@ NODE_BUDGET = 400
 FILLINGS_PER_NODE = 8
 #: Fillings looked at for each that a node may branch into; the first is never dominated.
 SEEN_PER_FILLING = 16
-#: Words whose ids a Python worker remembers in each of two generations.
+#: Words whose ids a Python worker remembers before it forgets them all.
 CACHE_WORDS = 1 << 18
 
 Filling = tuple[tuple[int, int], ...]  # ((length, copies), ...) of one sequence
@@ -53,14 +53,60 @@ Plan = list[tuple[Filling, int]]  # fillings and how many sequences have them
 # --- tokens -----------------------------------------------------------------
 
 _TOKENIZERS: dict[str, tuple] = {}
+
+
+class _Numbers(dict):
+    """Word -> number in the order of first lookup; ``new`` are those to be learnt."""
+
+    def __init__(self) -> None:
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
+class _Words:
+    """The ids of words by their number, one after another in an array."""
+
+    def __init__(self) -> None:
+        self.number = _Numbers()
+        self.ids, self.used = np.zeros(1 << 16, "<u4"), 0
+        self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def learn(self, ids: list[bytes]) -> None:
+        """The ids of the words ``number.new``."""
+        first, n = len(self.number) - len(ids), np.array([len(i) // 4 for i in ids], np.int64)
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while len(self.number) > len(self.start):
+            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+        self.ids[self.used:self.used + len(flat)] = flat
+        self.start[first:first + len(ids)] = self.used + np.cumsum(n) - n
+        self.length[first:first + len(ids)] = n
+        self.used += len(flat)
+        self.number.new = []
+
+    def joined(self, numbers: list[np.ndarray]) -> list[bytes]:
+        """The ids of texts that are given as the numbers of their words."""
+        flat = np.concatenate(numbers)
+        n = self.length[flat]
+        end = np.cumsum(n)
+        ids = self.ids[np.repeat(self.start[flat] - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
+        cut = np.concatenate(([0], end))[np.cumsum([0] + [len(x) for x in numbers])].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cut, cut[1:])]
+
+
 #: A full stop or comma between a plain letter or digit and a space is a token of
 #: its own whatever stands around it.
 _STOPS = re.compile(rb"(?<=[a-z0-9])[.,](?= )")
 
 
 def _tokenizer(path: str) -> tuple:
-    """The tokenizer of a file, the ids of words met before in two generations,
-    and which ids end a word; kept for the life of the Python worker."""
+    """The tokenizer of a file, the words met before (a list of one), and which ids
+    end a word; kept for the life of the Python worker."""
     if path not in _TOKENIZERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core only
         from tokenizers import Tokenizer
@@ -68,7 +114,7 @@ def _tokenizer(path: str) -> tuple:
         vocabulary = tokenizer.get_vocab()
         ends = np.zeros(max(vocabulary.values()) + 1, bool)
         ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        _TOKENIZERS[path] = tokenizer, [{}, {}], ends
+        _TOKENIZERS[path] = tokenizer, [_Words()], ends
     return _TOKENIZERS[path]
 
 
@@ -101,22 +147,15 @@ def _encode_words(words: list[str], tokenizer, ends: np.ndarray) -> list[bytes]:
 
 def encode(texts: list[str], path: str) -> list[bytes]:
     """Little-endian unsigned 32-bit ids of each text. Each different word is
-    encoded once while it is remembered; when a generation is full the older one
-    is forgotten, so frequent words stay."""
-    tokenizer, ages, ends = _tokenizer(path)
-    parts = [_split(t) for t in texts]
-    new, old = ages
-    missing = []
-    for w in set().union(*parts).difference(new):
-        if w in old:
-            new[w] = old[w]
-        else:
-            missing.append(w)
-    new.update(zip(missing, _encode_words([w.decode() for w in missing], tokenizer, ends)))
-    out = [b"".join([new[w] for w in p]) for p in parts]
-    if len(new) > CACHE_WORDS:
-        ages[:] = {}, new
-    return out
+    encoded once while it is remembered."""
+    tokenizer, held, ends = _tokenizer(path)
+    if len(held[0].number) > CACHE_WORDS:
+        held[0] = _Words()
+    words = held[0]
+    numbers = [np.fromiter(map(words.number.__getitem__, p), np.int64, len(p)) for p in map(_split, texts)]
+    if words.number.new:
+        words.learn(_encode_words([w.decode() for w in words.number.new], tokenizer, ends))
+    return words.joined(numbers) if numbers else []
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID,
