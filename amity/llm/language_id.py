@@ -16,7 +16,10 @@ reaches the driver and the workers. All training rows are counted.
 As the counts are frozen, the cost of a byte depends on its context only. A
 worker expands the trees once into a table (context, byte) -> cost in every
 language, where a context is the longest suffix that any tree holds; scoring is
-one lookup a byte.
+one lookup a byte. The table grows with contexts times languages, so languages
+are scored in groups whose table stays within ``TABLE_BYTES`` (one language has at
+most 4 / LEAST_SHARE contexts). Several groups are as many passes over the
+different texts, whose code lengths are put together by text.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0;
 rows without a language teach nothing; no training rows at all: every text is
@@ -32,10 +35,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from amity.llm.common import documents
+from amity.llm.common import documents, written
 
 ORDER = 3
 LEAST_SHARE = 1e-5
+#: A worker's table of costs, but for a single language.
+TABLE_BYTES = 256 << 20
 #: Grams a task holds before it counts them.
 BLOCK = 8 << 20
 FOLDS, HELD_OUT_FOLD = 4, 2
@@ -161,32 +166,86 @@ def code_lengths(text: bytes, state: np.ndarray, cost: np.ndarray) -> np.ndarray
     return total
 
 
-def predict(docs: DataFrame, stats: list[tuple[str, int, int, int]]) -> DataFrame:
-    """(doc_id, lang_pred, score) per row; the score is the language's posterior
-    probability among the learned ones, all alike before."""
+def language_groups(stats: list[tuple[str, int, int, int]], limit: int = TABLE_BYTES) -> list[list[tuple[str, int, int, int]]]:
+    """The statistics in groups of languages, in code point order, whose tables
+    keep within ``limit`` bytes."""
+    by: dict[str, list] = {}
+    for row in stats:
+        by.setdefault(row[0], []).append(row)
+    groups: list[list] = []
+    contexts: set = set()
+    n = 0
+    for lang in sorted(by):
+        own = {(order, code // SYMBOLS) for _, order, code, _ in by[lang]}
+        if not groups or 4 * SYMBOLS * (n + 1) * (len(contexts | own) + 1) > limit:
+            groups.append([])
+            contexts, n = set(), 0
+        groups[-1] += by[lang]
+        contexts, n = contexts | own, n + 1
+    return groups
+
+
+def _lengths(stats: list[tuple[str, int, int, int]], spark: SparkSession):
+    """A function of a text: the bits of the text in each language of ``stats``
+    (sorted), None where it is null or has no letter."""
     import uuid
-    key, sent = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(stats)
+    key, sent = uuid.uuid4().hex, spark.sparkContext.broadcast(stats)
 
-    def of(text: bytes | None) -> tuple[str, float]:
+    def of(text: bytes | None) -> np.ndarray | None:
         if text is None or not any(map(str.isalpha, text.decode("utf-8", "replace"))):
-            return UNDETERMINED, 0.0
-        langs, state, cost = _table(key, sent.value)
-        if not langs:
-            return UNDETERMINED, 0.0
-        bits = code_lengths(text, state, cost)
-        best = int(np.argmin(bits))
-        return langs[best], float(1 / np.exp2(np.maximum(bits[best] - bits, -1000.0)).sum())
+            return None
+        _, state, cost = _table(key, sent.value)
+        return code_lengths(text, state, cost)
+    return of
+
+
+def predict(docs: DataFrame, stats: list[tuple[str, int, int, int]], table_bytes: int = TABLE_BYTES) -> DataFrame:
+    """(doc_id, lang_pred, score) per row; the score is the language's posterior
+    probability among the learned ones, all alike before."""
+    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
+    langs, groups = sorted({r[0] for r in stats}), language_groups(stats, table_bytes)
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    if len(groups) > 1:
+        return _predict_in_groups(docs, langs, groups)
+    lengths = _lengths(stats, spark)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [of(t.as_buffer().to_pybytes() if t.is_valid else None) for t in b.column("text")]
+            out = []
+            for t in b.column("text"):
+                bits = lengths(t.as_buffer().to_pybytes() if t.is_valid and langs else None)
+                best = 0 if bits is None else int(np.argmin(bits))
+                out.append((UNDETERMINED, 0.0) if bits is None else
+                           (langs[best], float(1 / np.exp2(np.maximum(bits[best] - bits, -1000.0)).sum())))
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())],
                 ["doc_id", "lang_pred", "score"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(
-        score, f"doc_id {kind}, lang_pred string, score double")
+    return rows.mapInArrow(score, f"doc_id {kind}, lang_pred string, score double")
+
+
+def _predict_in_groups(docs: DataFrame, langs: list[str], groups: list) -> DataFrame:
+    """The same, a pass over the different texts for each group of languages."""
+    names = [F.xxhash64(F.col("text")).alias("k1"), F.xxhash64(F.lit(1), F.col("text")).alias("k2")]   # 128 bits
+    texts = written(docs.where("text is not null").select(*names, F.col("text").cast("binary").alias("text"))
+                    .dropDuplicates(["k1", "k2"]), "language-texts")
+    bits = None
+    for i, group in enumerate(groups):
+        def measure(batches: Iterator[pa.RecordBatch], of=_lengths(group, docs.sparkSession)) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out = [of(t.as_buffer().to_pybytes()) for t in b.column("text")]
+                yield pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), pa.array(out, pa.list_(pa.float64()))],
+                                                 ["k1", "k2", f"bits{i}"])
+        one = written(texts.mapInArrow(measure, f"k1 long, k2 long, bits{i} array<double>"), "language-bits")
+        bits = one if bits is None else bits.join(one, ["k1", "k2"])
+    bits = bits.select("k1", "k2", F.concat(*[f"bits{i}" for i in range(len(groups))]).alias("bits"))
+    best = F.array_min("bits")
+    total = F.aggregate("bits", F.lit(0.0), lambda a, x: a + F.pow(F.lit(2.0), F.greatest(best - x, F.lit(-1000.0))))
+    found = bits.select(F.col("k1").alias("a"), F.col("k2").alias("b"), (1 / total).alias("p"), F.get(
+        F.array(*[F.lit(x) for x in langs]), (F.array_position("bits", best) - 1).cast("int")).alias("l"))
+    rows = docs.select("doc_id", *[F.when(F.col("text").isNotNull(), n).alias(f"k{i}") for i, n in enumerate(names, start=1)])
+    return rows.join(found, (F.col("k1") == F.col("a")) & (F.col("k2") == F.col("b")), "left").select(
+        "doc_id", F.coalesce("l", F.lit(UNDETERMINED)).alias("lang_pred"), F.coalesce("p", F.lit(0.0)).alias("score"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,6 +42,8 @@ from amity.llm.components import components
 SHINGLE_WORDS = 3
 SEED = 42
 MAX_BITS = 2
+#: More bits would want more segments than two.
+MOST_BITS = 3
 SEGMENT_BITS = 32
 #: Different fingerprints under one segment value that are matched without the
 #: other segment's ball.
@@ -97,7 +99,9 @@ def _flips(values: list[int]) -> Column:
 
 def links(prints: DataFrame, max_bits: int = MAX_BITS, hot_values: int = HOT_VALUES) -> DataFrame:
     """(a, b), a < b: all pairs of the different fingerprints of ``prints`` (fp)
-    that differ in at most ``max_bits`` bits."""
+    that differ in at most ``max_bits`` bits, ``MOST_BITS`` or fewer."""
+    if not 0 <= max_bits <= MOST_BITS:
+        raise ValueError(f"max_bits must be 0 to {MOST_BITS}")
     high, low = F.shiftrightunsigned("fp", SEGMENT_BITS), F.col("fp").bitwiseAND((1 << SEGMENT_BITS) - 1)
     halves = F.array(*[F.struct(F.lit(k).alias("segment"), v.alias("value"), o.alias("other"))
                        for k, (v, o) in enumerate([(high, low), (low, high)])])

@@ -7,9 +7,9 @@ between the labels), the second the trees, the third the calibration, so no part
 by words it chose itself. Together they are a sample of about
 ``TRAIN_ROWS`` rows at most, chosen by hash; scoring covers every row.
 
-Features of a text: densities and counts of strong and weak lexicon words, their
-largest number among ``NEAR`` neighbouring words, how many stand near a second-person
-word, shares of capitals and of punctuation, and the rate of obfuscated words
+Features of a text: densities and counts of strong and weak lexicon words, the count
+of those whose odds are beyond doubt, their largest number among ``NEAR``
+neighbouring words, how many stand near a second-person word, shares of capitals and of punctuation, and the rate of obfuscated words
 (letters with digits or symbols between), alone and spelled back to a lexicon
 word.
 
@@ -43,6 +43,7 @@ STEMS = (4, 5, 6, 7)
 #: Entries of the lexicon, and how often a toxic document must hold one at least.
 LEXICON_WORDS, LEAST_TOXIC = 400, 4
 STRONG, WEAK = 3.0, 1.0  # log odds
+CLEAR = 4.5  # log odds over their standard error
 NEAR = 20
 TREES, DEPTH = 20, 4
 #: Second-person words of the languages expected.
@@ -52,10 +53,14 @@ SECOND_PERSON = frozenset("you your yours yourself ya u du dich dir dein deine i
 SPELLED = str.maketrans("0134578@$!", "oieastbasi")
 EDGES = ".,;:!?\"'()[]{}<>-_*"
 OBFUSCATED = re.compile(r"(?=.*[^\W\d_])[^\W_]*[\d@$!*#%^&_.\-]+[^\W_]+")
-FEATURES = ("strong", "weak", "strong_density", "weak_density", "cluster", "second", "second_near", "capitals",
+FEATURES = ("clear", "strong", "weak", "strong_density", "weak_density", "cluster", "second", "second_near", "capitals",
             "shouted", "exclaims", "asks", "punctuation", "obfuscated", "spelled_back", "log_words")
 
 
+#: Entry -> log odds, log odds over their standard error.
+Lexicon = dict[str, tuple[float, float]]
+
+
 def fold_of(doc_id: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds
 
@@ -71,18 +76,23 @@ def stems(word: str) -> list[str]:
     return [word, *[word[:k] + "~" for k in STEMS if len(word) > k]]
 
 
-def odds_of(word: str, lexicon: dict[str, float]) -> float:
-    """Log odds of the clearest entry for a word, 0 for none."""
-    return max((lexicon[x] for x in stems(word) if x in lexicon), default=0.0)
+def odds_of(word: str, lexicon: Lexicon) -> float:
+    """Largest log odds among the entries for a word, 0 for none."""
+    return max((lexicon[x][0] for x in stems(word) if x in lexicon), default=0.0)
+
+
+def is_clear(word: str, lexicon: Lexicon) -> bool:
+    return any(lexicon[x][1] >= CLEAR for x in stems(word) if x in lexicon)
 
 
-def features(text: str, lexicon: dict[str, float]) -> list[float]:
+def features(text: str, lexicon: Lexicon) -> list[float]:
     words = text.split()
     n = len(words)
     if not n:
         return [0.0] * len(FEATURES)
     low = tokens(text)
     known: dict[str, float] = {w: odds_of(w, lexicon) for w in set(low)}
+    sure = {w for w, odds in known.items() if odds and is_clear(w, lexicon)}
     hits = [(i, known[w]) for i, w in enumerate(low) if known[w]]
     odd = [w for w in words if not w.isalpha() and OBFUSCATED.match(w.strip(EDGES))]
     back = sum(odds_of(w.lower().translate(SPELLED).replace("*", "").strip(EDGES), lexicon) >= STRONG for w in odd)
@@ -98,13 +108,13 @@ def features(text: str, lexicon: dict[str, float]) -> list[float]:
     capitals = sum(map(str.isupper, text))
     marks = text.count("!"), text.count("?")
     punctuation = len(re.findall(r"[^\w\s]", text))
-    return [float(len(strong)), float(len(hits) - len(strong)), 100 * len(strong) / n, 100 * (len(hits) - len(strong)) / n,
+    return [float(sum(w in sure for w in low)), float(len(strong)), float(len(hits) - len(strong)), 100 * len(strong) / n, 100 * (len(hits) - len(strong)) / n,
             float(cluster), 100 * len(second) / n, float(near), capitals / letters,
             100 * sum(len(w) > 2 and w.isupper() for w in words) / n, 100 * marks[0] / n, 100 * marks[1] / n,
             punctuation / len(text), 100 * len(odd) / n, float(back), float(np.log1p(n))]
 
 
-def featured(rows: DataFrame, lexicon: dict[str, float], keep: list[str]) -> DataFrame:
+def featured(rows: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
     """``rows`` (text and the columns ``keep``) with an array ``x`` in place of
     the text."""
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
@@ -117,8 +127,9 @@ def featured(rows: DataFrame, lexicon: dict[str, float], keep: list[str]) -> Dat
     return rows.select(*keep, "text").mapInArrow(of, f"{kinds}, x array<double>")
 
 
-def learn_lexicon(part: DataFrame) -> dict[str, float]:
-    """Word -> log odds of the label among documents that hold it, for the
+def learn_lexicon(part: DataFrame) -> Lexicon:
+    """Word -> log odds of the label among documents that hold it, and these over
+    their standard error, for the
     ``LEXICON_WORDS`` words with the clearest odds. ``part``: text, toxic."""
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -138,9 +149,9 @@ def learn_lexicon(part: DataFrame) -> dict[str, float]:
     a, c = F.col("t") + 0.5, F.col("n") - F.col("t") + 0.5
     odds = F.log(a / (toxic - F.col("t") + 0.5)) - F.log(c / (clean - (F.col("n") - F.col("t")) + 0.5))
     error = F.sqrt(1 / a + 1 / c)
-    top = (counts.withColumn("odds", odds).where(F.col("odds") >= WEAK).orderBy(F.desc(F.col("odds") / error), "word")
-           .limit(LEXICON_WORDS).collect())
-    return {r["word"]: r["odds"] for r in top}
+    top = (counts.withColumn("odds", odds).withColumn("sure", odds / error).where(F.col("odds") >= WEAK)
+           .orderBy(F.desc("sure"), "word").limit(LEXICON_WORDS).collect())
+    return {r["word"]: (r["odds"], r["sure"]) for r in top}
 
 
 def training_parts(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:

@@ -30,7 +30,7 @@ def prose(n):
 
 DOCS = [(1, prose(60)), (2, prose(20) + " " + PASSAGE + " " + prose(20)), (3, None), (4, ""), (5, " \n--!! "),
         (6, PASSAGE.upper()), (6, PASSAGE.upper()), (7, PASSAGE.replace(" ", ", ")), (8, " ".join(PASSAGE.split()[5:17])),
-        (9, prose(5000)), (10, "zeta"), (10, "another zeta text of an id"), (None, "zeta " + PASSAGE), (11, "zeta"),
+        (9, prose(21_000)), (10, "zeta"), (10, "another zeta text of an id"), (None, "zeta " + PASSAGE), (11, "zeta"),
         *[(100 + i, prose(RNG.randrange(1, 40))) for i in range(60)], *[(200 + i, DOCS_COPY) for i in range(3)
                                                                         for DOCS_COPY in ("equal copies of one text",)]]
 ITEMS = [(1, PASSAGE), (2, " ".join(PASSAGE.split()[8:25])), (3, "Zeta!"), (4, None), (5, ""), (6, "never written anywhere here"),
