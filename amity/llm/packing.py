@@ -24,7 +24,6 @@ the documents is read."""
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from array import array
 from bisect import bisect_left
@@ -44,7 +43,9 @@ FILLINGS_PER_NODE = 8
 #: Fillings looked at for each that a node may branch into; the first is never dominated.
 SEEN_PER_FILLING = 16
 #: Words whose ids a Python worker remembers before it forgets them all.
-CACHE_WORDS = 1 << 18
+CACHE_WORDS = 3 << 17
+#: Words of letters encoded as one text.
+WORDS_AT_ONCE = 2_000
 
 Filling = tuple[tuple[int, int], ...]  # ((length, copies), ...) of one sequence
 Plan = list[tuple[Filling, int]]  # fillings and how many sequences have them
@@ -74,6 +75,7 @@ class _Words:
         self.number = _Numbers()
         self.ids, self.used = np.zeros(1 << 16, "<u4"), 0
         self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.number[_NEXT] = 0    # no ids
 
     def learn(self, ids: list[bytes]) -> None:
         """The ids of the words ``number.new``."""
@@ -89,19 +91,24 @@ class _Words:
         self.used += len(flat)
         self.number.new = []
 
-    def joined(self, numbers: list[np.ndarray]) -> list[bytes]:
+    def joined(self, flat: np.ndarray) -> list[bytes]:
         """The ids of texts that are given as the numbers of their words."""
-        flat = np.concatenate(numbers)
         n = self.length[flat]
         end = np.cumsum(n)
-        ids = self.ids[np.repeat(self.start[flat] - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
-        cut = np.concatenate(([0], end))[np.cumsum([0] + [len(x) for x in numbers])].tolist()
-        return [ids[a:b].tobytes() for a, b in zip(cut, cut[1:])]
+        ids = self.ids[np.repeat(self.start[flat] - (end - n), n) + np.arange(end[-1])]
+        cut = end[flat == 0].tolist()
+        return [ids[a:b].tobytes() for a, b in zip([0, *cut], cut)]
 
 
-#: A full stop or comma between a plain letter or digit and a space is a token of
-#: its own whatever stands around it.
-_STOPS = re.compile(rb"(?<=[a-z0-9])[.,](?= )")
+#: Byte classes: a full stop or comma between a plain letter or digit and a space is
+#: a token of its own whatever stands around it.
+_PLAIN, _STOP, _BLANK = 1, 2, 3
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[[*range(0x30, 0x3A), *range(0x61, 0x7B)]] = _PLAIN
+_CLASS[[0x2C, 0x2E]] = _STOP
+_CLASS[0x20] = _BLANK
+#: Stands between the texts of a batch; no byte of UTF-8.
+_NEXT = b"\xff"
 
 
 def _tokenizer(path: str) -> tuple:
@@ -118,24 +125,37 @@ def _tokenizer(path: str) -> tuple:
     return _TOKENIZERS[path]
 
 
-def _split(text: str) -> list[bytes]:
-    """Parts that the tokenizer encodes the same alone as in the text: it lowers
-    case, drops white space and never merges across it. Texts that may hold one
-    of its special tokens keep their case."""
-    raw = text.encode().replace(b"\n", b" ")
-    if b"<|" not in raw:
-        raw = _STOPS.sub(rb" \g<0>", raw.lower())
-    return raw.split()
+def _apart(raw: bytes) -> list[bytes]:
+    """Words of lower-cased text, stops set apart."""
+    at = np.frombuffer(raw, np.uint8)
+    kind = _CLASS[at]
+    stops = np.flatnonzero((kind[:-2] == _PLAIN) & (kind[1:-1] == _STOP) & (kind[2:] == _BLANK)) + 1
+    return (np.insert(at, stops, 0x20).tobytes() if len(stops) else raw).split()
+
+
+def _parts(texts: list[str]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """(numbers of texts, their parts with ``_NEXT`` after each): parts that the
+    tokenizer encodes the same alone as in the text, as it lowers case, drops
+    white space and never merges across it. Texts that may hold one of its
+    special tokens keep their case and come one by one."""
+    raws = [t.encode().replace(b"\n", b" ") for t in texts]
+    plain = [i for i, r in enumerate(raws) if b"<|" not in r]
+    if plain:
+        yield plain, _apart(b"".join([raws[i] + b" \xff " for i in plain]).lower())
+    for i, r in enumerate(raws):
+        if b"<|" in r:
+            yield [i], [*r.split(), _NEXT]
 
 
 def _encode_words(words: list[str], tokenizer, ends: np.ndarray) -> list[bytes]:
     """Ids of each word. Words of letters only are one token group each, whose
-    last token carries the end-of-word mark: they are encoded as one text and
+    last token carries the end-of-word mark: they are encoded as a few texts and
     cut at these marks, unless the marks are not as many as the words."""
     letters = [w.isalpha() for w in words]
     plain = [w for w, ok in zip(words, letters) if ok]
     other = iter(tokenizer.encode_batch_fast([w for w, ok in zip(words, letters) if not ok], add_special_tokens=False))
-    ids = np.array(tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids if plain else [], "<u4")
+    some = [" ".join(plain[i:i + WORDS_AT_ONCE]) for i in range(0, len(plain), WORDS_AT_ONCE)]
+    ids = np.concatenate([np.zeros(0, "<u4"), *[np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]])
     cuts = 4 * (np.flatnonzero(ends[ids]) + 1)
     if len(cuts) == len(plain):
         raw, cuts = ids.tobytes(), [0, *cuts.tolist()]
@@ -151,11 +171,14 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     tokenizer, held, ends = _tokenizer(path)
     if len(held[0].number) > CACHE_WORDS:
         held[0] = _Words()
-    words = held[0]
-    numbers = [np.fromiter(map(words.number.__getitem__, p), np.int64, len(p)) for p in map(_split, texts)]
-    if words.number.new:
-        words.learn(_encode_words([w.decode() for w in words.number.new], tokenizer, ends))
-    return words.joined(numbers) if numbers else []
+    words, out = held[0], [b""] * len(texts)
+    for which, parts in _parts(texts):
+        flat = np.fromiter(map(words.number.__getitem__, parts), np.int64, len(parts))
+        if words.number.new:
+            words.learn(_encode_words([w.decode() for w in words.number.new], tokenizer, ends))
+        for i, ids in zip(which, words.joined(flat)):
+            out[i] = ids
+    return out
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID,
