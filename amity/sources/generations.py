@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from amity.session import delete_path, hadoop_fs
+from amity.sources.fills import create_once
 from amity.sources.snapshots import SNAPSHOT_COL, retain_derived, snapshot_write
 
 PIN_HOURS = 24
@@ -52,16 +53,15 @@ def _read(spark: SparkSession, path: str) -> dict:
 
 
 def _write_new(spark: SparkSession, path: str, text: str) -> bool:
-    """A new file with its whole text at once; False if it is there already."""
+    """A new file with its whole text at once; False if another writer has claimed
+    its name (a rename may replace a file on some file systems)."""
+    if not create_once(spark, f"{path}.claim"):
+        return False
     fs, draft = hadoop_fs(spark, f"{path}.{uuid.uuid4().hex}.draft")
     out = fs.create(draft, True)
     out.write(bytearray(text.encode()))
     out.close()
-    target = hadoop_fs(spark, path)[1]
-    if not fs.exists(target) and fs.rename(draft, target):
-        return True
-    fs.delete(draft, False)
-    return False
+    return bool(fs.rename(draft, hadoop_fs(spark, path)[1]))
 
 
 class Generation:
@@ -127,6 +127,7 @@ def retire(spark: SparkSession, root: str, keep: int = 2, derived: tuple[str, ..
     for k in _manifests(spark, root, ".retired"):
         if k not in stay:
             fs.delete(path(k, ".retired"), False)
+            fs.delete(path(k, ".json.claim"), False)
             delete_path(spark, f"{root}/pins/{k}")
     for table in derived:
         retain_derived(spark, table, stay)
