@@ -128,8 +128,9 @@ def _build(spark: SparkSession, sf_dir: str) -> dict:
     write_hops(coded, at("hops"), roots["hop_parts"])
     mark_complete(spark, roots["hops"], FIXTURE_SNAPSHOT_MS)
     # usually empty: written into its partition folder directly, so the
-    # schema-only file still marks the snapshot
-    g.hot.coalesce(1).write.mode("overwrite").parquet(at("hot"))
+    # schema-only file still marks the snapshot. Every partition of its join is a
+    # task of its own: one task would hold the degrees of all accounts
+    g.hot.write.mode("overwrite").parquet(at("hot"))
     mark_complete(spark, roots["hot"], FIXTURE_SNAPSHOT_MS)
     people = staged(contacts_denorm(fx.business_cards(spark, sf_dir), fx.users(spark, sf_dir), fx.prestige(spark, sf_dir)),
                     "people")
