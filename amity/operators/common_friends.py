@@ -15,6 +15,12 @@ Plan for many callers (no pairs are formed inside a friend group), on ids:
    very many requests name, expand the smaller side and look its friends up among
    the edges of the accounts named.
 
+The table of all accounts in two hops (``common_friend_table``) of many callers forms
+no requests first: the array of a caller meets those of its friends and of their
+friends at each friend, so one array travels for an edge and none for a two-hop row;
+only pairs that share a friend are shuffled, once, by caller. Where an owner is a
+hub, its pairs are requests as above.
+
 One caller needs no pivot: the candidates' edges, read on their bucket key,
 are kept where they lead to one of the caller's friends.
 """
@@ -24,8 +30,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from amity.operators.roster import (PACKED_FRIENDS, FriendGraph, as_graph, caller_ids, name_of, reachable_ids,
-                                    with_caller)
+from amity.operators.roster import (PACKED_FRIENDS, FriendGraph, as_graph, by_caller, caller_ids, callers_friends,
+                                    meet, name_of, named_by_caller, reachable_ids, scope_ids, with_caller)
 from amity.plans.skew import hot_rows_setting, skew_join, split_table
 from amity.session import staged
 
@@ -114,12 +120,32 @@ def common_friend_count(graph, caller: str, candidates: DataFrame) -> DataFrame:
             .select("pos", "username", F.coalesce("_n", F.lit(0)).cast("int").alias("comm_friend_num")))
 
 
+def _reached_friends(g: FriendGraph, cids) -> DataFrame:
+    """(_via, uid, _theirs, userName): for every account, itself and its friends, each
+    with its name and its own friends. Of some callers only their friends' rows."""
+    edges = g.edges if cids is not None or g.edges_in is None else g.edges_in
+    near = (edges.select(F.col("src").alias("_via"), F.col("dst").alias("uid"))
+            .unionByName(g.degrees.select(F.col("src").alias("_via"), F.col("src").alias("uid"))))
+    if cids is not None:
+        vias = scope_ids(g.edges, cids).select(F.col("dst").alias("_via")).distinct()
+        near = near.join(staged(vias, "callers-friends"), "_via", "left_semi")
+    theirs = g.packed.select(F.col("src").alias("uid"), F.col("ids").alias("_theirs"))
+    names = g.accounts.select(F.col("aid").alias("uid"), F.col("account").alias("userName"))
+    return near.join(theirs, "uid").join(names, "uid")
+
+
 def common_friend_table(graph, callers) -> DataFrame:
     """C5 (the cached common-friend table) for any callers: every account
     reachable within two hops with a count above zero.
     (caller, userName, comFriendsNum)."""
     g = as_graph(graph)
     cids = caller_ids(g, callers)
+    if by_caller(g, cids):
+        shared = F.size(F.array_intersect("_mine", "_theirs"))
+        pairs = (meet(g, callers_friends(g, cids), _reached_friends(g, cids)).where(F.col("cid") != F.col("uid"))
+                 .select("cid", "userName", shared.alias("comFriendsNum")).where(F.col("comFriendsNum") > 0)
+                 .repartition("cid").distinct())
+        return named_by_caller(g, pairs, callers, cids).select("caller", "userName", "comFriendsNum")
     reach = reachable_ids(g, cids).select("cid", F.col("dst").alias("uid"))
     counts = counts_by_id(g, reach)
     out = name_of(g, counts, "uid", "userName")

@@ -27,12 +27,12 @@ in-degree x out-degree, and splits hot accounts (``amity.plans.skew``).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from amity.plans.skew import degree_hot_keys, hot_rows_setting, split_hot_join, split_table
+from amity.plans.skew import degree_hot_keys, hot_rows_setting, skew_join, split_hot_join, split_table
 from amity.session import staged
 
 ROSTER_COLUMNS = ("rosterID", "username", "loginAccount", "userID")
@@ -77,16 +77,23 @@ class FriendGraph:
     packed: DataFrame      # src, ids: the friends of every owner but hubs as one array
     edges_in: DataFrame | None = None  # the edges again, bucketed by dst (loaded graphs)
     has_hot: bool | None = None        # known at load: whether any account is hot
-    has_hubs: bool | None = None       # known at load: whether any owner is a hub
+    has_hubs: bool | None = None       # known when coded: whether any owner is a hub
     hops: DataFrame | None = None      # src, dst, userID, part: raw edges in folders by pmod(src, hop_parts)
     hop_parts: int = 0
 
     @classmethod
     def of(cls, roster: DataFrame) -> "FriendGraph":
         """Codes the roster once, in the shared folder; everything else derives
-        from that."""
+        from that. Edges and degrees, which every query reads several times, are
+        written too."""
         accounts = staged(account_dictionary(roster), "accounts")
-        return cls.from_coded(roster, accounts, staged(encode_roster(roster, accounts), "coded"))
+        g = cls.from_coded(roster, accounts, staged(encode_roster(roster, accounts), "coded"))
+        raw = staged(g.raw_edges, "raw-edges")
+        edges = raw.where(F.col("src") != F.col("dst"))
+        degrees = staged(degrees_of(edges), "degrees")
+        hubs = not degrees.where(F.col("degree") > PACKED_FRIENDS).isEmpty()
+        return replace(g, raw_edges=raw, edges=edges, degrees=degrees, hot=hot_degrees(edges),
+                       packed=packed_friends(edges, degrees), has_hubs=hubs)
 
     @classmethod
     def from_coded(cls, roster: DataFrame, accounts: DataFrame, coded: DataFrame) -> "FriendGraph":
@@ -167,6 +174,41 @@ def with_caller(g: FriendGraph, df: DataFrame, callers, cids) -> DataFrame:
     return df.join(cids, "cid").drop("cid")
 
 
+# ------------------------------------------------------------ rows kept by caller
+
+def by_caller(g: FriendGraph, cids) -> bool:
+    """Whether the two-hop rows of any caller fit one task: many callers, and no
+    owner is a hub, so a caller has at most ``PACKED_FRIENDS`` squared of them.
+    Then they are shuffled once, by caller, and every later step is done there."""
+    return not isinstance(cids, int) and g.has_hubs is False
+
+
+def callers_friends(g: FriendGraph, cids) -> DataFrame:
+    """(cid, _via, _mine): every friend of the callers beside all their friends.
+    Edges and arrays lie by owner, so the loaded ones are not shuffled for it. An
+    owner's array is copied once for each friend, not for each two-hop row."""
+    return scope_ids(g.edges.join(g.packed, "src"), cids).select(
+        "cid", F.col("dst").alias("_via"), F.col("ids").alias("_mine"))
+
+
+def meet(g: FriendGraph, left: DataFrame, right: DataFrame) -> DataFrame:
+    """left (_via, ...) x right (_via, ...); the rows of a hot account are dealt
+    over a grid of tasks."""
+    if g.has_hot is False:
+        return left.join(right, "_via").drop("_via")
+    hot = split_table(g.hot.withColumnRenamed("account", "_via"), ["_via"], F.col("indeg"), F.col("outdeg"),
+                      hot_rows_setting(left))
+    return skew_join(left, right, ["_via"], hot=hot).drop("_via")
+
+
+def named_by_caller(g: FriendGraph, rows: DataFrame, callers, cids) -> DataFrame:
+    """``with_caller`` of rows that lie by ``cid``: they stay where they are and
+    unsorted, the names (one row a caller) come to them."""
+    if callers is None:
+        cids = g.accounts.select(F.col("account").alias("caller"), F.col("aid").alias("cid"))
+    return rows.join(cids.hint("shuffle_hash"), "cid").drop("cid")
+
+
 # ------------------------------------------------------------ id-level plans
 
 def one_hop_ids(g: FriendGraph, cids) -> DataFrame:
@@ -259,6 +301,10 @@ def two_hop_raw(graph, callers) -> DataFrame:
     by its own self-loop."""
     g = as_graph(graph)
     cids = caller_ids(g, callers)
+    if by_caller(g, cids):   # names are one to one with ids: they come along with the second hop
+        named = name_of(g, g.raw_edges, "dst", "loginAccount")
+        found = expand(one_hop_ids(g, cids), named, g.hot, g.has_hot).repartition("cid").distinct()
+        return named_by_caller(g, found, callers, cids).select("caller", "loginAccount")
     ids = second_hop(g, cids, g.raw_edges).select("cid", "dst").distinct()
     return _named(g, ids, callers, cids)
 
