@@ -213,7 +213,7 @@ def derived_missing_callers(spark, sf):
     g, root = _graph(spark, sf), scratch_path(spark, "derived-two-steps")
     build = lambda callers: rel.relation_table_many(g, callers)
     for asked in (spark.createDataFrame([(CALLER,)], "caller string"), _owners(spark, sf)):
-        fills.fill_missing(spark, root, loaded.FIXTURE_SNAPSHOT_MS, asked, build)
+        fills.fill_missing(spark, root, loaded.FIXTURE_SNAPSHOT_MS, asked, build, together=ro.by_caller(g, None))
     return sn.derived_for(spark, root, loaded.FIXTURE_SNAPSHOT_MS, _owners(spark, sf)).drop(sn.SNAPSHOT_COL)
 
 
@@ -233,10 +233,10 @@ def _carried(spark, sf, name: str, hops: int, build) -> DataFrame:
     old = staged(_edited(new), "older-roster")
     then, now = SNAPSHOT_KEYS[:2]
     owners = new.select(F.col("username").alias("caller")).distinct()
-    g = ro.FriendGraph.of(old)
-    fills.fill_missing(spark, root, then, owners, lambda callers: build(g, callers))
+    g, newer = ro.FriendGraph.of(old), _graph(spark, sf)
+    fills.fill_missing(spark, root, then, owners, lambda callers: build(g, callers), together=ro.by_caller(g, None))
     fills.carry_over(spark, root, then, now, fills.affected_callers(old, new, hops),
-                     lambda callers: build(_graph(spark, sf), callers))
+                     lambda callers: build(newer, callers), together=ro.by_caller(newer, None))
     return sn.derived_for(spark, root, now, owners).drop(sn.SNAPSHOT_COL)
 
 
@@ -254,7 +254,8 @@ def derived_after_refresh(spark, sf):
     g, root, table = _graph(spark, sf), scratch_path(spark, "roster-refreshed"), scratch_path(spark, "derived-refreshed")
     owners = _owners(spark, sf)
     for k in SNAPSHOT_KEYS:
-        fills.fill_missing(spark, table, k, owners, lambda callers: rel.relation_table_many(g, callers))
+        fills.fill_missing(spark, table, k, owners, lambda callers: rel.relation_table_many(g, callers),
+                           together=ro.by_caller(g, None))
         sn.refresh(spark, _roster(spark, sf), root, k, keep=KEEP_SNAPSHOTS, derived=(table,))
     rows = [sn.derived_for(spark, table, k, owners) for k in SNAPSHOT_KEYS if sn.done_callers(spark, table, k) is not None]
     return reduce(DataFrame.unionByName, rows).groupBy("snapshot_ms", "friendType").agg(F.count(F.lit(1)).alias("n_rows"))

@@ -68,10 +68,10 @@ def _group() -> Column:
 
 
 def fill_missing(spark: SparkSession, root: str, snapshot_ms: int, callers: DataFrame, build: Build,
-                 wait: Callable[[float], None] = time.sleep) -> int:
+                 wait: Callable[[float], None] = time.sleep, together: bool = False) -> int:
     """Adds to the derived table ``root`` the callers (column ``caller``) it does not
     answer for at ``snapshot_ms``; returns in how many batches. ``build`` makes the
-    rows of the callers it is given."""
+    rows of the callers it is given; ``together``: each caller's in one partition."""
     folder, batches = f"{root.rstrip('/')}-claims/{SNAPSHOT_COL}={int(snapshot_ms)}", 0
     asked = staged(callers.select("caller").where(F.col("caller").isNotNull()).distinct(), "fill-callers")
     while True:
@@ -84,7 +84,7 @@ def fill_missing(spark: SparkSession, root: str, snapshot_ms: int, callers: Data
             if mine:    # what is missing now that nobody else can add to these groups
                 todo = staged(missing_callers(spark, root, snapshot_ms, asked).where(_group().isin(mine)), "fill-todo")
                 if not todo.isEmpty():
-                    materialize_derived(build(todo), root, snapshot_ms, callers=todo)
+                    materialize_derived(build(todo), root, snapshot_ms, callers=todo, together=together)
                     batches += 1
         finally:
             for g in mine:
@@ -119,14 +119,16 @@ def affected_callers(old: DataFrame, new: DataFrame, hops: int) -> DataFrame:
     return found
 
 
-def carry_over(spark: SparkSession, root: str, old_ms: int, new_ms: int, affected: DataFrame, build: Build) -> None:
+def carry_over(spark: SparkSession, root: str, old_ms: int, new_ms: int, affected: DataFrame, build: Build,
+               together: bool = False) -> None:
     """The derived table ``root`` at ``new_ms`` for the callers it answers for at
-    ``old_ms``: the rows of those not ``affected`` are copied, the others built."""
+    ``old_ms``: the rows of those not ``affected`` are copied as they lie in its files,
+    the others built (``together`` as in ``fill_missing``)."""
     done = done_callers(spark, root, old_ms)
     if done is None:
         return
     again = staged(done.join(affected, "caller", "left_semi"), "carry-again")
     same = done.join(affected, "caller", "left_anti")
     rows = derived_for(spark, root, old_ms, same).drop(SNAPSHOT_COL)
-    materialize_derived(rows, root, new_ms, callers=same)
-    materialize_derived(build(again), root, new_ms, callers=again)
+    materialize_derived(rows, root, new_ms, callers=same, together=True)
+    materialize_derived(build(again), root, new_ms, callers=again, together=together)

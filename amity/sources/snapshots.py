@@ -112,19 +112,22 @@ def _done_root(root: str) -> str:
 
 
 def materialize_derived(df: DataFrame, root: str, snapshot_ms: int,
-                        key: str = "caller", callers: DataFrame | None = None) -> str:
+                        key: str = "caller", callers: DataFrame | None = None, together: bool = False) -> str:
     """Add a batch of callers to a derived per-caller table (common friends,
     relations) of one roster snapshot; what is there stays. Rows are clustered
     by caller inside files, so a caller's rows are a few row groups.
 
     ``callers`` (column ``key``) are those the batch answers for; they count as
     present even without a row. By default those that have rows. They are
-    recorded after the rows, so a batch that failed in between is not read."""
+    recorded after the rows, so a batch that failed in between is not read.
+
+    ``together``: the rows of a caller already lie in one partition, or in a few;
+    they are sorted there and not shuffled once more."""
     batch = "b" + uuid.uuid4().hex
     # each batch has folders of its own: jobs that write to one folder at a time
     # would clear away each other's unfinished files
     folder = f"{SNAPSHOT_COL}={int(snapshot_ms)}/{BATCH_COL}={batch}"
-    df.repartition(key).sortWithinPartitions(key).write.parquet(f"{root.rstrip('/')}/{folder}")
+    (df if together else df.repartition(key)).sortWithinPartitions(key).write.parquet(f"{root.rstrip('/')}/{folder}")
     done = (df if callers is None else callers).select(key).distinct()
     done.write.parquet(f"{_done_root(root)}/{folder}")
     return root
