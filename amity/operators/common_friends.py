@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from amity.operators.roster import (PACKED_FRIENDS, FriendGraph, as_graph, by_caller, caller_ids, callers_friends,
-                                    meet, name_of, named_by_caller, reachable_ids, scope_ids, with_caller)
+                                    meet, name_of, named_by_caller, reachable_ids, scope_ids, shuffled_by_caller,
+                                    with_caller)
 from amity.plans.skew import hot_rows_setting, skew_join, split_table
 from amity.session import staged
 
@@ -143,8 +144,8 @@ def common_friend_table(graph, callers) -> DataFrame:
     if by_caller(g, cids):
         shared = F.size(F.array_intersect("_mine", "_theirs"))
         pairs = (meet(g, callers_friends(g, cids), _reached_friends(g, cids)).where(F.col("cid") != F.col("uid"))
-                 .select("cid", "userName", shared.alias("comFriendsNum")).where(F.col("comFriendsNum") > 0)
-                 .repartition("cid").distinct())
+                 .select("cid", "userName", shared.alias("comFriendsNum")).where(F.col("comFriendsNum") > 0))
+        pairs = shuffled_by_caller(g, pairs).distinct()
         return named_by_caller(g, pairs, callers, cids).select("caller", "userName", "comFriendsNum")
     reach = reachable_ids(g, cids).select("cid", F.col("dst").alias("uid"))
     counts = counts_by_id(g, reach)

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from amity.operators.roster import (PACKED_FRIENDS, FriendGraph, as_graph, by_caller, caller_ids, callers_friends,
-                                    meet, named_by_caller, one_hop_ids, scope_ids, second_hop, with_caller)
+                                    meet, named_by_caller, one_hop_ids, scope_ids, second_hop, shuffled_by_caller,
+                                    with_caller)
 from amity.plans.skew import hot_rows_setting, skew_join, split_table
 from amity.session import staged
 
@@ -33,7 +34,7 @@ def relation_table_many(graph, callers) -> DataFrame:
         found = meet(g, callers_friends(g, cids), e.withColumnRenamed("src", "_via"))
         second = (found.where((F.col("dst") != F.col("cid")) & ~F.array_contains("_mine", F.col("dst")))
                   .select("cid", "userID", F.lit(FRIEND_OF_FRIEND).alias("friendType")))
-        both = (first.unionByName(second).repartition("cid")
+        both = (shuffled_by_caller(g, first.unionByName(second))
                 .groupBy("cid", "userID").agg(F.min("friendType").alias("friendType")))
         return _as_texts(named_by_caller(g, both, callers, cids))
     second = (second_hop(g, cids, e).where((F.col("dst") != F.col("cid")) & F.col("userID").isNotNull())

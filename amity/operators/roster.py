@@ -78,6 +78,7 @@ class FriendGraph:
     edges_in: DataFrame | None = None  # the edges again, bucketed by dst (loaded graphs)
     has_hot: bool | None = None        # known at load: whether any account is hot
     has_hubs: bool | None = None       # known when coded: whether any owner is a hub
+    paths: int = 0                     # known when coded: edges and two-hop paths of all owners
     hops: DataFrame | None = None      # src, dst, userID, part: raw edges in folders by pmod(src, hop_parts)
     hop_parts: int = 0
 
@@ -93,7 +94,7 @@ class FriendGraph:
         degrees = staged(degrees_of(edges), "degrees")
         hubs = not degrees.where(F.col("degree") > PACKED_FRIENDS).isEmpty()
         return replace(g, raw_edges=raw, edges=edges, degrees=degrees, hot=hot_degrees(edges),
-                       packed=packed_friends(edges, degrees), has_hubs=hubs)
+                       packed=packed_friends(edges, degrees), has_hubs=hubs, paths=path_rows(edges, degrees))
 
     @classmethod
     def from_coded(cls, roster: DataFrame, accounts: DataFrame, coded: DataFrame) -> "FriendGraph":
@@ -112,6 +113,14 @@ def degrees_of(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
 
 
+def path_rows(edges: DataFrame, degrees: DataFrame) -> int:
+    """Edges and two-hop paths of all owners: each friend's in-degree times its
+    out-degree and one."""
+    into = edges.groupBy(F.col("dst").alias("src")).agg(F.count(F.lit(1)).alias("_in"))
+    rows = F.sum(F.col("_in") * (F.coalesce("degree", F.lit(0)) + 1))
+    return int(into.join(degrees, "src", "left").agg(rows).first()[0] or 0)
+
+
 #: friends one array holds; an owner with more is a hub and has no array
 PACKED_FRIENDS = 4_096
 
@@ -183,6 +192,18 @@ def by_caller(g: FriendGraph, cids) -> bool:
     return not isinstance(cids, int) and g.has_hubs is False
 
 
+#: two-hop rows that a task of the shuffle by caller gets on average
+PATHS_PER_TASK = 1_000_000
+
+
+def shuffled_by_caller(g: FriendGraph, rows: DataFrame) -> DataFrame:
+    """``rows`` (cid, ...) by caller, over as many tasks as the graph has two-hop
+    paths for: pairs of ids compress so well that a count by bytes would give each
+    task many millions of rows to make distinct."""
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-g.paths // PATHS_PER_TASK))
+    return rows.repartition(tasks, "cid")
+
+
 def callers_friends(g: FriendGraph, cids) -> DataFrame:
     """(cid, _via, _mine): every friend of the callers beside all their friends.
     Edges and arrays lie by owner, so the loaded ones are not shuffled for it. An
@@ -303,7 +324,7 @@ def two_hop_raw(graph, callers) -> DataFrame:
     cids = caller_ids(g, callers)
     if by_caller(g, cids):   # names are one to one with ids: they come along with the second hop
         named = name_of(g, g.raw_edges, "dst", "loginAccount")
-        found = expand(one_hop_ids(g, cids), named, g.hot, g.has_hot).repartition("cid").distinct()
+        found = shuffled_by_caller(g, expand(one_hop_ids(g, cids), named, g.hot, g.has_hot)).distinct()
         return named_by_caller(g, found, callers, cids).select("caller", "loginAccount")
     ids = second_hop(g, cids, g.raw_edges).select("cid", "dst").distinct()
     return _named(g, ids, callers, cids)

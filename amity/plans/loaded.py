@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from amity.operators.contacts import check_required, contacts_denorm, prestige_order
 from amity.operators.paging import write_rank_parts
 from amity.operators.roster import (PACKED_FRIENDS, FriendGraph, account_dictionary, encode_roster, load_roster,
-                                    packed_friends)
+                                    packed_friends, path_rows)
 from amity.plans import fixtures as fx
 from amity.session import scratch_path, staged
 from amity.sources.snapshots import latest_snapshot, mark_complete, snapshot_write
@@ -117,6 +117,7 @@ def _build(spark: SparkSession, sf_dir: str) -> dict:
     snapshot_write(g.degrees, roots["degrees"], FIXTURE_SNAPSHOT_MS, sort_by=("src",))
     degrees = latest_snapshot(spark, roots["degrees"]).drop("snapshot_ms")
     roots["has_hubs"] = not degrees.where(F.col("degree") > PACKED_FRIENDS).isEmpty()
+    roots["paths"] = path_rows(g.edges, degrees)
     snapshot_write(g.in_degrees, roots["in_degrees"], FIXTURE_SNAPSHOT_MS, sort_by=("userID",))
     inbound_df = roster_df.select("userID", "username").where(F.col("userID").isNotNull()).distinct()
     parts = {"edges_in": g.edges, "packed": packed_friends(g.edges, degrees), "inbound": inbound_df}
@@ -170,7 +171,8 @@ def graph(spark: SparkSession, sf_dir: str) -> FriendGraph:
                        table["edges_ids"], table["raw_edges"], _latest(spark, sf_dir, "degrees"),
                        hot_df, table["ids_in"], _latest(spark, sf_dir, "in_degrees"), table["packed"],
                        edges_in=table["edges_in"], has_hot=roots["has_hot"], has_hubs=roots["has_hubs"],
-                       hops=_latest(spark, sf_dir, "hops"), hop_parts=roots["hop_parts"])
+                       hops=_latest(spark, sf_dir, "hops"), hop_parts=roots["hop_parts"],
+                       paths=roots["paths"])
 
 
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,7 +90,15 @@ def test_two_hop_rows_are_shuffled_once(spark, conf):
     for q in (cf.common_friend_table, rel.relation_table_many, ro.two_hop_raw):
         plan = q(g, None)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("hashpartitioning(cid#") == 2, q
-        assert "hashpartitioning(dst#" not in plan.split("ShuffledHashJoin")[1].split("REPARTITION_BY_COL")[0], q
+        assert "hashpartitioning(dst#" not in plan.split("ShuffledHashJoin")[1].split("REPARTITION_BY_NUM")[0], q
+
+
+def test_paths_set_the_tasks(spark, odd, monkeypatch):
+    g = ro.FriendGraph.of(odd)
+    deg = {r["src"]: r["degree"] for r in g.degrees.collect()}
+    assert g.paths == sum(1 + deg.get(r["dst"], 0) for r in g.edges.collect()) > 500
+    monkeypatch.setattr(ro, "PATHS_PER_TASK", 50)
+    assert rel.relation_table_many(g, None).rdd.getNumPartitions() == -(-g.paths // 50)
 
 
 def test_hot_accounts_are_loaded_by_several_tasks(spark, conf, monkeypatch):
